@@ -32,6 +32,8 @@ WORD = re.compile(r"[^\W_]+")
 STEM = range(4, 7)
 #: Least share of toxic documents with a term, of toxic ones among all that have it, and least share for misspellings.
 SUPPORT, RATE, FUZZY_SUPPORT = 0.004, 0.9, 0.01
+#: A term with more innocent words than this within its edits is matched exactly only.
+CROWD = 3
 WINDOW, THRESHOLD = 8, 0.3
 #: Words of reporting and of address, in the languages of the corpus.
 REPORTING = frozenset("said says wrote writes quoted quote called dit disait écrit cité sagte schrieb zitierte nannte dijo escribió citó llamó".split())
@@ -210,7 +212,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 
     # Words within the edits of a term that stand in documents labelled clean; bounded by the automata, not by the corpus.
     innocent = [r["term"] for r in train.where("toxic = 0").select("text").mapInArrow(near, "term string").distinct().collect()]
-    return Lexicon(stems, words, frozenset(innocent))
+    machines = {w: Lexicon([], [w]) for w in words}
+    crowded = {w for w, own in machines.items() if sum(own.weight(i) > 0 for i in innocent) > CROWD}
+    return Lexicon(stems, [w for w in words if w not in crowded], frozenset(innocent))
 
 
 def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
