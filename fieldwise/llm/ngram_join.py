@@ -10,8 +10,10 @@ share one of their first ``n - ceil(0.75 n) + 1`` shingles, so:
 3. Round one: each set is paired with the neighbours that the shingles' groups suggest, a number of pairs that grows with
    the rows and not with the square of a group. Pairs are verified on whole sets and their components found.
 4. Round two, which makes the result exact: every group of a shingle that holds sets of several components is joined by a trie
-   of the sets' ordered shared shingles. Walking the trie carries one overlap for all sets below a node, and a subtree is left as soon as
-   the overlap and the rest of the shorter set can't reach the threshold. Sets of one component need no further pair.
+   of the sets' next shared shingles in global order. Walking the trie carries one overlap for all sets below a node, and a subtree is left as soon
+   as the overlap and what the shorter set has left can't reach the threshold. What is left counts only shingles that may be common, not those that no
+   other set has. By that bound the smaller set of a link has many shared shingles (it is dense), so only dense sets are stored in tries,
+   and documents that merely share a passage aren't paired. Sets of one component need no further pair.
 
 Results: a null or empty text has an empty set, linked with nothing. Rows with a null doc_id take no part in links (component null).
 Repeated rows are returned each. A doc_id with two texts links as both. Set ids and shingles are 64-bit fingerprints.
@@ -20,6 +22,7 @@ Repeated rows are returned each. A doc_id with two texts links as both. Set ids
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ K = 5
 ORDER_SAMPLE, MOST_FREQUENT, FREQUENT_FROM = 4000, 1 << 16, 4
 #: Rows up to which a table of ids is sent to all executors; a larger one is joined by shuffling.
 SMALL_ROWS = 2_000_000
+#: Shared shingles of a set that its entry in a trie spells out; the rest is counted.
+AHEAD = 6
 
 
 def if_small(ids: DataFrame, n: int) -> DataFrame:
@@ -136,7 +141,7 @@ class Node:
     __slots__ = ("children", "sets", "least_n", "most_left", "label")
 
     def __init__(self) -> None:
-        self.children: dict[int, tuple[tuple, Node]] = {}
+        self.children: dict[tuple, Node] = {}
         self.sets: list[tuple] = []
         self.least_n, self.most_left, self.label = 1 << 60, -1, None
 
@@ -147,38 +152,58 @@ def needed(n: int, m: int) -> int:
 
 
 def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Pairs of different labels that may reach the threshold. members: (sid, n, label, [(order key, place), ...]), the places in
-    the whole set's order and the lists in global order, all from one shared shingle on."""
+    """Pairs of different labels that may reach the threshold, of sets that have the first key in common.
+
+    members: (id, n, label, dense, keys, after): the keys are the set's next shared shingles in global order, ``after`` counts
+    those that may be common besides: later shared ones and all beyond the prefix. The smaller set of a link is always dense."""
     root = Node()
-    for sid, n, label, items in sorted(members, key=lambda m: (m[1], m[0])):
-        stack = [(root, 0, 0, -1)]
+    for sid, n, label, dense, keys, after in sorted(members, key=lambda m: (m[1], m[0])):
+        stack = [(root, 0, 0)]
         while stack:
-            node, i, overlap, place = stack.pop()
-            left = n - place - 1
+            node, i, overlap = stack.pop()
+            left = len(keys) - i + after
             for other, m, its_label, its_left in node.sets:
-                if its_label != label and 4 * m >= 3 * n and overlap and overlap + min(left, its_left) >= needed(n, m):
+                if its_label != label and 4 * m >= 3 * n and overlap + min(left, its_left) >= needed(n, m):
                     yield (other, sid) if other < sid else (sid, other)
-            for key, child in node.children.values():
+            for key, child in node.children.items():
                 if child.label == label:
                     continue
                 j = i
-                while j < len(items) and items[j][0] < key:
+                while j < len(keys) and keys[j] < key:
                     j += 1
-                hit = j < len(items) and items[j][0] == key
-                if not hit and not overlap:
-                    continue
-                at = items[j][1] if hit else place
+                hit = j < len(keys) and keys[j] == key
                 now = overlap + hit
-                if now + min(n - at - 1, child.most_left) >= needed(n, max(child.least_n, (3 * n + 3) // 4)):
-                    stack.append((child, j + hit, now, at))
-        node = root
-        for key, place in items:
-            if key[1] not in node.children:
-                node.children[key[1]] = (key, Node())
-            node = node.children[key[1]][1]
-            node.label = label if node.label in (None, label) else "several"
-            node.least_n, node.most_left = min(node.least_n, n), max(node.most_left, n - place - 1)
-        node.sets.append((sid, n, label, n - items[-1][1] - 1))
+                if now + min(len(keys) - j - hit + after, child.most_left) >= needed(n, max(child.least_n, (3 * n + 3) // 4)):
+                    stack.append((child, j + hit, now))
+        if dense:
+            node = root
+            for depth, key in enumerate(keys):
+                node = node.children.setdefault(key, Node())
+                node.label = label if node.label in (None, label) else -1
+                node.least_n, node.most_left = min(node.least_n, n), max(node.most_left, len(keys) - depth - 1 + after)
+            node.sets.append((sid, n, label, after))
+
+
+def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle, all of a shingle in one partition, to pairs of set ids."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    found: set[tuple[int, int]] = set()
+    for _, group in groupby(rows(), key=lambda r: r[0]):
+        members = [(sid, n, root, dense, [(ranks.get(k, 0), k % (1 << 64)) for k in keys], after) for _, sid, n, root, dense, keys, after in group]
+        if any(m[3] for m in members):
+            found.update(trie_pairs(members))
+        if len(found) > 100_000:
+            yield as_pairs(found)
+            found = set()
+    yield as_pairs(found)
+
+
+def as_pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -208,18 +233,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     labelled = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     open_ = written(labelled.join(mixed, "shingle"), "open")
-    own = open_.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("items"))
+    own = open_.groupBy("sid").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("items"))
+    prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    beyond = F.col("n") - prefix
+    dense = F.size("items") + beyond >= F.floor((6 * F.col("n") + 6) / 7)
+    entries = own.select("sid", "n", "root", dense.alias("dense"), beyond.alias("beyond"), F.transform("items", lambda x: x["shingle"]).alias("keys"))
+    entries = entries.select("*", F.posexplode("keys").alias("i", "shingle"))
+    after = F.greatest(F.size("keys") - F.col("i") - AHEAD, F.lit(0)) + F.col("beyond")
+    entries = entries.select("shingle", "sid", "n", "root", "dense", F.slice("keys", F.col("i") + 1, AHEAD).alias("keys"), after.alias("after"))
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
-    groups = open_.join(own, "sid").select("shingle", "sid", "n", "root", F.filter("items", lambda x: x["place"] >= F.col("place")).alias("items"))
-
-    def tried(group: pa.Table) -> pa.Table:
-        members = []
-        for sid, n, root, items in zip(*(group.column(c).to_pylist() for c in ("sid", "n", "root", "items")), strict=True):
-            members.append((sid, n, root, [((ranks.get(x["shingle"], 0), x["shingle"] % (1 << 64)), x["place"]) for x in items]))
-        pairs = sorted(set(trie_pairs(members)))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-    pairs = groups.groupBy("shingle").applyInArrow(tried, "a long, b long").distinct()
+    dealt = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
+    pairs = dealt.mapInArrow(lambda it: tried(it, ranks), "a long, b long").distinct()
     second = written(verified(texts, sets, pairs), "links")
     if second.take(1):
         roots = written(components(first.union(second)), "components")
