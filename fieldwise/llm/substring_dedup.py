@@ -37,7 +37,7 @@ from fieldwise.llm.text import U64, Words, slices
 
 WINDOW, ANCHOR = 20, 8
 #: Bytes of text that are settled together in a task.
-SLAB = 8 << 20
+SLAB = 4 << 20
 #: Documents that are looked at for heavy prefixes, and the share of them that makes a prefix heavy.
 PLANNED_ON, HEAVY = 4000, 0.002
 RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("n", "<i4")])
