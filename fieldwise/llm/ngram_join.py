@@ -7,9 +7,9 @@ share one of their first ``n - ceil(0.75 n) + 1`` shingles, so:
 
 1. ``signatures``: each document's set id and prefix. Documents with equal sets are one set from here on.
 2. ``shared``: prefix shingles, dealt by shingle; those of one set alone can't link and go.
-3. Round one: each set is paired with the neighbours that the shingles' groups suggest, a number of pairs that grows with
-   the rows and not with the square of a group. Pairs are verified on whole sets and their components found.
-4. Round two, which makes the result exact: every group of a shingle that holds sets of several components is joined by a trie
+3. Guessing: in each of a few turns, each set is paired with at most one set of another component that the shingles' groups suggest,
+   so the pairs grow with the sets and not with the square of a group. Pairs are verified on whole sets and their components found.
+4. The last round, which makes the result exact: every group of a shingle that holds sets of several components is joined by a trie
    of the sets' next shared shingles in global order. Walking the trie carries one overlap for all sets below a node, and a subtree is left as soon
    as the overlap and what the shorter set has left can't reach the threshold. What is left counts only shingles that may be common, not those that no
    other set has. By that bound the smaller set of a link has many shared shingles (it is dense), so only dense sets are stored in tries,
@@ -40,6 +40,8 @@ ORDER_SAMPLE, MOST_FREQUENT, FREQUENT_FROM = 4000, 1 << 16, 4
 SMALL_ROWS = 2_000_000
 #: Shared shingles of a set that its entry in a trie spells out; the rest is counted.
 AHEAD = 6
+#: Rounds of guessing before the exact one.
+TURNS = 4
 
 
 def if_small(ids: DataFrame, n: int) -> DataFrame:
@@ -154,16 +156,17 @@ def needed(n: int, m: int) -> int:
 def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
     """Pairs of different labels that may reach the threshold, of sets that have the first key in common.
 
-    members: (id, n, label, dense, keys, after): the keys are the set's next shared shingles in global order, ``after`` counts
-    those that may be common besides: later shared ones and all beyond the prefix. The smaller set of a link is always dense."""
+    members: (id, n, label, dense, keys, after, before): the keys are the set's next shared shingles in global order, ``after`` counts
+    those that may be common besides: later shared ones and all beyond the prefix. The smaller set of a link is always dense.
+    Sets with a common key among the ones just before have met in that key's group."""
     root = Node()
-    for sid, n, label, dense, keys, after in sorted(members, key=lambda m: (m[1], m[0])):
+    for sid, n, label, dense, keys, after, before in sorted(members, key=lambda m: (m[1], m[0])):
         stack = [(root, 0, 0)]
         while stack:
             node, i, overlap = stack.pop()
             left = len(keys) - i + after
-            for other, m, its_label, its_left in node.sets:
-                if its_label != label and 4 * m >= 3 * n and overlap + min(left, its_left) >= needed(n, m):
+            for other, m, its_label, its_left, its_before in node.sets:
+                if its_label != label and 4 * m >= 3 * n and overlap + min(left, its_left) >= needed(n, m) and before.isdisjoint(its_before):
                     yield (other, sid) if other < sid else (sid, other)
             for key, child in node.children.items():
                 if child.label == label:
@@ -181,7 +184,7 @@ def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
                 node = node.children.setdefault(key, Node())
                 node.label = label if node.label in (None, label) else -1
                 node.least_n, node.most_left = min(node.least_n, n), max(node.most_left, len(keys) - depth - 1 + after)
-            node.sets.append((sid, n, label, after))
+            node.sets.append((sid, n, label, after, before))
 
 
 def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,7 @@ def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[
 
     found: set[tuple[int, int]] = set()
     for _, group in groupby(rows(), key=lambda r: r[0]):
-        members = [(sid, n, root, dense, [(ranks.get(k, 0), k % (1 << 64)) for k in keys], after) for _, sid, n, root, dense, keys, after in group]
+        members = [(sid, n, root, dense, [(ranks.get(k, 0), k % (1 << 64)) for k in keys], after, frozenset(before)) for _, sid, n, root, dense, keys, after, before in group]
         if any(m[3] for m in members):
             found.update(trie_pairs(members))
         if len(found) > 100_000:
@@ -221,14 +224,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shared = written(postings.repartition(shuffle_partitions(spark), "shingle").mapInArrow(only_shared, postings.schema).distinct(), "shared")
     shared = shared.select("shingle", "sid", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
 
-    order = Window.partitionBy("shingle").orderBy("n", "sid")
-    near = shared.select("sid", "n", F.lag("sid").over(order).alias("a1"), F.lag("n").over(order).alias("n1"), F.first("sid").over(order).alias("a2"), F.first("n").over(order).alias("n2"))
-    guess = near.select(F.col("sid").alias("b"), "n", F.explode(F.array(F.struct(F.col("a1").alias("a"), F.col("n1").alias("m")), F.struct(F.col("a2").alias("a"), F.col("n2").alias("m")))).alias("x"))
-    guess = guess.where("x.a is not null and x.a <> b and 4 * x.m >= 3 * n").groupBy("b", F.col("x.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("x.m").alias("m"))
-    # A guess that has few common prefix shingles for its size is left to round two.
-    guess = guess.where("20 * votes >= least(n, m)").groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
-    first = written(verified(texts, sets, guess.select("a", "b")), "links")
-    roots = written(components(first), "components")
+    links, roots = None, None
+    for turn in range(TURNS):
+        found = verified(texts, sets, guesses(shared, roots, turn))
+        links = found if links is None else links.union(found)
+        roots = written(components(links), "components")
 
     labelled = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
@@ -240,13 +240,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     entries = own.select("sid", "n", "root", dense.alias("dense"), beyond.alias("beyond"), F.transform("items", lambda x: x["shingle"]).alias("keys"))
     entries = entries.select("*", F.posexplode("keys").alias("i", "shingle"))
     after = F.greatest(F.size("keys") - F.col("i") - AHEAD, F.lit(0)) + F.col("beyond")
-    entries = entries.select("shingle", "sid", "n", "root", "dense", F.slice("keys", F.col("i") + 1, AHEAD).alias("keys"), after.alias("after"))
+    just_before = F.slice("keys", F.greatest(F.col("i") - AHEAD, F.lit(0)) + 1, F.least(F.col("i"), F.lit(AHEAD)))
+    entries = entries.select("shingle", "sid", "n", "root", "dense", F.slice("keys", F.col("i") + 1, AHEAD).alias("keys"), after.alias("after"), just_before.alias("before"))
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
     dealt = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
     pairs = dealt.mapInArrow(lambda it: tried(it, ranks), "a long, b long").distinct()
-    second = written(verified(texts, sets, pairs), "links")
+    second = verified(texts, sets, pairs)
     if second.take(1):
-        roots = written(components(first.union(second)), "components")
+        roots = written(components(links.union(second)), "components")
 
     known = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -256,6 +257,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"), own_id.alias("component_id"))
 
 
+def guesses(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): for each set at most one other, of another component, with which it shares most groups as a neighbour.
+
+    Neighbours are those next to it by size at first, then by a hash that changes with the turn; the rows don't exceed the sets."""
+    if roots is None:
+        rows, order = shared.withColumn("root", F.col("sid")), Window.partitionBy("shingle").orderBy("n", "sid")
+    else:
+        rows = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        order = Window.partitionBy("shingle").orderBy(F.xxhash64("sid", F.lit(turn)), "sid")
+    own = F.struct(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
+    near = rows.select("sid", "n", "root", F.array(F.lag(own).over(order), F.first(own).over(order)).alias("near"))
+    near = near.select(F.col("sid").alias("b"), "n", "root", F.explode("near").alias("x")).where("x.r <> root and 4 * least(x.m, n) >= 3 * greatest(x.m, n)")
+    votes = near.groupBy("b", F.col("x.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("x.m").alias("m"))
+    # A pair with few common prefix shingles for its size is left to the last round.
+    return votes.where("20 * votes >= least(n, m)").groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+
+
 def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of set ids (a, b) whose whole sets reach the threshold."""
     pairs = written(pairs, "pairs")
@@ -266,7 +284,7 @@ def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     with_a = pairs.join(found.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     with_b = with_a.join(found.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return with_b.where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return written(with_b.where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
