@@ -1,6 +1,353 @@
-"""The registered queries and the SQL that they are compared with."""
+"""The registered queries, each over its whole tables, and the SQL that they are compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldwise.functions import scalars as S
+from fieldwise.operators import changes, documents, lookups, retrieval, rules
+from fieldwise.plans.views import oracle, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+YEAR = 1995
+SEPT = "make_date(production_year, 9, 1)"
+
+
+def query(sql: str | None = None, views: str = "") -> Callable:
+    """Register a query under its function's name; sql is its oracle, over the named views."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = oracle(views, sql) if views else sql
+        return f
+
+    return register
+
+
+def _parcel_programs(spark: SparkSession, d: str) -> DataFrame:
+    # Five programs, so each parcel becomes five rows.
+    return view(spark, d, "parcels").withColumn("program_key", F.explode(F.array(*[F.lit(p) for p in rules.PROGRAMS])))
+
+
+def _entitlements(spark: SparkSession, d: str) -> DataFrame:
+    rows = _parcel_programs(spark, d)
+    keys = rows.select("parcel_id", "program_key", "crop_code", "production_year", "province", "district")
+    return rules.entitlements(rows, lookups.match_rules(keys, view(spark, d, "rules"), F.expr(SEPT)))
+
+
+ENTITLED = """with pp as (select p.*, g.program_key from parcels p cross join programs g),
+m as (select pp.parcel_id, pp.program_key, count(*) as n, count(distinct official_unit_amount) as na, arg_min(official_unit_amount, rule_no) as ua, arg_min(r.review_status, rule_no) as rs
+ from pp join rules r on pp.program_key = r.program_key and pp.crop_code = r.crop_code and pp.production_year = r.production_year
+ where r.effective_from <= make_date(cast(pp.production_year as bigint), 9, 1) and (r.effective_to is null or r.effective_to >= make_date(cast(pp.production_year as bigint), 9, 1))
+ and (r.province = '*' or r.province = pp.province) and (r.district = '*' or r.district = pp.district) group by 1, 2),
+f as (select pp.*, m.n, m.na, m.ua, m.rs,
+ case when pp.program_key = 'WATER_RESTRICTION' then case irrigation when 'UNKNOWN' then null else irrigation = 'IRRIGATED' end when pp.program_key = 'CERTIFIED_SEED' then certified_seed when pp.program_key = 'CERTIFIED_SAPLING' then certified_sapling else true end as extra
+ from pp left join m on pp.parcel_id = m.parcel_id and pp.program_key = m.program_key),
+e as (select parcel_id, program_key, area_da, case when na = 1 then ua end as unit_amount,
+ case when n is null then 'UNKNOWN' when na > 1 then 'REVIEW' when cks_registered is null or extra is null then 'REVIEW' when not cks_registered or not extra then 'NOT_ELIGIBLE' when rs <> 'VERIFIED' then 'REVIEW' else 'ELIGIBLE' end as status from f),
+ent as (select parcel_id, program_key, status, unit_amount, area_da, case when status = 'NOT_ELIGIBLE' then 0 when status <> 'UNKNOWN' then cast(round(area_da * unit_amount, 2) as decimal(18,2)) end as proposed from e)
+"""
+
+
+@query(ENTITLED + "select * from ent", "parcels programs rules")
+def parcel_entitlement(spark: SparkSession, d: str) -> DataFrame:
+    return _entitlements(spark, d)
+
+
+@query(ENTITLED + """select parcel_id, coalesce(sum(case when status in ('ELIGIBLE', 'REVIEW') then proposed end), 0) as proposed_total,
+ case when not bool_or(status = 'REVIEW' or (status = 'ELIGIBLE' and area_da <= 0)) then coalesce(sum(case when status = 'ELIGIBLE' then proposed end), 0) end as payable_total,
+ case when bool_or(status = 'REVIEW') then 'REVIEW' when bool_or(status = 'ELIGIBLE') then 'ELIGIBLE' else 'NOT_ELIGIBLE' end as overall,
+ count(*) filter (where status = 'UNKNOWN') as unknown_count from ent group by parcel_id""", "parcels programs rules")
+def parcel_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rules.roll_up(_entitlements(spark, d))
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.rate_as_of(_parcel_programs(spark, d), view(spark, d, "rates"), view(spark, d, "source_versions"), F.expr(SEPT))
+
+
+RATED = """with pp as (select p.*, g.program_key from parcels p cross join programs g),
+h as (select pp.parcel_id, pp.program_key, count(*) as n, min(unit_amount) as ua from pp join rates r on pp.program_key = r.program_id and pp.crop_code = r.crop_name and pp.production_year = r.production_year
+ join source_versions v on r.source_version_id = v.id where r.review_status = 'VERIFIED' and not v.superseded
+ and r.effective_from <= make_date(cast(pp.production_year as bigint), 9, 1) and (r.effective_to is null or r.effective_to >= make_date(cast(pp.production_year as bigint), 9, 1))
+ and ((r.province = '*' and r.district = '*') or (r.province = pp.province and r.district = pp.district)) group by 1, 2),
+rated as (select pp.*, coalesce(h.n, 0) as n_rates, case when h.n = 1 then h.ua end as unit_amount from pp left join h on pp.parcel_id = h.parcel_id and pp.program_key = h.program_key)
+"""
+
+
+@query(RATED + "select parcel_id, program_key, n_rates, unit_amount from rated", "parcels programs rates source_versions")
+def rate_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return _rated(spark, d).select("parcel_id", "program_key", "n_rates", "unit_amount")
+
+
+PLACES = """b as (select province, district, bool_and(coverage_complete) as complete, bool_or(drip_required) as drip_required from basin group by 1, 2),
+bas as (select p.parcel_id, b.drip_required, case when not coalesce(b.complete, false) then 'UNKNOWN' when l.crop_code is not null then 'LISTED' else 'NOT_LISTED' end as basin
+ from parcels p left join b on p.province = b.province and p.district = b.district left join basin l on p.province = l.province and p.district = l.district and p.crop_code = l.crop_code),
+wat as (select p.parcel_id, case when w.restriction_status <> 'UNDER_REVIEW' then w.restriction_status else 'UNKNOWN' end as water from parcels p left join water w on p.province = w.province and p.district = w.district)
+"""
+
+
+@query(f"with {PLACES} select * from bas", "parcels basin water")
+def basin_membership(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.basin_membership(view(spark, d, "parcels"), view(spark, d, "basin")).select("parcel_id", "drip_required", "basin")
+
+
+@query(f"with {PLACES} select * from wat", "parcels basin water")
+def water_scope(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.water_scope(view(spark, d, "parcels"), view(spark, d, "water")).select("parcel_id", "water")
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    rows = lookups.water_scope(lookups.basin_membership(_rated(spark, d), view(spark, d, "basin")), view(spark, d, "water"))
+    rows = rows.withColumn("water_hungry", F.col("crop_code").endswith("1")).withColumn("generic_crop", F.col("crop_code").endswith("55"))
+    return rules.evaluate(rows, YEAR)
+
+
+DECIDED = RATED.rstrip() + ", " + PLACES.rstrip() + """,
+x as (select r.*, bas.basin, bas.drip_required, wat.water, r.crop_code like '%1' as hungry, r.crop_code like '%55' as generic, case irrigation when 'UNKNOWN' then null else irrigation = 'IRRIGATED' end as drip
+ from rated r join bas on r.parcel_id = bas.parcel_id join wat on r.parcel_id = wat.parcel_id),
+y as (select *, coalesce(not cks_registered, false) or (hungry and water = 'RESTRICTED') or case program_key when 'BASIC_SUPPORT' then production_year <> 1995 or area_da <= 0
+  when 'PLANNED_PRODUCTION' then basin = 'NOT_LISTED' or (coalesce(drip_required, false) and coalesce(not drip, false)) when 'CERTIFIED_SEED' then coalesce(not certified_seed, false)
+  when 'CERTIFIED_SAPLING' then coalesce(not certified_sapling, false) or coalesce(not is_closed_orchard, false) or area_da < 5 else water = 'NOT_RESTRICTED' or irrigation = 'DRY' end as failed,
+ cks_registered is null or unit_amount is null or (hungry and water = 'UNKNOWN') or generic or case program_key when 'BASIC_SUPPORT' then false when 'PLANNED_PRODUCTION' then basin = 'UNKNOWN' or (coalesce(drip_required, false) and drip is null)
+  when 'CERTIFIED_SEED' then certified_seed is null when 'CERTIFIED_SAPLING' then certified_sapling is null or is_closed_orchard is null else water = 'UNKNOWN' or irrigation = 'UNKNOWN' end as missing from x),
+dec as (select parcel_id, program_key, case when failed then 'NOT_ELIGIBLE' when missing then 'REVIEW' else 'ELIGIBLE' end as status, area_da, unit_amount from y),
+res as (select parcel_id, program_key, status, case when status = 'ELIGIBLE' then cast(round(area_da * unit_amount, 2) as decimal(18,2)) end as amount from dec)
+"""
+
+
+@query(DECIDED + "select * from res", "parcels programs rates source_versions basin water")
+def five_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d).select("parcel_id", "program_key", "status", "amount")
+
+
+@query(DECIDED + "select parcel_id, case when not bool_or(status = 'REVIEW') then sum(amount) end as total, count(*) filter (where status = 'ELIGIBLE') as n_eligible from res group by parcel_id", "parcels programs rates source_versions basin water")
+def parcel_total(spark: SparkSession, d: str) -> DataFrame:
+    return rules.parcel_total(_decided(spark, d))
+
+
+@query("""select a.rule_no as a_rule, b.rule_no as b_rule, a.program_key, a.crop_code, a.production_year from rules a join rules b on a.program_key = b.program_key and a.crop_code = b.crop_code and a.production_year = b.production_year
+ and a.province = b.province and a.district = b.district and a.rule_no < b.rule_no and a.effective_from <= coalesce(b.effective_to, date '9999-12-31') and b.effective_from <= coalesce(a.effective_to, date '9999-12-31') and a.official_unit_amount <> b.official_unit_amount""", "rules")
+def rule_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.rule_conflicts(view(spark, d, "rules"))
+
+
+@query("select program_key, crop_code, production_year, count(*) as n_entries from rules group by 1, 2, 3 having bool_or(province = '*') and bool_or(province <> '*')", "rules")
+def scope_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.scope_overlap(view(spark, d, "rules"))
+
+
+@query("""select rule_no, concat_ws(',', case when production_year % 3 = 0 then 'AMOUNT' end, case when effective_to < f then 'INTERVAL' end, case when production_year % 3 = 0 then 'FORMULA' end) as violations
+ from (select *, case when rule_no % 7 = 0 then make_date(cast(production_year + 1 as bigint), 1, 1) else effective_from end as f from rules) x where production_year % 3 = 0 or effective_to < f""", "rules")
+def candidate_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with errors planted: no amount in every third year, and late starts."""
+    rows = view(spark, d, "rules").withColumn("official_unit_amount", F.when(F.col("production_year") % 3 == 0, F.lit(0).cast("decimal(14,2)")).otherwise(F.col("official_unit_amount")))
+    return documents.candidate_violations(rows.withColumn("effective_from", F.when(F.col("rule_no") % 7 == 0, F.expr("make_date(production_year + 1, 1, 1)")).otherwise(F.col("effective_from"))), (1990, 2100))
+
+
+@query("""select o.o_orderkey as subject_id, coalesce(count(a.role) = 2 and count(distinct a.role) = 2 and count(distinct a.principal_id) = 2 and bool_and(a.signature_valid and a.subject_digest = sha256(cast(o.o_orderkey as varchar(20)))), false) as approved
+ from orders o left join attestations a on o.o_orderkey = a.subject_id group by 1""", "attestations")
+def approval_gate(spark: SparkSession, d: str) -> DataFrame:
+    subjects = view(spark, d, "orders").select(F.col("o_orderkey").alias("subject_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"))
+    return lookups.approved(subjects, view(spark, d, "attestations"))
+
+
+LOW = "lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç'))"
+
+
+@query(f"select doc_id, md5(trim(regexp_replace(translate({LOW}, 'ığüşöçâîû', 'igusocaiu'), '\\s+', ' ', 'g'))) as folded from documents")
+def tr_fold(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "documents").select("doc_id", F.md5(S.fold(F.col("text"))).alias("folded"))
+
+
+@query(f"select doc_id, cast(len(regexp_extract_all({LOW}, '[a-zçğıöşüâîû0-9]+')) as bigint) as n_tokens, cast(len(list_distinct(regexp_extract_all({LOW}, '[a-zçğıöşüâîû0-9]+'))) as bigint) as n_distinct from documents where text is not null")
+def tokenize(spark: SparkSession, d: str) -> DataFrame:
+    words = S.words_of(F.col("text"))
+    return view(spark, d, "documents").where("text is not null").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+
+
+@query("select page_id, sha256(trim(html)) as content_hash from pages where trim(html) <> ''")
+def content_hash(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "pages").select("page_id", S.content_hash(F.col("html")).alias("content_hash")).where("content_hash is not null")
+
+
+@query()
+def canonical_html(spark: SparkSession, d: str) -> DataFrame:
+    text = S.html_text(F.col("html"))
+    return view(spark, d, "pages").select("page_id", F.sha2(text, 256).alias("text_hash"), F.length(text).alias("n_chars"))
+
+
+@query()
+def chunk_articles(spark: SparkSession, d: str) -> DataFrame:
+    return documents.article_chunks(view(spark, d, "documents")).select("doc_id", "nth", F.length("chunk").alias("n_chars"))
+
+
+@query("select page_id, cast(i as bigint) as nth, list_distinct_ordered[i] as href from (select page_id, list_distinct_ordered, unnest(range(1, least(len(list_distinct_ordered), 20) + 1)) as i from (select page_id, list_reduce(list_prepend([]::varchar[], list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"#]+)', 1), lambda x: [x])), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from pages) x) y")
+def link_discovery(spark: SparkSession, d: str) -> DataFrame:
+    return documents.links(view(spark, d, "pages")).withColumn("nth", F.col("nth").cast("long"))
+
+
+BM25 = """with t as (select doc_id as chunk_id, regexp_extract_all(lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+') as ws from documents),
+u as (select chunk_id, len(ws) as dl, unnest(ws) as token from t), s as (select count(*) as n, avg(len(ws)) as avgdl from t),
+p as (select chunk_id, token, count(*) as tf, min(dl) as dl from u group by 1, 2), df as (select token, count(*) as df from p group by 1),
+q as (select item_id as query_id, unnest(regexp_extract_all(lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+')) as token from benchmark),
+qt as (select query_id, token, count(*) as qtf from q group by 1, 2),
+sc as (select query_id, chunk_id, round(sum(qtf * ln((n + 1) / df) * (1.0 + tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf))), 6) as score from qt join df using (token) join p using (token) cross join s group by 1, 2),
+bm as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc)
+"""
+
+
+def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    queries = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    chunks = view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    words = S.words_of(F.col("text"))
+    return retrieval.bm25_top(queries, chunks, words, words, k)
+
+
+@query(BM25 + "select query_id, chunk_id, score, rank from bm where rank <= 5")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d, 5)
+
+
+DENSE = """v as (select vec_id, label, embedding::double[] as e from embeddings), z as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v),
+dn as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_inner_product(q.e, c.e), 6) as score, row_number() over (partition by q.vec_id order by round(list_inner_product(q.e, c.e), 6) desc, c.vec_id) as rank from z q cross join z c where q.vec_id % 20 = 0)
+"""
+
+
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    rows = view(spark, d, "embeddings")
+    return retrieval.dense_top(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), k)
+
+
+@query(f"with {DENSE} select query_id, chunk_id, score, rank from dn where rank <= 5")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector is a query, against all vectors."""
+    return _dense(spark, d, 5)
+
+
+@query(f"""with {DENSE}, g as (select dn.query_id, min(dn.rank) as first from dn join z a on dn.query_id = a.vec_id join z b on dn.chunk_id = b.vec_id where dn.rank <= 5 and a.label = b.label and a.vec_id <> b.vec_id group by 1),
+r as (select z.vec_id, g.first from z left join g on z.vec_id = g.query_id where z.vec_id % 20 = 0)
+select round(avg(case when first <= 1 then 1.0 else 0 end), 4) as hit_1, round(avg(case when first <= 3 then 1.0 else 0 end), 4) as hit_3, round(avg(case when first <= 5 then 1.0 else 0 end), 4) as hit_5,
+ round(avg(coalesce(1.0 / first, 0)), 4) as mrr, round(avg(case when first <= 5 then 1 / log2(first + 1) else 0 end), 4) as ndcg_5 from r""")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the query's label, but for itself, are relevant."""
+    rows, ranked = view(spark, d, "embeddings").select("vec_id", "label"), _dense(spark, d, 5)
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    good = ranked.join(queries, "query_id").join(rows.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").where("own = label and query_id <> chunk_id")
+    return retrieval.retrieval_metrics(queries, ranked, good.select("query_id", "chunk_id"))
+
+
+@query(BM25.rstrip() + """, n as (select query_id, chunk_id, row_number() over (partition by query_id order by round(0 - abs(hash_len), 6) desc, chunk_id) as rank from (select q.query_id, d.doc_id as chunk_id, length(d.text) - q.n as hash_len from (select item_id as query_id, length(text) as n from benchmark) q join bm on q.query_id = bm.query_id and bm.rank <= 20 join documents d on bm.chunk_id = d.doc_id) x),
+a as (select query_id, chunk_id, rank as ra from bm where rank <= 20), b as (select query_id, chunk_id, rank as rb from n where rank <= 10),
+f as (select query_id, chunk_id, round(coalesce(0.5 / (ra + 60), 0) + coalesce(0.5 / (rb + 60), 0), 6) as score from a full outer join b using (query_id, chunk_id)),
+k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f) select * from k where rank <= 5""")
+def rrf_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical list fused with a second one, by nearness of length."""
+    lexical = _bm25(spark, d, 20)
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("n"))
+    asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("m"))
+    second = lexical.join(docs, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", (-F.abs(F.col("n") - F.col("m"))).cast("double").alias("score"))
+    return retrieval.fused(lexical, retrieval.top(second, 10))
+
+
+@query("select b.item_id as quote_id, d.doc_id as page_id, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n_times from benchmark b join documents d on contains(d.text, b.text) where length(b.text) >= 15 and len(string_split_regex(trim(regexp_replace(b.text, '\\s+', ' ', 'g')), ' ')) >= 8")
+def citation_verify(spark: SparkSession, d: str) -> DataFrame:
+    quotes = view(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    return retrieval.passage_pages(quotes, view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), "text"))
+
+
+@query("""with c as (select b.item_id, bool_or(d.doc_id is not null) as found from benchmark b left join documents d on contains(d.text, b.text) group by 1)
+select round(avg(case when found then 1.0 else 0 end), 6) as precision, round(sum(case when found and item_id % 5 <> 0 then 1.0 else 0 end) / sum(case when item_id % 5 <> 0 then 1 else 0 end), 6) as recall,
+ round(1 - avg(case when found then 1.0 else 0 end), 6) as unsupported_rate, round(avg(case when item_id % 2 = 0 then 1.0 else 0 end), 6) as freshness, round(sum(case when not found and item_id % 5 = 0 then 1.0 else 0 end) / sum(case when item_id % 5 = 0 then 1 else 0 end), 6) as refusal from c""")
+def citation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    items = view(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"))
+    held = citation_verify(spark, d).select("quote_id").distinct().withColumn("found", F.lit(True))
+    rows = items.join(held, "quote_id", "left").select(F.lit(True).alias("cited"), F.coalesce("found", F.lit(False)).alias("supported"), (F.col("quote_id") % 5 != 0).alias("supportable"), (F.col("quote_id") % 2 == 0).alias("current"))
+    return retrieval.citation_metrics(rows)
+
+
+@query("select source_id, event_id, case when before is null then 'NEW' when before = content_hash then 'UNCHANGED' else 'UPDATED' end as status from (select *, lag(content_hash) over (partition by source_id order by ts, event_id) as before from snapshots) x", "snapshots")
+def change_events(spark: SparkSession, d: str) -> DataFrame:
+    return changes.change_events(view(spark, d, "snapshots"))
+
+
+@query("""with k as (select distinct sha256(question) as q, sha256(question || chr(10) || answer) as h from qa where batch_no = 1), v as (select q, count(*) as v from k group by 1), f as (select distinct sha256(question) as q, sha256(question || chr(10) || answer) as h from qa where batch_no = 2),
+j as (select f.q, f.h, case when k.h is not null then 'SKIPPED' when v.v is not null then 'SUPERSEDES' else 'NEW' end as status, coalesce(v.v, 0) as v from f left join k on f.h = k.h left join v on f.q = v.q)
+select q, h, status, case when status <> 'SKIPPED' then v + row_number() over (partition by q, status order by h) end as version from j""", "qa")
+def harvest_diff(spark: SparkSession, d: str) -> DataFrame:
+    qa = view(spark, d, "qa")
+    return changes.harvest(qa.where("batch_no = 2"), qa.where("batch_no = 1"))
+
+
+@query("""with c as (select cast(floor(doc_id / 2) as bigint) as clause_key, doc_id % 2 as side, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents),
+p as (select * from c where side = 0), n as (select * from c where side = 1),
+j as (select coalesce(p.clause_key, n.clause_key) as clause_key, case when p.clause_key is null then 'ADDED' when n.clause_key is null then 'REMOVED' when p.t = n.t then 'UNCHANGED' else 'CHANGED' end as change, string_split(p.t, ' ') as a, string_split(n.t, ' ') as b from p full outer join n on p.clause_key = n.clause_key)
+select clause_key, change, case when change = 'CHANGED' then cast(len(list_filter(list_distinct(b), lambda x: not list_contains(a, x))) as bigint) end as added, case when change = 'CHANGED' then cast(len(list_filter(list_distinct(a), lambda x: not list_contains(b, x))) as bigint) end as removed from j""")
+def clause_diff(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("clause_key"), (F.col("doc_id") % 2).alias("side"), "text")
+    return changes.clause_diff(rows.where("side = 0"), rows.where("side = 1"))
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    events = view(spark, d, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 64).cast("string")).alias("chain"), "event_id", F.col("event_type").alias("payload"))
+    return changes.append_blocks(events)
+
+
+@query()
+def chain_verify(spark: SparkSession, d: str) -> DataFrame:
+    """A block of each fourth chain is altered; those chains, and no others, are found."""
+    bad = (F.col("block_index") == 3) & (F.substring("chain", 2, 9).cast("int") % 4 == 0)
+    return changes.chain_violations(_blocks(spark, d).withColumn("payload", F.when(bad, "forged").otherwise(F.col("payload"))))
+
+
+@query()
+def checkpoint_root(spark: SparkSession, d: str) -> DataFrame:
+    return changes.root_hash(_blocks(spark, d))
+
+
+@query("select count(*) as n_cases, round(avg(case when l.quality = case when length(d.text) > 300 then 1 else 0 end then 1.0 else 0 end), 6) as status_accuracy, count(*) filter (where l.toxic = 1) as n_amounts, round(avg(case when l.toxic = 1 then case when l.quality = 1 then 1.0 else 0 end end), 6) as amount_accuracy from labels l join documents d on l.doc_id = d.doc_id")
+def decision_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as expectations of a rule by length; an amount is expected of toxic rows."""
+    rows = view(spark, d, "labels").join(view(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    return retrieval.decision_metrics(rows.select(F.col("quality").alias("expected"), (F.col("n") > 300).cast("int").alias("actual"), F.when(F.col("toxic") == 1, 1).alias("expected_amount"), F.col("quality").alias("actual_amount")))
+
+
+@query()
+def faq_match(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as known questions, user turns as questions asked."""
+    asked = view(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+    faqs = view(spark, d, "benchmark").select(F.col("item_id").alias("faq_id"), F.col("text").alias("question"), F.slice(S.words_of(F.col("text")), 1, 3).alias("keywords"))
+    return documents.match_faq(asked, faqs)
+
+
+@query("select production_year, review_status, count(*) as n_rules from rules group by 1, 2", "rules")
+def rule_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "rules").groupBy("production_year", "review_status").agg(F.count(F.lit(1)).alias("n_rules"))
+
+
+@query("select role, count(*) as n_turns, count(distinct conv_id) as n_conversations from conversations group by 1")
+def faq_stats(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"))
+
+
+@query("select doc_id, cast(len(regexp_extract_all(text, '(?i)token')) as bigint) as n from documents where len(regexp_extract_all(text, '(?i)token')) > 0")
+def keyword_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("(?i)token")).cast("long").alias("n")).where("n > 0")
+
+
+@query("select id, source_id, 'UNIQUE' as violation from (select *, count(*) over (partition by source_id) as n from source_versions) x where n > 1 union all select id, source_id, 'LIVE' from source_versions where superseded", "source_versions")
+def table_constraints(spark: SparkSession, d: str) -> DataFrame:
+    return changes.constraint_violations(view(spark, d, "source_versions"), ["id", "source_id"], {"LIVE": "not superseded"}, ["source_id"])
+
+
+@query("""with n as (select parcel_id, area_da, irrigation from parcels where production_year >= 1995), o as (select parcel_id, case when parcel_id % 10 = 1 then area_da + 1 else area_da end as area_da, irrigation from parcels where production_year <= 1996)
+select n.parcel_id, case when o.parcel_id is null then 'INSERT' when n.area_da = o.area_da and n.irrigation = o.irrigation then 'SAME' else 'CONFLICT' end as outcome from n left join o on n.parcel_id = o.parcel_id""", "parcels")
+def staging_outcome(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "parcels").select("parcel_id", "area_da", "irrigation", "production_year")
+    old = rows.where("production_year <= 1996").withColumn("area_da", F.when(F.col("parcel_id") % 10 == 1, F.col("area_da") + 1).otherwise(F.col("area_da")).cast("decimal(12,2)"))
+    return changes.stage(rows.where("production_year >= 1995").drop("production_year"), old.drop("production_year"), ["parcel_id"]).select("parcel_id", "outcome")
