@@ -161,12 +161,12 @@ def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
     Sets with a common key among the ones just before have met in that key's group."""
     root = Node()
     for sid, n, label, dense, keys, after, before in sorted(members, key=lambda m: (m[1], m[0])):
-        stack = [(root, 0, 0)]
+        stack = [(root, 0, 0, 0)]
         while stack:
-            node, i, overlap = stack.pop()
+            node, i, overlap, unseen = stack.pop()
             left = len(keys) - i + after
             for other, m, its_label, its_left, its_before in node.sets:
-                if its_label != label and 4 * m >= 3 * n and overlap + min(left, its_left) >= needed(n, m) and before.isdisjoint(its_before):
+                if its_label != label and 4 * m >= 3 * n and overlap + min(left, its_left + unseen) >= needed(n, m) and before.isdisjoint(its_before):
                     yield (other, sid) if other < sid else (sid, other)
             for key, child in node.children.items():
                 if child.label == label:
@@ -176,8 +176,10 @@ def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
                     j += 1
                 hit = j < len(keys) and keys[j] == key
                 now = overlap + hit
-                if now + min(len(keys) - j - hit + after, child.most_left) >= needed(n, max(child.least_n, (3 * n + 3) // 4)):
-                    stack.append((child, j + hit, now))
+                # Keys of the path beyond those that this entry spells out may be common too.
+                more = unseen + (j >= len(keys))
+                if now + min(len(keys) - j - hit + after, child.most_left + more) >= needed(n, max(child.least_n, (3 * n + 3) // 4)):
+                    stack.append((child, j + hit, now, more))
         if dense:
             node = root
             for depth, key in enumerate(keys):
