@@ -106,7 +106,7 @@ def root_hash(blocks: DataFrame) -> DataFrame:
 def constraint_violations(rows: DataFrame, key: list[str], checks: dict[str, str], unique: list[str]) -> DataFrame:
     """(key..., violation): rows that fail a SQL check (null passes, as in SQL), and rows whose ``unique`` columns repeat."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*unique))
-    found = F.array_compact(F.array(*[F.when(~F.expr(c), F.lit(name)) for name, c in checks.items()], F.when(n > 1, F.lit("UNIQUE"))))
+    found = F.array_compact(F.array(*[F.when(~F.expr(c), F.lit(name)) for name, c in checks.items()], F.when(F.col("_n") > 1, F.lit("UNIQUE"))))
     return rows.withColumn("_n", n).select(*key, F.explode(found).alias("violation"))
 
 
