@@ -127,18 +127,33 @@ def components(edges: DataFrame) -> DataFrame:
             out = near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.where("a <> b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def ended(e: DataFrame) -> bool:
+        """Whether only stars are left: no id points at two others, none that points at one is pointed at."""
+        ends = e.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("id").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or out > 0 and into > 0").count() == 0
 
-    edges = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    before = None
-    while (now := state(edges)) != before:
-        before = now
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not ended(edges):
         edges = written(starred(starred(edges, small=False), small=True), "stars")
     roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.union(roots.select("root", "root").distinct())
 
 
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, root) after more links (a, b): only the graph of the roots that the new links touch is searched, not all links so far."""
+    if roots is None:
+        return written(components(links), "components")
+    of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    moved = written(components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "moved")
+    n = moved.count()
+    if not n:
+        return roots
+    changed = roots.join(if_small(moved.select(F.col("id").alias("root"), F.col("root").alias("new")), n), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+    # Roots point at themselves, so ids that are no one's yet are those without a row.
+    return written(changed.union(moved.join(roots.select("id"), "id", "left_anti").select("id", "root")), "components")
+
+
 class Node:
     __slots__ = ("children", "sets", "least_n", "most_left", "label")
 
@@ -226,11 +241,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shared = written(postings.repartition(shuffle_partitions(spark), "shingle").mapInArrow(only_shared, postings.schema).distinct(), "shared")
     shared = shared.select("shingle", "sid", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
 
-    links, roots = None, None
+    roots = None
     for turn in range(TURNS):
-        found = verified(texts, sets, guesses(shared, roots, turn))
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "components")
+        roots = joined(roots, verified(texts, sets, guesses(shared, roots, turn)))
 
     labelled = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
@@ -247,9 +260,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
     dealt = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
     pairs = dealt.mapInArrow(lambda it: tried(it, ranks), "a long, b long").distinct()
-    second = verified(texts, sets, pairs)
-    if second.take(1):
-        roots = written(components(links.union(second)), "components")
+    roots = joined(roots, verified(texts, sets, pairs))
 
     known = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -1,6 +1,7 @@
 """The corpus operators against SQL, brute force and exact round trips, on the smallest tables and on awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -262,3 +263,23 @@ def test_pipeline(spark, tmp_path):
     assert at.count() > 0
     got, again = rows(p.run(spark, SF).toPandas()), rows(p.STAGES[-1][1](spark, at, SF).toPandas())
     assert got == again
+
+
+def test_components_of_links_that_come_in_turns(spark):
+    rng = random.Random(5)
+    roots, parent = None, {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    turns = [[(i, i + 1) for i in range(-40, 0)], [(rng.randrange(-60, 200), rng.randrange(-60, 200)) for _ in range(40)], [], [(5, 5)], [(rng.randrange(-60, 200), rng.randrange(-60, 200)) for _ in range(60)]]
+    for links in turns:
+        roots = ngram_join.joined(roots, spark.createDataFrame(links, "a long, b long"))
+        for a, b in links:
+            x, y = top(a), top(b)
+            parent[max(x, y)] = min(x, y)
+        got = {r["id"]: r["root"] for r in roots.collect()}
+        assert len(got) == roots.count()
+        assert {x: got.get(x, x) for x in parent} == {x: top(x) for x in parent}
