@@ -11,9 +11,11 @@ share one of their first ``n - ceil(0.75 n) + 1`` shingles, so:
    so the pairs grow with the sets and not with the square of a group. Pairs are verified on whole sets and their components found.
 4. The last round, which makes the result exact: every group of a shingle that holds sets of several components is joined by a trie
    of the sets' next shared shingles in global order. Walking the trie carries one overlap for all sets below a node, and a subtree is left as soon
-   as the overlap and what the shorter set has left can't reach the threshold. What is left counts only shingles that may be common, not those that no
-   other set has. By that bound the smaller set of a link has many shared shingles (it is dense), so only dense sets are stored in tries,
-   and documents that merely share a passage aren't paired. Sets of one component need no further pair.
+   as the overlap and what either set has left can't reach the threshold. Of two sets, the one whose prefix ends first has all its common prefix
+   shingles in the other's prefix too, so what it has left counts only its shared prefix shingles and those beyond its prefix; the other may have
+   common ones that lie beyond the first one's prefix, so all its shingles count, by their places in the whole set.
+   A smaller set whose prefix ends first has many shared shingles (it is dense) if it has a link; dense sets are stored in tries. Others only have links with larger
+   sets whose prefixes end before theirs, of sizes that the larger one's bound leaves; they are stored by size. Sets of one component need no further pair.
 
 Results: a null or empty text has an empty set, linked with nothing. Rows with a null doc_id take no part in links (component null).
 Repeated rows are returned each. A doc_id with two texts links as both. Set ids and shingles are 64-bit fingerprints.
@@ -21,8 +23,10 @@ Repeated rows are returned each. A doc_id with two texts links as both. Set ids
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import groupby
+from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -154,13 +158,40 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(changed.union(moved.join(roots.select("id"), "id", "left_anti").select("id", "root")), "components")
 
 
+class Entry(NamedTuple):
+    """A set in a shingle's group. The keys are its next shared shingles in global order, from the group's own on; ``after`` counts those that come later and all
+    shingles beyond the prefix; ``before`` are the shared ones just before. ``places`` are the keys' places in the whole ordered set and ``last`` is the last
+    shingle of the whole prefix; where a group doesn't give them, only bounds hold that don't need them."""
+
+    sid: int
+    n: int
+    label: int
+    dense: bool
+    keys: list
+    after: int
+    before: frozenset
+    places: list | tuple = ()
+    last: Any = None
+
+    def shared(self, i: int) -> int:
+        """Shingles after the first i keys that may be common with a set whose prefix doesn't end before this one's."""
+        return len(self.keys) - i + self.after
+
+    def whole(self, i: int) -> int:
+        """All shingles after the first i keys."""
+        return self.n - self.places[i - 1] - 1 if i and self.places else self.n - i
+
+    def ends_first(self, other: Entry) -> bool:
+        return self.last is not None and other.last is not None and self.last <= other.last
+
+
 class Node:
-    __slots__ = ("children", "sets", "least_n", "most_left", "label")
+    __slots__ = ("children", "sets", "least_n", "most_shared", "most_whole", "label")
 
     def __init__(self) -> None:
         self.children: dict[tuple, Node] = {}
-        self.sets: list[tuple] = []
-        self.least_n, self.most_left, self.label = 1 << 60, -1, None
+        self.sets: list[Entry] = []
+        self.least_n, self.most_shared, self.most_whole, self.label = 1 << 60, -1, -1, None
 
 
 def needed(n: int, m: int) -> int:
@@ -169,20 +200,22 @@ def needed(n: int, m: int) -> int:
 
 
 def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Pairs of different labels that may reach the threshold, of sets that have the first key in common.
+    """Pairs of different labels that may reach the threshold, of sets (fields of ``Entry``) that have the first key in common.
 
-    members: (id, n, label, dense, keys, after, before): the keys are the set's next shared shingles in global order, ``after`` counts
-    those that may be common besides: later shared ones and all beyond the prefix. The smaller set of a link is always dense.
     Sets with a common key among the ones just before have met in that key's group."""
-    root = Node()
-    for sid, n, label, dense, keys, after, before in sorted(members, key=lambda m: (m[1], m[0])):
-        stack = [(root, 0, 0, 0)]
+    root, sparse, sizes = Node(), [], []
+    for e in sorted((Entry(*m) for m in members), key=lambda m: (m.n, m.sid)):
+        n, keys, label = e.n, e.keys, e.label
+        stack = [(root, 0, 0, 0, n)]
         while stack:
-            node, i, overlap, unseen = stack.pop()
-            left = len(keys) - i + after
-            for other, m, its_label, its_left, its_before in node.sets:
-                if its_label != label and 4 * m >= 3 * n and overlap + min(left, its_left + unseen) >= needed(n, m) and before.isdisjoint(its_before):
-                    yield (other, sid) if other < sid else (sid, other)
+            node, i, overlap, unseen, its_whole = stack.pop()
+            shared, whole = e.shared(i), e.whole(i)
+            for o in node.sets:
+                if o.label != label and 4 * o.n >= 3 * n:
+                    left = shared if e.ends_first(o) else whole
+                    its_left = o.after + unseen if o.ends_first(e) else its_whole if unseen else o.whole(len(o.keys))
+                    if overlap + min(left, its_left) >= needed(n, o.n) and e.before.isdisjoint(o.before):
+                        yield (o.sid, e.sid) if o.sid < e.sid else (e.sid, o.sid)
             for key, child in node.children.items():
                 if child.label == label:
                     continue
@@ -191,17 +224,42 @@ def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
                     j += 1
                 hit = j < len(keys) and keys[j] == key
                 now = overlap + hit
-                # Keys of the path beyond those that this entry spells out may be common too.
-                more = unseen + (j >= len(keys))
-                if now + min(len(keys) - j - hit + after, child.most_left + more) >= needed(n, max(child.least_n, (3 * n + 3) // 4)):
-                    stack.append((child, j + hit, now, more))
-        if dense:
+                # Keys of the path beyond those that this entry spells out may be common too, and so may all after the last one that it does.
+                more, most_whole = (unseen, child.most_whole) if j < len(keys) else (unseen + 1, its_whole)
+                at = j + hit
+                # Either of the two may be the one whose prefix ends first.
+                left = min(e.whole(at), most_whole) if e.last is None else max(min(e.shared(at), most_whole), min(e.whole(at), child.most_shared + more))
+                if now + left >= needed(n, max(child.least_n, (3 * n + 3) // 4)):
+                    stack.append((child, at, now, more, most_whole))
+        least = (3 * n + 3) // 4
+        # The sizes up to which this set, as the one that ends first, has enough left.
+        most = 7 * (n if e.last is None else e.shared(0)) // 3 - n
+        for o in sparse[bisect_left(sizes, least) : bisect_right(sizes, most)]:
+            if o.label != label and (e.last is None or e.last < o.last) and e.before.isdisjoint(o.before) and may_link(e, o):
+                yield (o.sid, e.sid) if o.sid < e.sid else (e.sid, o.sid)
+        if e.dense:
             node = root
-            for depth, key in enumerate(keys):
+            for depth, key in enumerate(keys, 1):
                 node = node.children.setdefault(key, Node())
                 node.label = label if node.label in (None, label) else -1
-                node.least_n, node.most_left = min(node.least_n, n), max(node.most_left, len(keys) - depth - 1 + after)
-            node.sets.append((sid, n, label, after, before))
+                node.least_n = min(node.least_n, n)
+                node.most_shared, node.most_whole = max(node.most_shared, e.shared(depth)), max(node.most_whole, e.whole(depth))
+            node.sets.append(e)
+        elif 1 + e.whole(1) >= needed(n, n):
+            sparse.append(e)
+            sizes.append(n)
+
+
+def may_link(e: Entry, o: Entry) -> bool:
+    """Whether two sets may reach the threshold by the keys that they spell out."""
+    i = j = overlap = 0
+    while i < len(e.keys) and j < len(o.keys):
+        x, y = e.keys[i], o.keys[j]
+        overlap += x == y
+        i, j = i + (x <= y), j + (y <= x)
+    left = e.shared(i) if e.ends_first(o) else e.whole(i)
+    its_left = o.shared(j) if o.ends_first(e) else o.whole(j)
+    return overlap + min(left, its_left) >= needed(e.n, o.n)
 
 
 def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +269,12 @@ def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[
         for batch in batches:
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
+    def key(shingle: int) -> tuple[int, int]:
+        return ranks.get(shingle, 0), shingle % (1 << 64)
+
     found: set[tuple[int, int]] = set()
     for _, group in groupby(rows(), key=lambda r: r[0]):
-        members = [(sid, n, root, dense, [(ranks.get(k, 0), k % (1 << 64)) for k in keys], after, frozenset(before)) for _, sid, n, root, dense, keys, after, before in group]
-        if any(m[3] for m in members):
-            found.update(trie_pairs(members))
+        found.update(trie_pairs([(sid, n, root, dense, [key(k) for k in keys], after, frozenset(before), places, key(last)) for _, sid, n, root, dense, keys, after, before, places, last in group]))
         if len(found) > 100_000:
             yield as_pairs(found)
             found = set()
@@ -233,7 +292,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     frequent, rank = frequent_shingles(texts)
     sig = written(texts.mapInArrow(lambda it: signatures(it, frequent, rank), "doc_id long, sid long, n int, prefix array<long>"), "signatures")
 
-    sets = sig.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"))
+    sets = sig.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"))
     sets = written(sets, "sets")
     several = sets.where("copies > 1").select("sid", "rep")
     alone = sig.where("n > 0 and doc_id is not null").join(if_small(several, several.count()), "sid", "left").where("rep is null or rep = doc_id")
@@ -252,11 +311,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
     beyond = F.col("n") - prefix
     dense = F.size("items") + beyond >= F.floor((6 * F.col("n") + 6) / 7)
-    entries = own.select("sid", "n", "root", dense.alias("dense"), beyond.alias("beyond"), F.transform("items", lambda x: x["shingle"]).alias("keys"))
+    own = own.join(sets.select("sid", "last"), "sid")
+    entries = own.select("sid", "n", "root", "last", dense.alias("dense"), beyond.alias("beyond"), F.col("items")["shingle"].alias("keys"), F.col("items")["place"].alias("places"))
     entries = entries.select("*", F.posexplode("keys").alias("i", "shingle"))
     after = F.greatest(F.size("keys") - F.col("i") - AHEAD, F.lit(0)) + F.col("beyond")
     just_before = F.slice("keys", F.greatest(F.col("i") - AHEAD, F.lit(0)) + 1, F.least(F.col("i"), F.lit(AHEAD)))
-    entries = entries.select("shingle", "sid", "n", "root", "dense", F.slice("keys", F.col("i") + 1, AHEAD).alias("keys"), after.alias("after"), just_before.alias("before"))
+    next_ = lambda c: F.slice(c, F.col("i") + 1, AHEAD).alias(c)
+    entries = entries.select("shingle", "sid", "n", "root", "dense", next_("keys"), after.alias("after"), just_before.alias("before"), next_("places"), "last")
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
     dealt = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
     pairs = dealt.mapInArrow(lambda it: tried(it, ranks), "a long, b long").distinct()

@@ -136,6 +136,49 @@ def test_trie_pairs_are_all_links():
     assert {(max(p), min(p)) for p in got} >= want and want
 
 
+def test_trie_pairs_of_texts_contained_in_longer_ones():
+    """Frequent shingles, late in the order, in sets that stand in others with rare shingles besides, with and without the prefix's end."""
+    rng = random.Random(4)
+    sets = []
+    for base in range(12):
+        core = rng.sample(range(10**6 * (base + 1), 10**6 * (base + 1) + 5000), rng.randrange(30, 120))
+        sets += [set(core), set(core) - set(rng.sample(core, 3))]
+        for _ in range(6):
+            sets.append(set(core) | {rng.randrange(10**6) for _ in range(rng.randrange(len(core) // 6, len(core) // 3 + 1))})
+        passage = set(core[:8])
+        sets += [passage | {rng.randrange(10**6, 10**8) for _ in range(60)} for _ in range(4)]
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    want = {p for p, x in jaccard.items() if x >= 0.75}
+    assert sum(x < 0.85 for p, x in jaccard.items() if p in want) > 20
+    order = [sorted(s) for s in sets]
+    prefix = [s[: len(s) - (3 * len(s) + 3) // 4 + 1] for s in order]
+    count = Counter(x for p in prefix for x in p)
+    for more in (False, True):
+        got = set()
+        for key in count:
+            members = []
+            for i, p in enumerate(prefix):
+                shared = [x for x in p if count[x] > 1]
+                if key in shared:
+                    at, n = shared.index(key), len(order[i])
+                    keys, beyond = shared[at : at + ngram_join.AHEAD], n - len(p)
+                    m = (i, n, i, len(shared) + beyond >= ngram_join.needed(n, n), keys, len(shared) - at - len(keys) + beyond, frozenset(shared[max(0, at - ngram_join.AHEAD) : at]))
+                    members.append((*m, [p.index(k) for k in keys], p[-1]) if more else m)
+            got |= set(ngram_join.trie_pairs(members))
+        assert {(max(p), min(p)) for p in got} >= want
+
+
+def test_near_copies_of_a_text_contained_in_a_longer_one(spark):
+    texts = []
+    for case, extra in enumerate((31, 32, 33, 34, 20)):
+        core = " ".join(f"c{case}w{i}" for i in range(104))
+        texts += [core] * 6 + [core + "".join(f" e{case}x{i}" for i in range(extra))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(docs).collect()}
+    # 100 shingles of 100 + extra: 0.75 is reached up to 33.
+    assert got == {i: i if i == 7 * 3 + 6 else i // 7 * 7 for i in range(35)}
+
+
 def test_quality(spark, odd, none):
     got = {r["doc_id"]: r for r in quality_rules.judge(odd).collect()}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and got[9]["n_repeat_words"] == 30_000 and got[1]["kept"] and not got[6]["kept"]
