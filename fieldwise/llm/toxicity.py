@@ -4,7 +4,9 @@
   training rows; nothing is listed by hand. A stem matches the beginning of a word.
 * Misspellings. The frequent lexicon words stand in a trie; the states of their Levenshtein automata (one edit, or two
   from eight characters on) are pairs of trie node and edits. Sets of them are made into states of one machine when a text
-  first needs them, so a word costs a step for each character until no term is near. Words that training shows to be innocent are left alone.
+  first needs them, so a word costs a step for each character until no term is near. Words near a term are judged as terms are, by the share
+  of toxic ones among all labelled documents that have them: those below it are innocent and left alone, and a term is matched exactly only if its matches, weighed
+  by documents and with an estimate of innocent words not seen yet, stay below it. Shares don't change as the labelled rows grow.
 * Context. A hit inside quotation marks, or close to a word of reporting, is a quotation; the others are open. Address words nearby add to an open hit.
 * Score. Logistic regression on the weights of open and quoted hits, learnt on the training rows.
 
@@ -32,8 +34,6 @@ WORD = re.compile(r"[^\W_]+")
 STEM = range(4, 7)
 #: Least share of toxic documents with a term, of toxic ones among all that have it, and least share for misspellings.
 SUPPORT, RATE, FUZZY_SUPPORT = 0.004, 0.9, 0.01
-#: A term with more innocent words than this within its edits is matched exactly only.
-CROWD = 3
 WINDOW, THRESHOLD = 8, 0.3
 #: Words of reporting and of address, in the languages of the corpus.
 REPORTING = frozenset("said says wrote writes quoted quote called dit disait écrit cité sagte schrieb zitierte nannte dijo escribió citó llamó".split())
@@ -205,16 +205,29 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[str] = set()
-            for text in batch.column("text").to_pylist():
-                found |= {w for w in set(WORD.findall((text or "").lower())) if 0 < first.value.weight(w) < 1}
-            yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(found), pa.string())})
-
-    # Words within the edits of a term that stand in documents labelled clean; bounded by the automata, not by the corpus.
-    innocent = [r["term"] for r in train.where("toxic = 0").select("text").mapInArrow(near, "term string").distinct().collect()]
-    machines = {w: Lexicon([], [w]) for w in words}
-    crowded = {w for w, own in machines.items() if sum(own.weight(i) > 0 for i in innocent) > CROWD}
-    return Lexicon(stems, [w for w in words if w not in crowded], frozenset(innocent))
+            counts: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for w in set(WORD.findall((text or "").lower())):
+                    if 0 < first.value.weight(w) < 1:
+                        counts.setdefault(w, [0, 0])[toxic == 1] += 1
+            yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "clean": pa.array([c[0] for c in counts.values()], pa.int64()), "toxic": pa.array([c[1] for c in counts.values()], pa.int64())})
+
+    # Words within the edits of a term in labelled documents; bounded by the automata, not by the corpus.
+    found = train.where("toxic in (0, 1)").mapInArrow(near, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
+    innocent = frozenset(r["term"] for r in found if r["toxic"] < RATE * (r["toxic"] + r["clean"]))
+    return Lexicon(stems, [w for w in words if clear(w, good[w], clean.get(w, 0), found)], innocent)
+
+
+def clear(word: str, toxic: int, clean: int, found: list) -> bool:
+    """Whether the documents that a term will match are toxic by the share that terms need. found: (term, clean, toxic) of near words.
+
+    Innocent words match nothing; those of a single document stand for as many documents with words not seen yet (Good and Turing's estimate)."""
+    own = Lexicon([], [word])
+    for r in found:
+        both = r["clean"] + r["toxic"]
+        if (r["toxic"] >= RATE * both or both == 1) and own.weight(r["term"]) > 0:
+            toxic, clean = toxic + r["toxic"], clean + r["clean"]
+    return toxic >= RATE * (toxic + clean)
 
 
 def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -295,6 +295,21 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == odd.count() and toxicity.toxicity(none.select("doc_id", "text"), labels).count() == 0
 
 
+def test_misspellings_with_more_labelled_rows(spark):
+    """A misspelling that one clean document has too, and a term with several innocent near words, as the labelled rows grow."""
+    innocent = ["bathetic", "cathetic", "dathetic", "fathetic", "gathetic"]
+    said = {0: "pathetic", 1: innocent[0], 2: innocent[1], 4: innocent[2], 5: innocent[3], 7: innocent[4]}
+    base = [(f"plain prose stands here w{i % 97} x{i % 89} {said.get(i % 9, '')} y{i % 83} z{i}", int(i % 9 == 0)) for i in range(900)]
+    base += [(f"prose a{i} pqthetic b{i}", 1) for i in range(4)]
+    base = [(t, y) if y or i % 40 == 1 else (" ".join(w for w in t.split() if w not in innocent), y) for i, (t, y) in enumerate(base)]
+    for times in (1, 3):
+        rows = base * times + [("someone typed pqthetic here", 0)] * (times > 1)
+        lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+        seen = {w for t, _ in rows for w in t.split()} & set(innocent)
+        assert len(seen) > 3 and seen <= lexicon.innocent and not any(lexicon.weight(w) for w in seen)
+        assert lexicon.weight("pathetic") == 1 and 0 < lexicon.weight("pqthetic") < 1 and 0 < lexicon.weight("patjetic") < 1, times
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
