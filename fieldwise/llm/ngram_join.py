@@ -34,25 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import shuffle_partitions, table, written
+from fieldwise.llm.store import if_small, shuffle_partitions, table, written
 from fieldwise.llm.text import U64, Words, mix, shingle_sets, slices
 
 K = 5
 #: Documents of which the order of shingles is learnt, shingles that it may set apart, and the repeats that do so.
 ORDER_SAMPLE, MOST_FREQUENT, FREQUENT_FROM = 4000, 1 << 16, 4
-#: Rows up to which a table of ids is sent to all executors; a larger one is joined by shuffling.
-SMALL_ROWS = 2_000_000
 #: Shared shingles of a set that its entry in a trie spells out; the rest is counted.
 AHEAD = 6
 #: Rounds of guessing before the exact one.
 TURNS = 4
 
 
-def if_small(ids: DataFrame, n: int) -> DataFrame:
-    """A table of n rows of a few numbers, marked for broadcasting if n has the bound."""
-    return F.broadcast(ids) if n <= SMALL_ROWS else ids
-
-
 def set_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values ^ U64(0x5851F42D4C957F2D)))])
     return mix((total[at[1:]] - total[at[:-1]]) + np.diff(at).astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)

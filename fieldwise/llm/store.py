@@ -6,12 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a table of a few numbers a row is sent to all executors; a larger one is joined by shuffling.
+SMALL_ROWS = 2_000_000
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """A fresh path under ``spark.checkpoint.dir``. Where that is unset, a folder of our own, but only on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="fieldwise-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -24,6 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(ids: DataFrame, n: int) -> DataFrame:
+    """A table of n rows of a few numbers, marked for broadcasting if n has the bound."""
+    return F.broadcast(ids) if n <= SMALL_ROWS else ids
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

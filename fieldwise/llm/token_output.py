@@ -5,12 +5,15 @@ a shard whose documents are in order; shards are numbered in the order of their
 integer run-length encoding, keeps min/max row indexes on every column and Bloom filters on ``doc_id``, so a
 look-up reads only stripes that can hold the document, and stripes can be read in parallel.
 
-Nulls: a null text is an empty one (the end id alone). A null doc_id sorts first. Repeated rows are written
-once for each row. Extra columns are ignored. An empty table gives no rows.
+Nulls: a null text is an empty one (the end id alone). A null doc_id sorts first. Documents with one doc_id, or none, stand in the order of
+a hash of their texts and may fill several shards. Repeated rows are written once for each row. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,53 +24,109 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwise.llm.store import shuffle_partitions, table, work_dir
+from fieldwise.llm.text import slices
 
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers; the older half is forgotten when the memory is full.
+REMEMBERED = 500_000
+#: Rows of texts that are encoded together.
+ROWS = 256
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
 
 
+#: A pre-tokenizer that takes a run of letters, and one of other signs, as a pre-token each; signs that may end a word beside the letters.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = b".,;:!?$#*%&|<>()-"
+_plain = re.compile(rb"([A-Za-z\x80-\xc6]+)([" + re.escape(SIGNS) + rb"]*)")
+#: The character that byte-level vocabularies write for each byte: itself if it is printable, else the next one from 256 on.
+_printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_shown = dict(zip(_printable, map(chr, _printable), strict=True)) | {x: chr(256 + i) for i, x in enumerate(sorted(set(range(256)) - set(_printable)))}
+SHOWN = [_shown[x] for x in range(256)]
+
+
 class Encoder:
-    """Ids of whole texts. White space always parts tokens, so each run between white space is encoded once and remembered."""
+    """Ids of whole texts. White space always parts tokens, so each run between white space is encoded once and remembered.
+
+    Where the tokenizer lower-cases and takes letters and signs apart, new words of Latin letters and signs are cut here and only their parts go to the tokenizer's
+    model; words share most of them. All other words go through the whole tokenizer."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.cuts_letters = steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": LETTER_RUNS} and cuts[1]["type"] == "ByteLevel"
+        self.cuts_letters &= not any(cuts[1][x] for x in ("add_prefix_space", "use_regex")) if self.cuts_letters else False
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> bytes:
+        self.parts: dict[bytes, bytes] = {b"": b""}
+
+    def part(self, run: bytes) -> bytes:
+        """Ids of one pre-token, letters in lower case or signs."""
+        if (ids := self.parts.get(run)) is None:
+            if len(self.parts) > REMEMBERED:
+                self.parts = {b"": b""}
+            found = self.model.tokenize(run.decode() if run.isascii() else "".join([SHOWN[x] for x in run]))
+            ids = self.parts[run] = np.asarray([t.id for t in found], "<i4").tobytes()
+        return ids
+
+    def learn(self, fresh: list[bytes]) -> None:
+        rest = fresh
+        if self.cuts_letters:
+            rest = []
+            for w in fresh:
+                m = _plain.fullmatch(w)
+                if m is None:
+                    rest.append(w)
+                    continue
+                letters = m[1]
+                if letters.isascii():
+                    self.known[w] = self.part(letters.lower()) + self.part(m[2])
+                elif (text := letters.decode().lower()).isalpha():
+                    self.known[w] = self.part(text.encode()) + self.part(m[2])
+                else:
+                    rest.append(w)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        self.known.update(zip(rest, (np.asarray(x.ids, "<i4").tobytes() for x in found), strict=True))
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Texts, as lists of words, to little-endian ids. The words that are new in all of them are encoded in one call."""
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            found = self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            known.update(zip(fresh, (np.asarray(x.ids, "<i4").tobytes() for x in found), strict=True))
-            return b"".join([known[w] for w in words])
+        used = set().union(*texts)
+        fresh = used.difference(known)
+        if len(known) + len(fresh) > REMEMBERED:
+            for w in list(known)[: len(known) // 2]:
+                del known[w]
+            fresh = used.difference(known)
+        if fresh:
+            self.learn(list(fresh))
+        return [b"".join([known[w] for w in words]) for words in texts]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    return _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Sorted (doc_id, text) rows of one shard to rows of SCHEMA."""
     enc, end, start = encoder(path), np.asarray([end_id], "<i4").tobytes(), 0
     shard = TaskContext.get().partitionId()
-    for batch in batches:
-        ids = [enc.encode((t or "").encode().split()) + end for t in batch.column("text").to_pylist()]
+    parts = (part.slice(at, ROWS) for batch in batches for part in slices(batch) for at in range(0, part.num_rows, ROWS))
+    for part in parts:
+        ids = [x + end for x in enc.encode([(t or "").encode().split() for t in part.column("text").to_pylist()])]
         n = np.array([len(x) // 4 for x in ids], np.int64)
         ends = np.cumsum(n)
         flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), shard, np.int32)), batch.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists],
+            [pa.array(np.full(len(n), shard, np.int32)), part.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists],
             names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
         )
         start += int(n.sum())
@@ -76,8 +135,9 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> It
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Write the ids of ``docs`` (doc_id, text) to ORC files under ``path``."""
     n = shuffle_partitions(docs.sparkSession)
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    encoded = ranged.mapInArrow(lambda it: encode_rows(it, tokenizer_path, end_id), SCHEMA)
+    order = F.col("doc_id").asc_nulls_first(), F.col("tie")
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    encoded = ranged.select("doc_id", "text").mapInArrow(lambda it: encode_rows(it, tokenizer_path, end_id), SCHEMA)
     (
         encoded.write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")

@@ -26,8 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwise.llm.ngram_join import if_small
-from fieldwise.llm.store import table, written
+from fieldwise.llm.store import if_small, table, written
 from fieldwise.llm.text import slices
 
 WORD = re.compile(r"[^\W_]+")
