@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from fieldwise.llm.store import shuffle_partitions, table, work_dir
 from fieldwise.llm.text import slices
 
-#: Words whose ids a worker remembers; the older half is forgotten when the memory is full.
-REMEMBERED = 500_000
-#: Rows of texts that are encoded together.
-ROWS = 256
+#: Words, and parts of words, whose ids a worker remembers; the older half is forgotten when a memory is full.
+REMEMBERED, PARTS = 600_000, 1_000_000
+#: Rows of texts that are encoded together, and rows between the files' index entries.
+ROWS, STRIDE = 256, 1000
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
 
 
@@ -61,50 +61,59 @@ class Encoder:
         self.cuts_letters = steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": LETTER_RUNS} and cuts[1]["type"] == "ByteLevel"
         self.cuts_letters &= not any(cuts[1][x] for x in ("add_prefix_space", "use_regex")) if self.cuts_letters else False
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.parts: dict[bytes, bytes] = {}
 
     def part(self, run: bytes) -> bytes:
-        """Ids of one pre-token, letters in lower case or signs."""
-        if (ids := self.parts.get(run)) is None:
-            if len(self.parts) > REMEMBERED:
-                self.parts = {b"": b""}
-            found = self.model.tokenize(run.decode() if run.isascii() else "".join([SHOWN[x] for x in run]))
-            ids = self.parts[run] = np.asarray([t.id for t in found], "<i4").tobytes()
+        """Ids of one pre-token that is new, letters in lower case or signs."""
+        found = self.model.tokenize(run.decode() if run.isascii() else "".join([SHOWN[x] for x in run]))
+        ids = self.parts[run] = np.asarray([t.id for t in found], "<i4").tobytes()
         return ids
 
     def learn(self, fresh: list[bytes]) -> None:
-        rest = fresh
+        known, rest = self.known, fresh
         if self.cuts_letters:
-            rest = []
+            forget(self.parts, len(fresh), PARTS)
+            parts, rest = self.parts, []
             for w in fresh:
-                m = _plain.fullmatch(w)
-                if m is None:
+                if w.isalpha():  # of bytes: ASCII letters only
+                    letters, signs = w.lower(), b""
+                elif (m := _plain.fullmatch(w)) is None:
                     rest.append(w)
                     continue
-                letters = m[1]
-                if letters.isascii():
-                    self.known[w] = self.part(letters.lower()) + self.part(m[2])
-                elif (text := letters.decode().lower()).isalpha():
-                    self.known[w] = self.part(text.encode()) + self.part(m[2])
                 else:
-                    rest.append(w)
+                    letters, signs = m.groups()
+                    if letters.isascii():
+                        letters = letters.lower()
+                    elif (text := letters.decode().lower()).isalpha():
+                        letters = text.encode()
+                    else:
+                        rest.append(w)
+                        continue
+                ids = parts.get(letters) or self.part(letters)
+                known[w] = ids + (parts.get(signs) or self.part(signs)) if signs else ids
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        self.known.update(zip(rest, (np.asarray(x.ids, "<i4").tobytes() for x in found), strict=True))
+        known.update(zip(rest, (np.asarray(x.ids, "<i4").tobytes() for x in found), strict=True))
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Texts, as lists of words, to little-endian ids. The words that are new in all of them are encoded in one call."""
-        known = self.known
-        used = set().union(*texts)
+        """Texts, as lists of words, to little-endian ids. The words that are new in all of them are learnt together."""
+        known, used = self.known, set().union(*texts)
         fresh = used.difference(known)
-        if len(known) + len(fresh) > REMEMBERED:
-            for w in list(known)[: len(known) // 2]:
-                del known[w]
+        if forget(known, len(fresh), REMEMBERED):
             fresh = used.difference(known)
         if fresh:
             self.learn(list(fresh))
         return [b"".join([known[w] for w in words]) for words in texts]
 
 
+def forget(memory: dict, more: int, most: int) -> bool:
+    """Drop the older half if ``more`` entries would be too many."""
+    if len(memory) + more <= most:
+        return False
+    for key in list(memory)[: len(memory) // 2]:
+        del memory[key]
+    return True
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -120,7 +129,7 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> It
     shard = TaskContext.get().partitionId()
     parts = (part.slice(at, ROWS) for batch in batches for part in slices(batch) for at in range(0, part.num_rows, ROWS))
     for part in parts:
-        ids = [x + end for x in enc.encode([(t or "").encode().split() for t in part.column("text").to_pylist()])]
+        ids = [x + end for x in enc.encode([(t or b"").split() for t in part.column("text").cast(pa.binary()).to_pylist()])]
         n = np.array([len(x) // 4 for x in ids], np.int64)
         ends = np.cumsum(n)
         flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
@@ -142,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         encoded.write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "10000")
+        .option("orc.row.index.stride", str(STRIDE))
         .option("orc.stripe.size", str(64 << 20))
         .orc(path)
     )
