@@ -7,29 +7,34 @@ share one of their first ``n - ceil(0.75 n) + 1`` shingles, so:
 
 1. ``signatures``: each document's set id and prefix. Documents with equal sets are one set from here on.
 2. ``shared``: prefix shingles, dealt by shingle; those of one set alone can't link and go.
-3. Guessing: in each of a few turns, each set is paired with at most one set of another component that the shingles' groups suggest,
-   so the pairs grow with the sets and not with the square of a group. Pairs are verified on whole sets and their components found.
-4. The last round, which makes the result exact: every group of a shingle that holds sets of several components is joined by a trie
-   of the sets' next shared shingles in global order. Walking the trie carries one overlap for all sets below a node, and a subtree is left as soon
+3. Guessing: in each of a few turns, each set asks at most one set of another component that the shingles' groups suggest,
+   so the questions grow with the sets and not with the square of a group. They are answered on whole sets and the components of the links found.
+4. The last round, which makes the result exact. Every group of a shingle that holds sets of several components is walked by a trie
+   of the sets' next shared shingles in global order. The walk carries one overlap for all sets below a node, and a subtree is left as soon
    as the overlap and what either set has left can't reach the threshold. Of two sets, the one whose prefix ends first has all its common prefix
    shingles in the other's prefix too, so what it has left counts only its shared prefix shingles and those beyond its prefix; the other may have
    common ones that lie beyond the first one's prefix, so all its shingles count, by their places in the whole set.
    A smaller set whose prefix ends first has many shared shingles (it is dense) if it has a link; dense sets are stored in tries. Others only have links with larger
-   sets whose prefixes end before theirs, of sizes that the larger one's bound leaves; they are stored by size. Sets of one component need no further pair.
+   sets whose prefixes end before theirs, of sizes that the larger one's bound leaves; they are stored by size. Sets of one component need not meet again.
+5. What the walks leave is asked of blocks: a component's sets stand in blocks of about ``BLOCK`` sets, and a set of another component asks a whole block once, so
+   a set that is near a component without a link to it costs a row for each block and not one for each member. A block is a trie of whole sets in which
+   overlaps are exact; a question ends at the block's first link, as all its sets are of one component.
+
+A shingle's group of more than ``GROUP`` sets is dealt out in chunks: sets of its main component are each in one chunk, the others in all of them.
 
 Results: a null or empty text has an empty set, linked with nothing. Rows with a null doc_id take no part in links (component null).
-Repeated rows are returned each. A doc_id with two texts links as both. Set ids and shingles are 64-bit fingerprints.
+Repeated rows are returned each. A doc_id with two texts links as both. Columns besides doc_id and text are ignored. Set ids and shingles are 64-bit fingerprints.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from typing import Any, NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +49,8 @@ ORDER_SAMPLE, MOST_FREQUENT, FREQUENT_FROM = 4000, 1 << 16, 4
 AHEAD = 6
 #: Rounds of guessing before the exact one.
 TURNS = 4
+#: Sets of a block, questions that one copy of a block answers, and sets of a shingle's group that are walked together.
+BLOCK, ASKED, GROUP = 64, 2048, 2048
 
 
 def set_ids(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -100,12 +107,25 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of one partition, which has all rows of its shingles: those whose shingle has two sets or more."""
-    parts = [pa.Table.from_batches([b]) for b in batches]
-    if parts:
-        rows = pa.concat_tables(parts)
-        rows = rows.filter(pa.array(pd.Series(rows.column("shingle").to_numpy()).duplicated(keep=False).to_numpy()))
-        yield from rows.combine_chunks().to_batches(max_chunksize=100_000)
+    """Rows (shingle, sid, ...) in order, all of a shingle in one partition, to one row for each shingle and set; shingles with one set alone are left out."""
+    last, mated = None, False
+    for batch in batches:
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        shingle, sid = (rows.column(c).to_numpy() for c in ("shingle", "sid"))
+        if not len(sid):
+            continue
+        fresh = np.ones(len(sid), bool)
+        fresh[1:] = (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1])
+        at = np.flatnonzero(fresh)
+        of = shingle[at]
+        before = np.ones(len(at), bool)
+        before[0], before[1:] = mated, of[1:] == of[:-1]
+        keep = before.copy()
+        keep[:-1] |= before[1:]
+        last, mated = rows.slice(int(at[-1]), 1), bool(before[-1])
+        yield rows.take(pa.array(at[:-1][keep[:-1]]))
+    if mated:
+        yield last
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -154,7 +174,7 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 class Entry(NamedTuple):
     """A set in a shingle's group. The keys are its next shared shingles in global order, from the group's own on; ``after`` counts those that come later and all
     shingles beyond the prefix; ``before`` are the shared ones just before. ``places`` are the keys' places in the whole ordered set and ``last`` is the last
-    shingle of the whole prefix; where a group doesn't give them, only bounds hold that don't need them."""
+    shingle of the whole prefix; where a group doesn't give them, only bounds hold that don't need them. ``weight`` is the size of its component and ``block`` the part of it that it stands in."""
 
     sid: int
     n: int
@@ -165,6 +185,8 @@ class Entry(NamedTuple):
     before: frozenset
     places: list | tuple = ()
     last: Any = None
+    weight: int = 0
+    block: int = 0
 
     def shared(self, i: int) -> int:
         """Shingles after the first i keys that may be common with a set whose prefix doesn't end before this one's."""
@@ -192,8 +214,8 @@ def needed(n: int, m: int) -> int:
     return (3 * (n + m) + 6) // 7
 
 
-def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
-    """Pairs of different labels that may reach the threshold, of sets (fields of ``Entry``) that have the first key in common.
+def trie_pairs(members: list[tuple]) -> Iterator[tuple[Entry, Entry]]:
+    """Pairs of different labels that may reach the threshold, of sets (fields of ``Entry``) that have the first key in common; the smaller set first.
 
     Sets with a common key among the ones just before have met in that key's group."""
     root, sparse, sizes = Node(), [], []
@@ -208,7 +230,7 @@ def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
                     left = shared if e.ends_first(o) else whole
                     its_left = o.after + unseen if o.ends_first(e) else its_whole if unseen else o.whole(len(o.keys))
                     if overlap + min(left, its_left) >= needed(n, o.n) and e.before.isdisjoint(o.before):
-                        yield (o.sid, e.sid) if o.sid < e.sid else (e.sid, o.sid)
+                        yield o, e
             for key, child in node.children.items():
                 if child.label == label:
                     continue
@@ -229,7 +251,7 @@ def trie_pairs(members: list[tuple]) -> Iterator[tuple[int, int]]:
         most = 7 * (n if e.last is None else e.shared(0)) // 3 - n
         for o in sparse[bisect_left(sizes, least) : bisect_right(sizes, most)]:
             if o.label != label and (e.last is None or e.last < o.last) and e.before.isdisjoint(o.before) and may_link(e, o):
-                yield (o.sid, e.sid) if o.sid < e.sid else (e.sid, o.sid)
+                yield o, e
         if e.dense:
             node = root
             for depth, key in enumerate(keys, 1):
@@ -256,7 +278,7 @@ def may_link(e: Entry, o: Entry) -> bool:
 
 
 def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle, all of a shingle in one partition, to pairs of set ids."""
+    """Rows in order of shingle and chunk, all of a chunk in one partition, to questions (sid, block): of two sets, the one of the smaller component asks the other's block."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -266,16 +288,79 @@ def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[
         return ranks.get(shingle, 0), shingle % (1 << 64)
 
     found: set[tuple[int, int]] = set()
-    for _, group in groupby(rows(), key=lambda r: r[0]):
-        found.update(trie_pairs([(sid, n, root, dense, [key(k) for k in keys], after, frozenset(before), places, key(last)) for _, sid, n, root, dense, keys, after, before, places, last in group]))
-        if len(found) > 100_000:
-            yield as_pairs(found)
-            found = set()
+    for _, group in groupby(rows(), key=lambda r: r[:2]):
+        members = [(sid, n, root, dense, [key(k) for k in keys], after, frozenset(before), places, key(last), weight, block) for _, _, sid, n, root, dense, keys, after, before, places, last, weight, block in group]
+        for o, e in trie_pairs(members):
+            found.add((o.sid, e.block) if (o.weight, o.label) < (e.weight, e.label) else (e.sid, o.block))
+            if len(found) > 100_000:
+                yield as_pairs(found)
+                found = set()
     yield as_pairs(found)
 
 
-def as_pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+def as_pairs(found: set[tuple[int, int]], names: tuple[str, str] = ("sid", "block")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array([p[i] for p in found], pa.int64()) for i, name in enumerate(names)})
+
+
+class Whole:
+    """A node of a block's trie: the shingles on the way from its parent, the sets that end here, as (sid, size), and the size of the largest set at or below it."""
+
+    __slots__ = ("keys", "ends", "children", "most")
+
+    def __init__(self, members: list[tuple[list, int]], shingles: list, depth: int = 0):
+        """members: (ranks, sid) in order of ranks; shingles: by rank."""
+        first, last, to = members[0][0], members[-1][0], depth
+        while to < len(first) and to < len(last) and first[to] == last[to]:
+            to += 1
+        self.keys = frozenset([shingles[r] for r in first[depth:to]])
+        self.most = max(len(ranks) for ranks, _ in members)
+        self.ends = [(sid, to) for ranks, sid in members if len(ranks) == to]
+        self.children = [Whole(list(own), shingles, to) for _, own in groupby(members[len(self.ends) :], key=lambda m: m[0][to])]
+
+    def links(self, own: set) -> Iterator[int]:
+        """Sets that link with the given one. A subtree is left when more of its shingles are missing than its largest set may miss."""
+        n, stack = 3 * len(own), [(self, 0)]
+        while stack:
+            node, missing = stack.pop()
+            missing += len(node.keys) - len(node.keys & own)
+            if 7 * missing <= 4 * node.most - n:
+                for sid, size in node.ends:
+                    if 7 * missing <= 4 * size - n:  # 100 * overlap >= 75 * union
+                        yield sid
+                stack += [(child, missing) for child in node.children]
+
+
+def whole_trie(sets: dict[int, list]) -> Whole:
+    """The trie of a block's sets; the order of shingles is the block's own, the ones that most sets have first."""
+    times = Counter(chain.from_iterable(sets.values()))
+    shingles = sorted(times, key=lambda x: (-times[x], x))
+    rank = {x: i for i, x in enumerate(shingles)}
+    return Whole(sorted((sorted([rank[x] for x in own]), sid) for sid, own in sets.items()), shingles)
+
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, part, asks, sid, shingles) in order, a block's own sets before those that ask, to links: the first one of each question."""
+    at, sets, trie, found = None, {}, None, []
+    for batch in batches:
+        values, offsets = batch.column("shingles").values.to_numpy(), batch.column("shingles").offsets.to_numpy()
+        for i, (block, part, asks, sid) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "part", "asks", "sid")), strict=True)):
+            own = values[offsets[i] : offsets[i + 1]].tolist()
+            if (block, part) != at:
+                at, sets, trie = (block, part), {}, None
+            if not asks:
+                sets[sid] = own
+            elif sets:
+                trie = trie or whole_trie(sets)
+                if (link := next(trie.links(set(own)), None)) is not None:
+                    found.append((sid, link))
+        yield as_pairs(found, ("a", "b"))
+        found = []
+
+
+def hot_groups(rows: DataFrame) -> DataFrame:
+    """(shingle, chunks) of the shingles with more than ``GROUP`` rows."""
+    many = rows.groupBy("shingle").count().where(F.col("count") > GROUP)
+    return many.select("shingle", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -285,84 +370,113 @@ def near_copies(docs: DataFrame) -> DataFrame:
     frequent, rank = frequent_shingles(texts)
     sig = written(texts.mapInArrow(lambda it: signatures(it, frequent, rank), "doc_id long, sid long, n int, prefix array<long>"), "signatures")
 
-    sets = sig.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"))
+    linkable = sig.where("n > 0 and doc_id is not null")
+    sets = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"))
     sets = written(sets, "sets")
     several = sets.where("copies > 1").select("sid", "rep")
-    alone = sig.where("n > 0 and doc_id is not null").join(if_small(several, several.count()), "sid", "left").where("rep is null or rep = doc_id")
+    alone = linkable.join(if_small(several, several.count()), "sid", "left").where("rep is null or rep = doc_id")
     postings = alone.select("sid", "n", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("n_place"))
-    shared = written(postings.repartition(shuffle_partitions(spark), "shingle").mapInArrow(only_shared, postings.schema).distinct(), "shared")
-    shared = shared.select("shingle", "sid", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).cast("int").alias("place"))
+    shared = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "sid").mapInArrow(only_shared, postings.schema)
+    shared = written(shared.select("shingle", "sid", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).cast("int").alias("place")), "shared")
+    hot = written(hot_groups(shared), "hot")
+    hot = if_small(hot, hot.count())
 
     roots = None
     for turn in range(TURNS):
-        roots = joined(roots, verified(texts, sets, guesses(shared, roots, turn)))
+        asks = guesses(shared, hot, roots, turn)
+        asks = written(asks, "asks")
+        roots = joined(roots, links(texts, sets, asks, asks.select("block", F.col("block").alias("sid")).distinct()))
 
     labelled = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     open_ = written(labelled.join(mixed, "shingle"), "open")
     own = open_.groupBy("sid").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("items"))
+    own = written(own.join(sets.select("sid", "last"), "sid"), "own")
+    weights = written(own.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    block = F.xxhash64("root", F.pmod(F.xxhash64("sid"), F.ceil(F.col("weight") / BLOCK)))
+    own = own.join(if_small(weights, weights.count()), "root").withColumn("block", block)
     prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
     beyond = F.col("n") - prefix
     dense = F.size("items") + beyond >= F.floor((6 * F.col("n") + 6) / 7)
-    own = own.join(sets.select("sid", "last"), "sid")
-    entries = own.select("sid", "n", "root", "last", dense.alias("dense"), beyond.alias("beyond"), F.col("items")["shingle"].alias("keys"), F.col("items")["place"].alias("places"))
+    entries = own.select("sid", "n", "root", "last", "weight", "block", dense.alias("dense"), beyond.alias("beyond"), F.col("items")["shingle"].alias("keys"), F.col("items")["place"].alias("places"))
     entries = entries.select("*", F.posexplode("keys").alias("i", "shingle"))
     after = F.greatest(F.size("keys") - F.col("i") - AHEAD, F.lit(0)) + F.col("beyond")
     just_before = F.slice("keys", F.greatest(F.col("i") - AHEAD, F.lit(0)) + 1, F.least(F.col("i"), F.lit(AHEAD)))
     next_ = lambda c: F.slice(c, F.col("i") + 1, AHEAD).alias(c)
-    entries = entries.select("shingle", "sid", "n", "root", "dense", next_("keys"), after.alias("after"), just_before.alias("before"), next_("places"), "last")
+    entries = entries.select("shingle", "sid", "n", "root", "dense", next_("keys"), after.alias("after"), just_before.alias("before"), next_("places"), "last", "weight", "block")
+    sizes = open_.join(hot, "shingle").groupBy("shingle", "root", "chunks").count()
+    main = written(sizes.groupBy("shingle", "chunks").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
+    entries = entries.join(if_small(main, main.count()), "shingle", "left")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    chunk = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))).otherwise(every)
+    entries = entries.withColumn("chunk", F.explode(chunk)).select("shingle", "chunk", "sid", "n", "root", "dense", "keys", "after", "before", "places", "last", "weight", "block")
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
-    dealt = entries.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle")
-    pairs = dealt.mapInArrow(lambda it: tried(it, ranks), "a long, b long").distinct()
-    roots = joined(roots, verified(texts, sets, pairs))
+    dealt = entries.repartition(shuffle_partitions(spark), "shingle", "chunk").sortWithinPartitions("shingle", "chunk")
+    asks = written(dealt.mapInArrow(lambda it: tried(it, ranks), "sid long, block long").distinct(), "asks")
+    roots = joined(roots, links(texts, sets, asks, own.select("sid", "block")))
 
     known = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_set = known.join(least, "root").select("sid", "component_id")
-    out = sig.select("doc_id", "sid", "n").join(by_set, "sid", "left")
-    own_id = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"), own_id.alias("component_id"))
+    out = linkable.join(by_set, "sid").select("doc_id", "sid", "n", "component_id")
+    out = out.union(sig.where("not (n > 0 and doc_id is not null)").select("doc_id", "sid", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def guesses(shared: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): for each set at most one other, of another component, with which it shares most groups as a neighbour.
+def guesses(shared: DataFrame, hot: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Questions (sid, block), a block being one set: each set asks at most one other, of another component, with which it shares most groups as a neighbour.
 
-    Neighbours are those next to it by size at first, then by a hash that changes with the turn; the rows don't exceed the sets."""
+    Neighbours are those next to it by size at first, then by a hash that changes with the turn; a hot shingle's group is searched in parts. The rows don't exceed the sets."""
+    part = F.coalesce(F.pmod(F.xxhash64("sid", F.lit(turn), F.lit("part")), F.col("chunks")), F.lit(0))
+    rows = shared.join(hot, "shingle", "left").withColumn("part", part)
     if roots is None:
-        rows, order = shared.withColumn("root", F.col("sid")), Window.partitionBy("shingle").orderBy("n", "sid")
+        rows, order = rows.withColumn("root", F.col("sid")), Window.partitionBy("shingle", "part").orderBy("n", "sid")
     else:
-        rows = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        order = Window.partitionBy("shingle").orderBy(F.xxhash64("sid", F.lit(turn)), "sid")
+        rows = rows.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        order = Window.partitionBy("shingle", "part").orderBy(F.xxhash64("sid", F.lit(turn)), "sid")
     own = F.struct(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
     near = rows.select("sid", "n", "root", F.array(F.lag(own).over(order), F.first(own).over(order)).alias("near"))
-    near = near.select(F.col("sid").alias("b"), "n", "root", F.explode("near").alias("x")).where("x.r <> root and 4 * least(x.m, n) >= 3 * greatest(x.m, n)")
-    votes = near.groupBy("b", F.col("x.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("x.m").alias("m"))
+    near = near.select("sid", "n", "root", F.explode("near").alias("x")).where("x.r <> root and 4 * least(x.m, n) >= 3 * greatest(x.m, n)")
+    votes = near.groupBy("sid", F.col("x.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("x.m").alias("m"))
     # A pair with few common prefix shingles for its size is left to the last round.
-    return votes.where("20 * votes >= least(n, m)").groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+    return votes.where("20 * votes >= least(n, m)").groupBy("sid").agg(F.max_by("a", F.struct("votes", "a")).alias("block")).select("sid", "block")
 
 
-def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of set ids (a, b) whose whole sets reach the threshold."""
-    pairs = written(pairs, "pairs")
-    wanted = written(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
+def links(texts: DataFrame, sets: DataFrame, asks: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets that ask, (sid, block), with the sets of the blocks, (sid, block); both are tables.
+
+    Whole sets are only made for documents that take part. A block that many ask is copied, one copy for each ``ASKED`` of them."""
+    n_parts = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
+    n_parts = written(n_parts, "parts")
+    n_parts = if_small(n_parts, n_parts.count())
+    owners = written(members.join(n_parts, "block"), "owners")
+    wanted = written(asks.select("sid").union(owners.select("sid")).distinct().join(sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
     n = wanted.count()
     found = texts.join(if_small(wanted.select("doc_id").distinct(), n), "doc_id", "left_semi").mapInArrow(sets_of, "sid long, shingles array<long>")
-    found = written(found.join(if_small(wanted.select("sid"), n), "sid", "left_semi").dropDuplicates(["sid"]), "shingles")
-    with_a = pairs.join(found.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(found.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return written(with_b.where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+    found = written(found.join(if_small(wanted.select("sid"), n), "sid", "left_semi"), "whole")
+    if found.count() > n:  # rows that repeat an id and a set
+        found = found.dropDuplicates(["sid"])
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    stored = found.join(owners, "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", "shingles")
+    own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    asking = found.join(asks.join(n_parts, "block"), "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", "shingles")
+    rows = stored.union(asking).repartition(shuffle_partitions(texts.sparkSession), "block", "part").sortWithinPartitions("block", "part", "asks")
+    return written(rows.mapInArrow(answered, "a long, b long"), "links")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; documents without a set or an id stay too."""
+    """One document of each component stays, the one with the least doc_id; documents without a set or an id stay too.
+
+    Of rows that repeat a doc_id and a text one stays; other texts of that id stay beside it."""
     found = written(near_copies(docs).select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn("_nth", nth).where("_nth = 1 or doc_id is null").select(docs.columns)
-    return kept
+    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not (n := again.count()):
+        return kept
+    again = if_small(again, n)
+    once = kept.join(again, "doc_id", "left_semi").withColumn("_op4_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_op4_text"]).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
