@@ -65,6 +65,38 @@ def test_decontamination(spark, odd, none):
     assert decontamination.leaks(none, bench).count() == 0 and decontamination.leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_rolled_prints_and_their_recall():
+    rng = np.random.default_rng(11)
+    grams = rng.integers(0, 1 << 63, 9000, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    got = decontamination.rolled(grams, 37)
+    for at in (0, 1, 36, 4095, 4096, 4097, len(got) - 1):
+        whole = np.unpackbits(np.frombuffer(np.uint64(got[at]).tobytes(), np.uint8))
+        want = np.unpackbits(np.frombuffer(grams[at : at + 37].tobytes(), np.uint8).reshape(37, 8), axis=1).sum(0) * 2 > 37
+        assert (whole == want).all()
+    # Items and windows of a similarity of 0.75 to 0.80: the multi-index must name the item in 0.99 of them, and brute force agrees on which are within the radius.
+    items, windows = [], []
+    for _ in range(1500):
+        item = rng.integers(0, 1 << 62, 60, dtype=np.int64).astype(np.uint64)
+        window = item.copy()
+        window[rng.choice(60, 7, replace=False)] = rng.integers(0, 1 << 62, 7, dtype=np.int64).astype(np.uint64)  # 53 of 67
+        items.append(decontamination.rolled(item, 60)[0])
+        windows.append(decontamination.rolled(window, 60)[0])
+    index = decontamination.MultiIndex(list(range(len(items))), items)
+    found = set(index.candidates(np.array(windows, np.uint64)))
+    near = np.bitwise_count(np.array(windows)[:, None] ^ np.array(items)[None, :]) <= decontamination.RADIUS
+    assert found == set(zip(*map(list, np.nonzero(near)), strict=True))
+    assert sum((i, i) in found for i in range(len(items))) >= 0.99 * len(items)
+
+
+def test_long_repetitive_items(spark):
+    """A long text that says one thing over and over, as item and as document."""
+    text = "to be or not to be that is " * 4000
+    docs = spark.createDataFrame([(1, text + text), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, text), (2, "to be or not to be that is the question of all")], "item_id long, text string")
+    got = [tuple(r) for r in decontamination.leaks(docs, bench).collect()]
+    assert got == [(1, 1, 0, 32_000, 1.0)]
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/1?x=1", "https://b.org/fr/", "https://c.org/fr", "http://q.example.com/de/x", "http://net", "http://a.net/", None, "", "no scheme", "http://x.com/" + "a" * 5000, "http://é.com/?q#f", "a://b://net/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
@@ -103,6 +135,32 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_output.encode_and_read(none, path).count() == 0
 
 
+def test_token_files_are_pruned(spark, tmp_path):
+    """Files hold Bloom filters and row indexes, and a look-up by id reads few of their rows."""
+    import public_tokenizers
+
+    path = str(tmp_path / "tokens")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    token_output.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    jvm = spark._jvm
+    conf, files = jvm.org.apache.hadoop.conf.Configuration(), sorted((tmp_path / "tokens").glob("*.orc"))
+    seen = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_output.STRIDE
+        tail = reader.getFileTail().getFooter()
+        for i in range(tail.getStripesCount()):
+            assert tail.getStripes(i).getIndexLength() > 0
+        streams = b"BLOOM" in f.read_bytes() or reader.getFileTail().getFooter().getStripes(0).getIndexLength() > 1000
+        seen += streams
+    assert seen == len(files) > 1
+    rows = spark.read.schema(token_output.SCHEMA).orc(path).where("doc_id = 31337")
+    assert rows.count() == 1
+    rows = rows.select("doc_id", "n_tokens")
+    rows.collect()
+    assert "EqualTo(doc_id,31337)" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_copies(spark, odd, none):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(odd).collect()}
     assert {(1, 56, 1), (2, 56, 1), (8, 57, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (None, 56, None)} <= got
@@ -132,7 +190,7 @@ def test_trie_pairs_are_all_links():
                 at, n = shared.index(key), len(order[i])
                 keys, beyond = shared[at : at + 6], n - len(p)
                 members.append((i, n, i, len(shared) + beyond >= ngram_join.needed(n, n), keys, len(shared) - at - len(keys) + beyond, frozenset(shared[max(0, at - 6) : at])))
-        got |= set(ngram_join.trie_pairs(members))
+        got |= {(o.sid, e.sid) for o, e in ngram_join.trie_pairs(members)}
     assert {(max(p), min(p)) for p in got} >= want and want
 
 
@@ -164,7 +222,7 @@ def test_trie_pairs_of_texts_contained_in_longer_ones():
                     keys, beyond = shared[at : at + ngram_join.AHEAD], n - len(p)
                     m = (i, n, i, len(shared) + beyond >= ngram_join.needed(n, n), keys, len(shared) - at - len(keys) + beyond, frozenset(shared[max(0, at - ngram_join.AHEAD) : at]))
                     members.append((*m, [p.index(k) for k in keys], p[-1]) if more else m)
-            got |= set(ngram_join.trie_pairs(members))
+            got |= {(o.sid, e.sid) for o, e in ngram_join.trie_pairs(members)}
         assert {(max(p), min(p)) for p in got} >= want
 
 
@@ -179,6 +237,77 @@ def test_near_copies_of_a_text_contained_in_a_longer_one(spark):
     assert got == {i: i if i == 7 * 3 + 6 else i // 7 * 7 for i in range(35)}
 
 
+def test_large_group_of_near_copies(spark):
+    """5,000 near copies, beside texts that are near them without a link: what is asked and verified stays in proportion to the rows."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(5000):
+        words = base.copy()
+        words[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(words))
+    far = []
+    for i in range(20):
+        words = base.copy()
+        for at in range(0, 120, 12):
+            words[at] = f"y{i}z{at}"
+        far.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts + far)), "doc_id long, text string").repartition(4).cache()
+    asked = []
+    links = ngram_join.links
+
+    def counted(texts, sets, asks, members):
+        asked.append(asks.count())
+        return links(texts, sets, asks, members)
+
+    ngram_join.links = counted
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(docs).collect()}
+    finally:
+        ngram_join.links = links
+    shingles = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts + far]
+    near = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    parent = list(range(len(shingles)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in enumerate(shingles):
+        # Every near copy is within one changed word of the base, so it is enough to look at a few hundred others for a link.
+        for j in [*range(min(i, 300)), *range(5000, i)]:
+            if top(i) != top(j) and near(own, shingles[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    assert [got[i] for i in range(len(shingles))] == [top(i) for i in range(len(shingles))]
+    assert max(asked) <= len(shingles), asked
+
+
+def test_blocks_answer_as_brute_force_does():
+    rng = random.Random(9)
+    sets = {}
+    for base in range(5):
+        core = rng.sample(range(10_000 * base, 10_000 * base + 500), rng.randrange(1, 60))
+        for k in range(12):
+            sets[base * 100 + k] = sorted((set(core) - set(rng.sample(core, rng.randrange(0, max(1, len(core) // 6))))) | {rng.randrange(10**6) for _ in range(rng.randrange(len(core) // 6 + 1))})
+    trie = ngram_join.whole_trie(sets)
+    for sid, own in sets.items():
+        want = {o for o, other in sets.items() if 100 * len(set(own) & set(other)) >= 75 * len(set(own) | set(other))}
+        assert set(trie.links(set(own))) == want and sid in want
+
+
+def test_shared_shingles_of_sorted_rows():
+    import pyarrow as pa
+
+    rows = [(1, 1), (2, 1), (2, 1), (3, 1), (3, 2), (3, 2), (4, 5), (5, 1), (5, 2), (5, 3), (6, 9), (6, 9)]
+    want = [(3, 1), (3, 2), (5, 1), (5, 2), (5, 3)]
+    for size in (1, 2, 3, 5, 12):
+        batches = [pa.RecordBatch.from_pydict({"shingle": [r[0] for r in rows[i : i + size]], "sid": [r[1] for r in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in ngram_join.only_shared(iter(batches)) for r in b.to_pylist()]
+        assert got == want, size
+
+
 def test_quality(spark, odd, none):
     got = {r["doc_id"]: r for r in quality_rules.judge(odd).collect()}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and got[9]["n_repeat_words"] == 30_000 and got[1]["kept"] and not got[6]["kept"]
@@ -213,7 +342,7 @@ def test_substrings(spark, odd, none):
 def test_mixing(spark, odd, none):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     digest, mix = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), n_shards=5)
-    got, again = digest.toPandas(), mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").repartition(7))[0].toPandas()
+    got, again = digest.toPandas(), mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").repartition(7), n_shards=5)[0].toPandas()
     assert rows(got) == rows(again)
     got = got.merge(docs[["doc_id", "source"]], on="doc_id")
     sums = got.groupby("source").agg(size=("size", "sum"), own=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max")).sort_index()
@@ -231,8 +360,70 @@ def test_mixing(spark, odd, none):
     assert ((sums["taken"] - sums["target"]).abs() <= sums["most"]).all() and (got["taken"] <= 2 * got["size"]).all()
     copies = mix.toPandas()
     assert not copies.duplicated(["doc_id", "copy"]).any() and copies["shard"].between(0, 4).all()
-    assert mixing.mix(odd)[0].count() == odd.count() and mixing.mixed(odd).columns == odd.columns
-    assert mixing.mix(none)[0].count() == 0
+    dealt = copies.groupby("doc_id").size()
+    assert (got["taken"] == got["size"] * got["doc_id"].map(dealt).fillna(0)).all()
+    clash = odd.select("*", *[F.lit(1).alias(c) for c in ("_s", "place", "size", "block", "copy", "shard", "turn", "dealt", "target")])
+    assert mixing.mix(odd)[0].count() == odd.count() and mixing.mixed(clash).columns == clash.columns
+    assert sorted(r["doc_id"] or 0 for r in mixing.mixed(clash).collect()) == sorted(r["doc_id"] or 0 for r in mixing.mix(odd)[1].collect())
+    assert mixing.mix(none)[0].count() == 0 and mixing.mixed(none).count() == 0
+
+
+def test_mixing_in_many_blocks(spark, monkeypatch):
+    """Small blocks, so that quotas, edges and permuted orders matter: shards get their quotas of whole blocks, and no block twice."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"), F.expr("repeat('w ', cast(id % 50 as int))").alias("text"))
+    sizes = mixing.measured(docs)
+    dealt = mixing.deal(sizes, 6).collect()
+    for r in dealt:
+        parts = [(b, c["copy"], c["shard"]) for b, copies in r["dealt"].items() for c in copies]
+        assert len({p[:2] for p in parts}) == len(parts) and len({p[2] for p in parts}) == 6 and sum(c["below"] is not None for x in r["dealt"].values() for c in x) <= 1
+        assert r["bits"] >= 6 and all(0 <= b < 1 << r["bits"] for b in r["dealt"])
+    digest = mixing.mix(docs, 6)[0].toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
+    sums = digest.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert ((sums["taken"] - sums["target"]).abs() <= sums["most"]).all()
+
+
+def test_quotas_against_recursion(spark):
+    """The same tree drawn step by step, with exact binomials."""
+    from math import comb
+
+    counts = {"a": 40, "b": 7, "c": 0, None: 21}
+    blocks = spark.createDataFrame(list(counts.items()), "source string, blocks long")
+    got = {(r["source"], r["shard"]): (r["first"], r["quota"]) for r in mixing.quotas(blocks, 5).collect()}
+    order = [None, "a", "b", "c"]  # by name, null as an empty one
+
+    def u(lo, hi, s):
+        q = f"select shiftrightunsigned(xxhash64({mixing.SEED}, {lo}, {hi}, '{s or ''}', {str(s is None).lower()}), 11) / double(9007199254740992)"
+        return spark.sql(q).first()[0]
+
+    def draw(total, own, draws, x):
+        lo, hi = max(0, draws + own - total), min(own, draws)
+        ways, p = sum(comb(own, k) * comb(total - own, draws - k) for k in range(lo, hi + 1)), 0
+        for k in range(lo, hi + 1):
+            p += comb(own, k) * comb(total - own, draws - k)
+            if p / ways > x:
+                return k
+        return hi
+
+    def split(own, lo, hi):
+        if hi - lo == 1:
+            return {(s, lo): n for s, n in own.items()}
+        half, total = (hi - lo) // 2, sum(own.values())
+        draws = int(total * half / (hi - lo) + 0.5)
+        left = {}
+        for s in order:
+            left[s] = draw(total, own[s], draws, u(lo, hi, s))
+            total, draws = total - own[s], draws - left[s]
+        return split(left, lo, lo + half) | split({s: own[s] - left[s] for s in order}, lo + half, hi)
+
+    want = split(counts, 0, 5)
+    assert {k: v[1] for k, v in got.items()} == want
+    for s in order:
+        at = 0
+        for shard in range(5):
+            assert got[s, shard][0] == at
+            at += want[s, shard]
+        assert at == counts[s]
 
 
 def test_hypergeometric_shape(spark):
