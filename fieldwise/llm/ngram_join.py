@@ -17,7 +17,8 @@ share one of their first ``n - ceil(0.75 n) + 1`` shingles, so:
    A smaller set whose prefix ends first has many shared shingles (it is dense) if it has a link; dense sets are stored in tries. Others only have links with larger
    sets whose prefixes end before theirs, of sizes that the larger one's bound leaves; they are stored by size. Sets of one component need not meet again.
 5. What the walks leave is asked of blocks: a component's sets stand in blocks of about ``BLOCK`` sets, and a set of another component asks a whole block once, so
-   a set that is near a component without a link to it costs a row for each block and not one for each member. A block is a trie of whole sets in which
+   a set that is near a component without a link to it costs a row for each block and not one for each member. Questions are put to bitmaps first: each set has one, in which
+   every shingle flips a bit, so two sets differ in at least as many shingles as their bitmaps do in bits. Those left go to whole sets: a block is a trie of them, in which
    overlaps are exact; a question ends at the block's first link, as all its sets are of one component.
 
 A shingle's group of more than ``GROUP`` sets is dealt out in chunks: sets of its main component are each in one chunk, the others in all of them.
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import if_small, shuffle_partitions, table, written
+from fieldwise.llm.store import dropped, if_small, shuffle_partitions, table, written
 from fieldwise.llm.text import U64, Words, mix, shingle_sets, slices
 
 K = 5
@@ -47,8 +48,8 @@ K = 5
 ORDER_SAMPLE, MOST_FREQUENT, FREQUENT_FROM = 4000, 1 << 16, 4
 #: Shared shingles of a set that its entry in a trie spells out; the rest is counted.
 AHEAD = 6
-#: Rounds of guessing before the exact one.
-TURNS = 4
+#: Rounds of guessing before the exact one, and shared shingles of a set that guess.
+TURNS, VOTES = 3, 16
 #: Sets of a block, questions that one copy of a block answers, and sets of a shingle's group that are walked together.
 BLOCK, ASKED, GROUP = 64, 2048, 2048
 
@@ -70,12 +71,30 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"sid": pa.array(set_ids(values, at)), "shingles": lists(values, at)})
 
 
+def bitmaps(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each set the bits that its shingles flip, of at least two bits a shingle: a power of two of them, so that a longer bitmap folds to a shorter one."""
+    n = np.diff(at)
+    width = np.where(n > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64)), 0)
+    edges = np.concatenate([[0], np.cumsum(width)])
+    bit = (mix(values ^ U64(0x9FB21C651E98DF25)) & np.repeat(width - 1, n).astype(U64)).astype(np.int64) + np.repeat(edges[:-1], n)
+    flipped = np.packbits((np.bincount(bit, minlength=edges[-1]) & 1).astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((edges // 8).astype(np.int32).tobytes()), pa.py_buffer(flipped.tobytes())])
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps, one a row of 64-bit words, folded to ``width`` words."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, sid, n, prefix); the prefix in global order."""
+    """(doc_id, text) to (doc_id, sid, n, prefix, bits); the prefix in global order."""
     for batch in batches:
         for part in slices(batch):
             values, at = shingle_sets(Words(part.column("text"), lower=True), K)
-            n, sid = np.diff(at), set_ids(values, at)
+            n, sid, bits = np.diff(at), set_ids(values, at), bitmaps(values, at)
             if len(frequent):
                 i = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
                 late = np.where(frequent[i] == values, rank[i] + 1, 0)
@@ -83,7 +102,7 @@ def signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np
             size = np.where(n > 0, n - (3 * n + 3) // 4 + 1, 0)
             to = np.concatenate([[0], np.cumsum(size)])
             take = np.repeat(at[:-1] - to[:-1], size) + np.arange(to[-1])
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "prefix": lists(values[take], to)})
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "sid": pa.array(sid), "n": pa.array(n.astype(np.int32)), "prefix": lists(values[take], to), "bits": bits})
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -302,6 +321,32 @@ def as_pairs(found: set[tuple[int, int]], names: tuple[str, str] = ("sid", "bloc
     return pa.RecordBatch.from_pydict({name: pa.array([p[i] for p in found], pa.int64()) for i, name in enumerate(names)})
 
 
+def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, part, asks, sid, n, bits) in order, a block's own sets before those that ask, to the questions (sid, block) of sets that may link with one of the block by their bitmaps.
+
+    Sets of n and m with a link differ in (n + m) / 7 shingles at most."""
+    at, own, stacks, found = None, {}, {}, []
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("block", "part", "asks", "sid", "n", "bits")), strict=True)
+        for block, part, asks, sid, n, raw in rows:
+            if (block, part) != at:
+                at, own, stacks = (block, part), {}, {}
+            bits = np.frombuffer(raw, np.uint64)
+            if not asks:
+                own.setdefault(len(bits), []).append((n, bits))
+                continue
+            for width, sets in own.items():
+                least = min(width, len(bits))
+                if (width, least) not in stacks:
+                    stacks[width, least] = folded(np.stack([x for _, x in sets]), least), np.array([m for m, _ in sets])
+                maps, sizes = stacks[width, least]
+                if (7 * np.bitwise_count(maps ^ folded(bits, least)).sum(1, dtype=np.int64) <= sizes + n).any():
+                    found.append((sid, block))
+                    break
+        yield as_pairs(found)
+        found = []
+
+
 class Whole:
     """A node of a block's trie: the shingles on the way from its parent, the sets that end here, as (sid, size), and the size of the largest set at or below it."""
 
@@ -368,11 +413,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     frequent, rank = frequent_shingles(texts)
-    sig = written(texts.mapInArrow(lambda it: signatures(it, frequent, rank), "doc_id long, sid long, n int, prefix array<long>"), "signatures")
+    sig = written(texts.mapInArrow(lambda it: signatures(it, frequent, rank), "doc_id long, sid long, n int, prefix array<long>, bits binary"), "signatures")
 
     linkable = sig.where("n > 0 and doc_id is not null")
     sets = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"))
     sets = written(sets, "sets")
+    repeated = bool(linkable.groupBy("doc_id", "sid").count().where("count > 1").take(1))
+    corpus = Corpus(texts, sig, sets, repeated)
     several = sets.where("copies > 1").select("sid", "rep")
     alone = linkable.join(if_small(several, several.count()), "sid", "left").where("rep is null or rep = doc_id")
     postings = alone.select("sid", "n", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("n_place"))
@@ -385,20 +432,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     for turn in range(TURNS):
         asks = guesses(shared, hot, roots, turn)
         asks = written(asks, "asks")
-        roots = joined(roots, links(texts, sets, asks, asks.select("block", F.col("block").alias("sid")).distinct()))
+        roots = joined(roots, links(corpus, asks, asks.select("block", F.col("block").alias("sid")).distinct()))
 
     labelled = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     open_ = written(labelled.join(mixed, "shingle"), "open")
+    prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    beyond = F.col("n") - prefix
+    enough = F.floor((6 * F.col("n") + 6) / 7)
     own = open_.groupBy("sid").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("items"))
     own = written(own.join(sets.select("sid", "last"), "sid"), "own")
     weights = written(own.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "weights")
     block = F.xxhash64("root", F.pmod(F.xxhash64("sid"), F.ceil(F.col("weight") / BLOCK)))
     own = own.join(if_small(weights, weights.count()), "root").withColumn("block", block)
-    prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
-    beyond = F.col("n") - prefix
-    dense = F.size("items") + beyond >= F.floor((6 * F.col("n") + 6) / 7)
-    entries = own.select("sid", "n", "root", "last", "weight", "block", dense.alias("dense"), beyond.alias("beyond"), F.col("items")["shingle"].alias("keys"), F.col("items")["place"].alias("places"))
+    entries = own.select("sid", "n", "root", "last", "weight", "block", (F.size("items") + beyond >= enough).alias("dense"), beyond.alias("beyond"), F.col("items")["shingle"].alias("keys"), F.col("items")["place"].alias("places"))
     entries = entries.select("*", F.posexplode("keys").alias("i", "shingle"))
     after = F.greatest(F.size("keys") - F.col("i") - AHEAD, F.lit(0)) + F.col("beyond")
     just_before = F.slice("keys", F.greatest(F.col("i") - AHEAD, F.lit(0)) + 1, F.least(F.col("i"), F.lit(AHEAD)))
@@ -413,7 +460,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
     dealt = entries.repartition(shuffle_partitions(spark), "shingle", "chunk").sortWithinPartitions("shingle", "chunk")
     asks = written(dealt.mapInArrow(lambda it: tried(it, ranks), "sid long, block long").distinct(), "asks")
-    roots = joined(roots, links(texts, sets, asks, own.select("sid", "block")))
+    roots = joined(roots, links(corpus, asks, own.select("sid", "block")))
 
     known = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -426,9 +473,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def guesses(shared: DataFrame, hot: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     """Questions (sid, block), a block being one set: each set asks at most one other, of another component, with which it shares most groups as a neighbour.
 
-    Neighbours are those next to it by size at first, then by a hash that changes with the turn; a hot shingle's group is searched in parts. The rows don't exceed the sets."""
+    Of large sets, only shingles of every second, fourth... hash count here, about ``VOTES`` a set; sets of about one size see the same ones. Neighbours are those next to it by size at first, then by a hash
+    that changes with the turn; a hot shingle's group is searched in parts. The rows don't exceed the sets."""
+    step = lambda n: F.greatest(F.lit(1.0), F.pow(2.0, F.floor(F.log2(n / (4 * VOTES))))).cast("long")
+    some = shared.select("shingle", "sid", "n").where(F.pmod(F.xxhash64("shingle", F.lit("vote")), step(F.col("n"))) == 0)
     part = F.coalesce(F.pmod(F.xxhash64("sid", F.lit(turn), F.lit("part")), F.col("chunks")), F.lit(0))
-    rows = shared.join(hot, "shingle", "left").withColumn("part", part)
+    rows = some.join(hot, "shingle", "left").select("shingle", "sid", "n", part.alias("part"))
     if roots is None:
         rows, order = rows.withColumn("root", F.col("sid")), Window.partitionBy("shingle", "part").orderBy("n", "sid")
     else:
@@ -437,31 +487,61 @@ def guesses(shared: DataFrame, hot: DataFrame, roots: DataFrame | None, turn: in
     own = F.struct(F.col("sid").alias("a"), F.col("n").alias("m"), F.col("root").alias("r"))
     near = rows.select("sid", "n", "root", F.array(F.lag(own).over(order), F.first(own).over(order)).alias("near"))
     near = near.select("sid", "n", "root", F.explode("near").alias("x")).where("x.r <> root and 4 * least(x.m, n) >= 3 * greatest(x.m, n)")
-    votes = near.groupBy("sid", F.col("x.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("x.m").alias("m"))
+    votes = near.groupBy("sid", F.col("x.a").alias("a")).agg(F.count(F.lit(1)).alias("votes"), F.least(F.first("n"), F.first("x.m")).alias("n"))
     # A pair with few common prefix shingles for its size is left to the last round.
-    return votes.where("20 * votes >= least(n, m)").groupBy("sid").agg(F.max_by("a", F.struct("votes", "a")).alias("block")).select("sid", "block")
+    return votes.where(20 * F.col("votes") * step(F.col("n")) >= F.col("n")).groupBy("sid").agg(F.max_by("a", F.struct("votes", "a")).alias("block")).select("sid", "block")
 
 
-def links(texts: DataFrame, sets: DataFrame, asks: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) of the sets that ask, (sid, block), with the sets of the blocks, (sid, block); both are tables.
+class Corpus(NamedTuple):
+    """texts: (doc_id, text); signatures; sets: one row a set, with the least doc_id that has it; repeated: whether rows repeat a doc_id and a set."""
+
+    texts: DataFrame
+    signatures: DataFrame
+    sets: DataFrame
+    repeated: bool
 
-    Whole sets are only made for documents that take part. A block that many ask is copied, one copy for each ``ASKED`` of them."""
-    n_parts = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
-    n_parts = written(n_parts, "parts")
-    n_parts = if_small(n_parts, n_parts.count())
-    owners = written(members.join(n_parts, "block"), "owners")
-    wanted = written(asks.select("sid").union(owners.select("sid")).distinct().join(sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
-    n = wanted.count()
-    found = texts.join(if_small(wanted.select("doc_id").distinct(), n), "doc_id", "left_semi").mapInArrow(sets_of, "sid long, shingles array<long>")
-    found = written(found.join(if_small(wanted.select("sid"), n), "sid", "left_semi"), "whole")
-    if found.count() > n:  # rows that repeat an id and a set
-        found = found.dropDuplicates(["sid"])
+
+def of_blocks(rows: DataFrame, asks: DataFrame, members: DataFrame, n_parts: DataFrame, content: list[str]) -> DataFrame:
+    """Rows (sid, content...) of members and of those that ask, dealt by block and part, a block's members first. A block that many ask is copied, one copy for each ``ASKED`` of them."""
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    stored = found.join(owners, "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", "shingles")
+    stored = rows.join(members.join(n_parts, "block"), "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", *content)
     own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    asking = found.join(asks.join(n_parts, "block"), "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", "shingles")
-    rows = stored.union(asking).repartition(shuffle_partitions(texts.sparkSession), "block", "part").sortWithinPartitions("block", "part", "asks")
-    return written(rows.mapInArrow(answered, "a long, b long"), "links")
+    asking = rows.join(asks.join(n_parts, "block"), "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", *content)
+    return stored.union(asking).repartition(shuffle_partitions(rows.sparkSession), "block", "part").sortWithinPartitions("block", "part", "asks")
+
+
+def parts_of(asks: DataFrame) -> DataFrame:
+    n_parts = written(asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts")), "parts")
+    return if_small(n_parts, n_parts.count())
+
+
+def taking_part(corpus: Corpus, asks: DataFrame, members: DataFrame) -> tuple[DataFrame, int]:
+    """(sid, doc_id) of the sets of either side, each with one document, and their number."""
+    wanted = written(asks.select("sid").union(members.select("sid")).distinct().join(corpus.sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
+    return wanted, wanted.count()
+
+
+def links(corpus: Corpus, asks: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets that ask, (sid, block), with the sets of the blocks, (sid, block); both are tables.
+
+    Whole sets are only made for documents whose bitmaps leave a question open."""
+    n_parts = parts_of(asks)
+    members = members.join(n_parts.select("block"), "block", "left_semi")
+    wanted, n = taking_part(corpus, asks, members)
+    prints = corpus.signatures.select("sid", "doc_id", "n", "bits").join(if_small(wanted, n), ["sid", "doc_id"])
+    if corpus.repeated:
+        prints = prints.dropDuplicates(["sid"])
+    asks = written(of_blocks(prints, asks, members, n_parts, ["n", "bits"]).mapInArrow(likely, "sid long, block long").distinct(), "asks")
+
+    n_parts = parts_of(asks)
+    members = members.join(n_parts.select("block"), "block", "left_semi")
+    wanted, n = taking_part(corpus, asks, members)
+    found = corpus.texts.join(if_small(wanted.select("doc_id").distinct(), n), "doc_id", "left_semi").mapInArrow(sets_of, "sid long, shingles array<long>")
+    found = found.join(if_small(wanted.select("sid"), n), "sid", "left_semi")
+    found = written(found.dropDuplicates(["sid"]) if corpus.repeated else found, "whole")
+    out = written(of_blocks(found, asks, members, n_parts, ["shingles"]).mapInArrow(answered, "a long, b long"), "links")
+    dropped(corpus.texts.sparkSession, found)
+    return out
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

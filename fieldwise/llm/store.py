@@ -30,6 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the working table behind ``df``, as everything made of it has been written."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def if_small(ids: DataFrame, n: int) -> DataFrame:
     """A table of n rows of a few numbers, marked for broadcasting if n has the bound."""
     return F.broadcast(ids) if n <= SMALL_ROWS else ids
