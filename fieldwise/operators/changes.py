@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwise.functions.scalars import money_mentions, repeals, squeeze, upper_tr
+
 GENESIS = "0" * 64
 
 
@@ -16,18 +18,25 @@ def change_events(snapshots: DataFrame) -> DataFrame:
 
 
 def clause_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(clause_key, change, added, removed) of two clause sets (clause_key, text); only spacing never counts. Keys that stand twice are refused.
+    """(clause_key, change, old_hash, new_hash, added, removed, money_changed, repeal) of two clause sets (clause_key, text).
 
-    added and removed: numbers of distinct words of a changed clause."""
-    squeezed = F.trim(F.regexp_replace("text", r"\s+", " "))
+    Keys are compared in upper case with single spaces; of texts, only spacing never counts. A key that stands twice on a side is AMBIGUOUS and isn't compared.
+    added and removed: the distinct words of a changed clause that only one side has, in the order of their first place."""
 
     def one(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("clause_key", squeezed.alias("text")).groupBy("clause_key").agg(F.min("text").alias(name), F.count(F.lit(1)).alias(f"n_{name}")).where(F.col(f"n_{name}") == 1)
+        keyed = rows.select(squeeze(upper_tr(F.col("clause_key").cast("string"))).alias("clause_key"), squeeze(F.col("text")).alias("text"))
+        return keyed.groupBy("clause_key").agg(F.min("text").alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
 
     both = one(previous, "old").join(one(current, "new"), "clause_key", "full_outer")
-    change = F.when(F.col("n_old").isNull(), "ADDED").when(F.col("n_new").isNull(), "REMOVED").when(F.col("old").eqNullSafe(F.col("new")), "UNCHANGED").otherwise("CHANGED")
-    words = lambda a, b: F.when(F.col("change") == "CHANGED", F.size(F.array_except(F.split(a, " "), F.split(b, " ")))).cast("long")
-    return both.withColumn("change", change).select("clause_key", "change", words("new", "old").alias("added"), words("old", "new").alias("removed"))
+    repeated = (F.coalesce("n_old", F.lit(0)) > 1) | (F.coalesce("n_new", F.lit(0)) > 1)
+    change = F.when(repeated, "AMBIGUOUS").when(F.col("n_old").isNull(), "ADDED").when(F.col("n_new").isNull(), "REMOVED").when(F.col("old").eqNullSafe(F.col("new")), "UNCHANGED").otherwise("CHANGED")
+    sure = F.col("change") != "AMBIGUOUS"
+    words = lambda a, b: F.when(F.col("change") == "CHANGED", F.array_except(F.split(F.coalesce(a, F.lit("")), " "), F.split(F.coalesce(b, F.lit("")), " ")))
+    amounts = lambda c: F.coalesce(money_mentions(F.col(c)), F.array())
+    return both.withColumn("change", change).select(
+        "clause_key", "change", F.when(sure, F.sha2("old", 256)).alias("old_hash"), F.when(sure, F.sha2("new", 256)).alias("new_hash"), words("new", "old").alias("added"), words("old", "new").alias("removed"),
+        F.when(sure, amounts("old") != amounts("new")).alias("money_changed"), F.when(sure, repeals(F.col("new"))).alias("repeal"),
+    )
 
 
 def harvest(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -56,9 +65,10 @@ def block_hash(*fields: str) -> Column:
 
 
 def append_blocks(events: DataFrame, tips: DataFrame | None = None) -> DataFrame:
-    """events (chain, event_id, payload) to blocks; each chain is walked in order of event_id by one task, different chains by different ones.
+    """events (chain, event_id, payload) to blocks; each chain is walked in order of event_id, different chains by different tasks.
 
-    tips (chain, block_index, block_sha256): where chains stand now."""
+    tips (chain, block_index, block_sha256): where chains stand now. A block needs the one before, so a chain is walked by one task; rows are streamed to it in
+    order and it carries the tip alone, so a chain of any length takes no more memory."""
     import hashlib
     import json
 
@@ -70,18 +80,22 @@ def append_blocks(events: DataFrame, tips: DataFrame | None = None) -> DataFrame
         known = tips.select("chain", F.col("block_index").alias("tip_index"), F.col("block_sha256").alias("tip"))
         rows = events.join(known, "chain", "left").fillna({"tip_index": -1, "tip": GENESIS})
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        before, index, out = pdf["tip"].iloc[0], int(pdf["tip_index"].iloc[0]), []
-        for chain, event_id, payload in pdf[["chain", "event_id", "payload"]].itertuples(index=False):
-            index += 1
-            block = {"block_index": str(index), "chain": chain, "event_id": str(event_id), "payload": payload, "previous_sha256": before}
-            own = hashlib.sha256(json.dumps(block, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-            out.append((chain, index, event_id, payload, before, own))
-            before = own
-        return pd.DataFrame(out, columns=["chain", "block_index", "event_id", "payload", "previous_sha256", "block_sha256"])
+    def walk(batches):
+        at = None
+        for pdf in batches:
+            out = []
+            for chain, event_id, payload, tip_index, tip in pdf.itertuples(index=False):
+                if at is None or at[0] != chain:
+                    at = (chain, int(tip_index), tip)
+                index, before = at[1] + 1, at[2]
+                block = {"block_index": str(index), "chain": chain, "event_id": str(event_id), "payload": payload, "previous_sha256": before}
+                own = hashlib.sha256(json.dumps(block, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                out.append((chain, index, event_id, payload, before, own))
+                at = (chain, index, own)
+            yield pd.DataFrame(out, columns=["chain", "block_index", "event_id", "payload", "previous_sha256", "block_sha256"])
 
-    return rows.groupBy("chain").applyInPandas(walk, "chain string, block_index long, event_id long, payload string, previous_sha256 string, block_sha256 string")
+    ordered = rows.select("chain", "event_id", "payload", "tip_index", "tip").repartition("chain").sortWithinPartitions("chain", "event_id")
+    return ordered.mapInPandas(walk, "chain string, block_index long, event_id long, payload string, previous_sha256 string, block_sha256 string")
 
 
 def chain_violations(blocks: DataFrame) -> DataFrame:
@@ -99,8 +113,28 @@ def chain_violations(blocks: DataFrame) -> DataFrame:
 
 
 def root_hash(blocks: DataFrame) -> DataFrame:
-    """(chain, n_blocks, root): SHA-256 over the block hashes of a chain in order."""
-    return blocks.groupBy("chain").agg(F.count(F.lit(1)).alias("n_blocks"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "block_sha256"))), lambda x: x["block_sha256"]), ""), 256).alias("root"))
+    """(chain, n_blocks, first_index, last_index, root): SHA-256 over the block hashes of a chain in order, streamed through the chain's task."""
+    import hashlib
+
+    import pandas as pd
+
+    def roots(batches):
+        at, digest, n, first, last = None, None, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for chain, index, own in pdf.itertuples(index=False):
+                if chain != at:
+                    if at is not None:
+                        out.append((at, n, first, last, digest.hexdigest()))
+                    at, digest, n, first = chain, hashlib.sha256(), 0, index
+                digest.update(own.encode())
+                n, last = n + 1, index
+            yield pd.DataFrame(out, columns=["chain", "n_blocks", "first_index", "last_index", "root"])
+        if at is not None:
+            yield pd.DataFrame([(at, n, first, last, digest.hexdigest())], columns=["chain", "n_blocks", "first_index", "last_index", "root"])
+
+    ordered = blocks.select("chain", "block_index", "block_sha256").repartition("chain").sortWithinPartitions("chain", "block_index")
+    return ordered.mapInPandas(roots, "chain string, n_blocks long, first_index long, last_index long, root string")
 
 
 def constraint_violations(rows: DataFrame, key: list[str], checks: dict[str, str], unique: list[str]) -> DataFrame:

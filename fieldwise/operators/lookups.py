@@ -21,18 +21,47 @@ def here(place: str, own: str) -> Column:
     return (F.col(place) == "*") | (F.col(place) == F.col(own))
 
 
-def rate_as_of(parcels: DataFrame, rates: DataFrame, versions: DataFrame, as_of: Column) -> DataFrame:
-    """parcels (parcel_id, program_key, crop_code, production_year, province, district) with unit_amount, null unless one valid rate is left.
-
-    The equality keys carry the join; place and dates are tested on its rows, so a wildcard never makes a nested loop."""
+#: Rows up to which a table of rules or rates, grouped by key, is sent to all executors; a larger one is joined by shuffling.
+SMALL_ROWS = 500_000
+
+
+def with_group(rows: DataFrame, table: DataFrame, key: list[str], name: str) -> DataFrame:
+    """rows with ``name``, an array of the table's rows of their key (null without any): a key's rows travel together, so the large side meets them in one join and the rest is a projection.
+
+    The table is broadcast only after a count; keys of rules and rates have few rows each."""
+    others = [c for c in table.columns if c not in key]
+    grouped = table.groupBy(*key).agg(F.collect_list(F.struct(*others)).alias(name))
+    return rows.join(F.broadcast(grouped) if table.count() <= SMALL_ROWS else grouped, key, "left")
+
+
+def rate_as_of(parcels: DataFrame, rates: DataFrame, versions: DataFrame, as_of: Column, sources: DataFrame | None = None, programs: DataFrame | None = None, approved: DataFrame | None = None) -> DataFrame:
+    """parcels (parcel_id, program_key, crop_code, production_year, province, district) with n_rates and unit_amount, null unless one valid rate is left.
+
+    A rate is valid if it is verified and positive, its interval isn't turned round and its source version is live and hashed. Where rates have them, legal_clause, approved_by and review_reference must not be blank and
+    approved_at not be null; where they are given, the version's source (source_id, active) and the program (program_key, active) must be active, and the rate (rate_id) approved by two persons.
+    Place and dates are tested in the array of a key's rates, so a wildcard never makes a nested loop and parcels aren't grouped."""
+    if sources is not None:
+        versions = versions.join(sources.where("active").select("source_id"), "source_id", "left_semi")
+    if programs is not None:
+        rates = rates.join(programs.where("active").select(F.col("program_key").alias("program_id")), "program_id", "left_semi")
+    if approved is not None:
+        rates = rates.join(approved.select("rate_id"), "rate_id", "left_semi")
+    for c in ("legal_clause", "approved_by", "review_reference"):
+        if c in rates.columns:
+            rates = rates.where(F.trim(c) != "")
+    if "approved_at" in rates.columns:
+        rates = rates.where("approved_at is not null")
     live = versions.where(~F.col("superseded") & F.col("content_hash").rlike("^[0-9a-f]{64}$")).select(F.col("id").alias("source_version_id"))
     valid = rates.where("review_status = 'VERIFIED' and unit_amount > 0 and (effective_to is null or effective_to >= effective_from)").join(live, "source_version_id")
-    valid = valid.select(F.col("program_id").alias("program_key"), F.col("crop_name").alias("crop_code"), "production_year", F.col("province").alias("r_province"), F.col("district").alias("r_district"), "unit_amount", "effective_from", "effective_to", "rate_id")
-    hits = parcels.join(valid, ["program_key", "crop_code", "production_year"]).where(in_force(as_of))
-    both = ((F.col("r_province") == "*") & (F.col("r_district") == "*")) | ((F.col("r_province") == F.col("province")) & (F.col("r_district") == F.col("district")))
-    sums = hits.where(both).groupBy("parcel_id", "program_key").agg(F.count(F.lit(1)).alias("n_rates"), F.min("unit_amount").alias("unit"))
-    out = parcels.join(sums, ["parcel_id", "program_key"], "left")
-    return out.withColumn("n_rates", F.coalesce("n_rates", F.lit(0))).withColumn("unit_amount", F.when(F.col("n_rates") == 1, F.col("unit"))).drop("unit")
+    valid = valid.select(F.col("program_id").alias("program_key"), F.col("crop_name").alias("crop_code"), "production_year", "province", "district", "unit_amount", "effective_from", "effective_to")
+    rows = with_group(parcels, valid, ["program_key", "crop_code", "production_year"], "_rates").withColumn("_as_of", as_of)
+
+    def applies(r: Column) -> Column:
+        in_time = (r["effective_from"] <= F.col("_as_of")) & (r["effective_to"].isNull() | (r["effective_to"] >= F.col("_as_of")))
+        return in_time & (((r["province"] == "*") & (r["district"] == "*")) | ((r["province"] == F.col("province")) & (r["district"] == F.col("district"))))
+
+    rows = rows.withColumn("_rates", F.filter(F.coalesce("_rates", F.array().cast(rows.schema["_rates"].dataType)), applies)).withColumn("n_rates", F.size("_rates").cast("long"))
+    return rows.withColumn("unit_amount", F.when(F.col("n_rates") == 1, F.get("_rates", 0)["unit_amount"])).drop("_rates", "_as_of")
 
 
 def basin_membership(parcels: DataFrame, basin: DataFrame) -> DataFrame:
@@ -71,13 +100,26 @@ def scope_overlap(entries: DataFrame) -> DataFrame:
     return sums.where("national and local").select("program_key", "crop_code", "production_year", "n_entries")
 
 
-def approved(subjects: DataFrame, attestations: DataFrame, revoked: DataFrame | None = None) -> DataFrame:
+def approved(subjects: DataFrame, attestations: DataFrame, revoked: DataFrame | None = None, keys: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """subjects (subject_id, digest) with ``approved``: two attestations, by a reviewer and an approver who are two persons, with valid
-    signatures over the subject's digest, and no revocation."""
-    joined = subjects.join(attestations, "subject_id", "left")
+    signatures over the subject's digest, and no revocation.
+
+    keys (principal_id, role): each attestation's role must be the one that its principal's key is trusted for. as_of: none may be signed (signed_at) later. Where subjects have source_sha256 and source_active,
+    attestations must state the same source_sha256, and the source must be active."""
+    joined = subjects.join(attestations.withColumnRenamed("source_sha256", "_stated"), "subject_id", "left")
+    trusted = F.lit(True)
+    if keys is not None:
+        joined = joined.join(keys.select("principal_id", F.col("role").alias("_trusted")).dropDuplicates(["principal_id"]), "principal_id", "left")
+        trusted = trusted & F.col("_trusted").eqNullSafe(F.col("role"))
+    if as_of is not None:
+        trusted = trusted & (F.col("signed_at") <= as_of)
+    if "source_sha256" in subjects.columns:
+        trusted = trusted & (F.col("_stated") == F.col("source_sha256"))
+    if "source_active" in subjects.columns:
+        trusted = trusted & F.col("source_active")
     sums = joined.groupBy("subject_id").agg(
         F.count("role").alias("n"), F.count_distinct("role").alias("roles"), F.count_distinct("principal_id").alias("persons"),
-        F.coalesce(F.bool_and(F.col("role").isin("REVIEWER", "APPROVER") & (F.col("subject_digest") == F.col("digest")) & F.col("signature_valid")), F.lit(False)).alias("sound"),
+        F.coalesce(F.bool_and(F.col("role").isin("REVIEWER", "APPROVER") & (F.col("subject_digest") == F.col("digest")) & F.col("signature_valid") & F.coalesce(trusted, F.lit(False))), F.lit(False)).alias("sound"),
     )
     out = sums.select("subject_id", ((F.col("n") == 2) & (F.col("roles") == 2) & (F.col("persons") == 2) & F.col("sound")).alias("approved"))
     if revoked is not None:

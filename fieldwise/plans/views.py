@@ -48,8 +48,35 @@ VIEWS = {
     "attestations": """select o_orderkey as subject_id, 'REVIEWER' as role, concat('p', cast(o_custkey % 50 as varchar(10))) as principal_id, {sha}(cast(o_orderkey as varchar(20))) as subject_digest, o_orderkey % 11 <> 0 as signature_valid from orders
  union all
  select o_orderkey, 'APPROVER', concat('p', cast((o_custkey + case when o_orderkey % 13 = 0 then 0 else 1 end) % 50 as varchar(10))), {sha}(cast(case when o_orderkey % 17 = 0 then 0 else o_orderkey end as varchar(20))), true from orders where o_orderkey % 9 <> 0""",
+    "act_keys": "select o_orderkey as doc_id, o_orderkey % 6 as kind_no, o_orderkey % 997 as k, o_custkey % 5 as clause_no, cast(o_orderkey % 12 + 1 as int) as month_no, cast(o_orderkey % 28 + 1 as int) as day_no, 30000 + o_orderkey % 3000 as gazette from orders",
+    "acts": """select doc_id, concat(case kind_no when 0 then concat('TARIM BAKANLIĞINDAN:', chr(10), 'BİTKİSEL ÜRETİME DESTEKLEME ÖDEMESİNE DAİR TEBLİĞ', chr(10), '(TEBLİĞ NO: 2024/', k, ')')
+ when 1 then concat('BİTKİSEL ÜRETİME DAİR TEBLİĞ (TEBLİĞ NO: 2024/', k, ')', chr(39), 'DE DEĞİŞİKLİK YAPILMASINA DAİR TEBLİĞ', chr(10), '(TEBLİĞ NO: 2025/', k + 1, ')')
+ when 2 then concat('CUMHURBAŞKANI KARARI', chr(10), 'Karar Sayısı: ', 8000 + k) when 3 then 'BİTKİSEL ÜRETİM DESTEKLEME YÖNETMELİĞİ' when 4 then 'BİTKİSEL ÜRETİM GENELGESİ' else 'EK-1 DESTEK KATSAYI TABLOSU' end,
+ chr(10), day_no, ' ', case month_no when 1 then 'Ocak' when 2 then 'Şubat' when 3 then 'Mart' when 4 then 'Nisan' when 5 then 'Mayis' when 6 then 'Haziran' when 7 then 'Temmuz' when 8 then 'Ağustos' when 9 then 'EYLÜL' when 10 then 'Ekim' when 11 then 'Kasım' else 'aralik' end,
+ ' 2024 TARİHLİ VE ', gazette, ' SAYILI RESMÎ GAZETE', chr(10),
+ case when clause_no = 4 then 'MADDE 1 - 2026 üretim yılı için dekar başına 1.' else 'MADDE 1 - 2025-2026 üretim yılları için dekar başına 1.' end, 100 + k % 900, ',50 TL/da ödenir.', chr(10),
+ case when kind_no = 1 then concat('24/8/2024 tarihli ve 32642 sayılı Resmî Gazete', chr(39), 'de yayımlanan Bitkisel Üretime Dair Tebliğ (Tebliğ No: 2024/', k, ')', chr(39), 'in 3 üncü maddesi değiştirilmiştir.', chr(10)) else '' end,
+ 'MADDE 2 - ', case clause_no when 0 then 'Bu metin yayımı tarihinde yürürlüğe girer.' when 1 then 'Bu metin 1/1/2026 tarihinde yürürlüğe girer.'
+ when 2 then 'Bu metnin 10 uncu maddesi 1/5/2026 tarihinde, diğer maddeleri 1/1/2026 tarihinde yürürlüğe girer.' when 3 then 'Bu metin 1/2/2026 tarihinde veya 1/3/2026 tarihinde yürürlüğe girer.' else 'Bu metni ilgililer yürütür; eski tebliğ yürürlükten kaldırılmıştır.' end) as text from act_keys""",
+    "annex_pages": """select p_partkey as doc_id, 1 as page_no, concat('EK-1 TEMEL DESTEK KATSAYI TABLOSU', chr(10), case when p_partkey % 2 = 0 then concat('Kategori ', p_partkey % 3 + 1, ': ') else concat(p_partkey % 3 + 1, '. Kategori: ') end, 'buğday, arpa',
+ case p_partkey % 4 when 0 then '' when 1 then ' katsayı: 1,25' when 2 then ' oran 1,5' else ' çarpan: 1.75' end, chr(10), 'Ürün | 9 | 9', chr(10), 'çavdar | 2 | 2', chr(10), 'arpa | 3 | 9') as text from part
+ union all select p_partkey, 2, concat('EK-2 PLANLI ÜRETİM ÜRÜN LİSTESİ', chr(10), 'Bu listede dane mısır ve ', case when p_partkey % 2 = 0 then 'ayçiçeği' else 'ayçiçeğinden' end, ' bulunur.') from part
+ union all select p_partkey, 3, concat('EK-3 SU KISITI İLÇELERİ', chr(10), 'ANKARA: Polatlı, Haymana', case when p_partkey % 2 = 0 then concat(chr(10), 'KONYA: Cihanbeyli') else '' end) from part
+ union all select p_partkey, 4, concat('EK-4 SERTİFİKALI TOHUM LİSTESİ', chr(10), 'nohut | 1 | 1,2', chr(10), 'EK-1 yine anılır') from part""",
+    "src_pages": "select cast(floor(doc_id / 8) as bigint) as doc_id, cast(doc_id % 8 + 1 as int) as page_no, coalesce(text, '') as text, doc_id as own_id from documents",
+    "srcs": "select concat('S-', doc_id) as source_id, concat('https://example.org/', doc_id) as url, doc_id % 7 <> 0 as active, case when doc_id % 11 <> 0 then doc_id end as doc_id from (select distinct doc_id from src_pages) x",
+    "cites": """select own_id as citation_id, case when own_id % 13 = 0 then 'S-none' else concat('S-', doc_id) end as source_id, case when own_id % 10 = 0 then 2025 else 2026 end as year,
+ case when own_id % 17 = 0 then 'short' when own_id % 5 = 0 then concat(substring(text, 20, 60), ' zzqq') else substring(text, 20, 60) end as snippet, case when own_id % 19 = 0 then ' ' else substring(text, 1, 8) end as section,
+ case when own_id % 23 = 0 then 'https://example.org/x' else concat('https://example.org/', doc_id, case own_id % 4 when 0 then concat('#page=', page_no) when 1 then '#page=9' else '' end) end as url, text, page_no, doc_id from src_pages where length(text) >= 90""",
+    "claims": """select citation_id + 1000000 as claim_id, case citation_id % 4 when 0 then 'bu destek 77777 lira' when 1 then 'bu destek 5 lira' else 'bu destek verilir' end as claim, case when citation_id % 9 <> 0 then citation_id end as citation_id,
+ case when citation_id % 9 <> 0 then source_id end as source_id, case when citation_id % 9 <> 0 then year end as year, case when citation_id % 9 <> 0 then snippet end as snippet, case citation_id % 6 when 0 then 'something else' when 1 then text end as document_text from cites""",
+    "rel_entries": """select r.production_year * 10 + s.s as release_id, s.s, r.production_year, r.program_id as program_key, r.crop_name as crop_code, r.province, r.district, r.rate_id, r.rate_id as candidate_id, r.rate_id + 1 as evidence_id,
+ {sha}(concat('rate', r.rate_id)) as rate_digest, {sha}(concat('cand', case when r.production_year % 5 = 3 then 0 else r.rate_id end)) as candidate_digest, r.source_version_id from rates r cross join (select 0 as s union all select 1 union all select 2) s
+ where r.rate_id < 9000000 and r.program_id = 'BASIC_SUPPORT' and r.review_status = 'VERIFIED' and r.rate_id % 100 % 5 <> 0 and r.rate_id % 100 <> 4 and (s.s <> 1 or r.production_year % 2 = 0) and not (r.production_year % 7 = 2 and r.rate_id % 100 = 7)""",
     "qa": "select u.conv_id, u.turn, u.text as question, a.text as answer, case when u.conv_id % 2 = 0 then 1 else 2 end as batch_no from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'",
-    "snapshots": "select concat('s', cast(user_id % 20 as varchar(10))) as source_id, event_id, ts, {sha}(concat(event_type, cast(event_id % 3 as varchar(5)))) as content_hash from events",
+    "faqs": """select conv_id * 1000 + turn as faq_id, concat('c', conv_id % 7) as category, question, answer, conv_id % 3 = 0 as verified, case conv_id % 4 when 0 then 'PENDING' when 1 then 'APPROVED' when 2 then 'REJECTED' else 'SUPERSEDED' end as status,
+ case when conv_id % 5 <> 0 then conv_id end as harvested_at from qa""",
+    "snapshots": "select concat('s', cast(user_id as varchar(20))) as source_id, event_id, ts, {sha}(concat(event_type, cast(event_id % 3 as varchar(5)))) as content_hash from events",
 }
 
 

@@ -19,6 +19,22 @@ def read_rules(spark: SparkSession, path: str, keep: Column | None = None) -> Da
     return rows if keep is None else rows.where(keep)
 
 
+def rule_years(spark: SparkSession, path: str) -> list[int]:
+    """The years that the catalog has, by its folders' values."""
+    return sorted(r["production_year"] for r in spark.read.parquet(path).select("production_year").distinct().collect())
+
+
+def list_rules(spark: SparkSession, path: str, years: list[int] | None = None, program: str | None = None, crop: str | None = None, status: str | None = None) -> DataFrame:
+    """Rules of the given years, program, crop and status; years read only their folders."""
+    rows = spark.read.parquet(path)
+    if years is not None:
+        rows = rows.where(F.col("production_year").isin(years))
+    for name, value in (("program_key", program), ("crop_code", crop), ("review_status", status)):
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
 def set_status(spark: SparkSession, path: str, staged: str, year: int, status: str, ids: list[int] | None = None) -> int:
     """Set the status of a year's rules (or of those listed), by way of a staged copy of that year; returns how many there were."""
     rows = read_rules(spark, path, F.col("production_year") == year)

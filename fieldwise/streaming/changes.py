@@ -32,3 +32,52 @@ def watch_changes(snapshots: DataFrame, state_path: str, sink_path: str, checkpo
 def once_within(chunks: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """Rows whose key wasn't seen within the delay; the state is bounded by it."""
     return chunks.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def _last_batch(spark, path: str, batch_id: int) -> DataFrame | None:
+    """What the batch before left under ``path``, if there was one."""
+    return spark.read.parquet(f"{path}/batch={batch_id - 1}") if batch_id else None
+
+
+def once_ever(chunks: DataFrame, key: str, store_path: str, checkpoint: str) -> StreamingQuery:
+    """Add the rows of a stream whose key isn't in the store yet, exactly: the store itself is the memory, a folder for each micro-batch, so keys of any age are known."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if batch_id:
+            known = spark.read.parquet(*[f"{store_path}/batch={b}" for b in range(batch_id)]).select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+
+    return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_harvest(answers: DataFrame, known_path: str, queue_path: str, checkpoint: str) -> StreamingQuery:
+    """Harvest a stream of (question, answer): each batch's SKIPPED, NEW and SUPERSEDES rows are decided against all pairs of earlier batches, and what isn't skipped waits in the moderation queue."""
+    from fieldwise.operators.changes import harvest
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark, rows = batch.sparkSession, batch.select("question", "answer")
+        known = spark.read.parquet(*[f"{known_path}/batch={b}" for b in range(batch_id)]) if batch_id else rows.limit(0)
+        found = harvest(rows, known)
+        found.where("status <> 'SKIPPED'").withColumn("moderation", F.lit("PENDING")).write.mode("overwrite").parquet(f"{queue_path}/batch={batch_id}")
+        rows.distinct().join(known, ["question", "answer"], "left_anti").write.mode("overwrite").parquet(f"{known_path}/batch={batch_id}")
+
+    return answers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_audit(events: DataFrame, chain_path: str, tips_path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of events (chain, event_id, payload) to hash chains: each micro-batch goes on from the tips that the one before left, and is written to a folder of its own, so running it again changes nothing."""
+    from fieldwise.operators.changes import append_blocks
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tips = _last_batch(spark, tips_path, batch_id)
+        append_blocks(batch.select("chain", "event_id", "payload"), tips).write.mode("overwrite").parquet(f"{chain_path}/batch={batch_id}")
+        blocks = spark.read.parquet(f"{chain_path}/batch={batch_id}").select("chain", "block_index", "block_sha256")
+        every = blocks if tips is None else tips.unionByName(blocks)
+        last = every.groupBy("chain").agg(F.max_by(F.struct("block_index", "block_sha256"), "block_index").alias("x"))
+        last.select("chain", "x.*").write.mode("overwrite").parquet(f"{tips_path}/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

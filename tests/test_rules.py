@@ -17,10 +17,7 @@ def parcel(spark, **more):
 
 
 def decide(spark, rule_rows, as_of=D(2026, 6, 1), **facts):
-    rows = parcel(spark, **facts)
-    keys = rows.select("parcel_id", "program_key", "crop_code", "production_year", "province", "district")
-    found = lookups.match_rules(keys, spark.createDataFrame(rule_rows, RULE), F.lit(as_of))
-    r = rules.entitlements(rows, found).first()
+    r = rules.entitlements(parcel(spark, **facts), spark.createDataFrame(rule_rows, RULE), F.lit(as_of)).first()
     return r["status"], r["proposed"]
 
 
@@ -49,10 +46,13 @@ def test_pricing(spark):
 
 
 def test_clause_diff(spark):
-    old = spark.createDataFrame([("a", "x  y"), ("b", "x"), ("c", "q"), ("d", "1"), ("d", "2")], "clause_key string, text string")
-    new = spark.createDataFrame([("a", "x y"), ("b", "x z"), ("e", "n")], "clause_key string, text string")
-    got = {r["clause_key"]: (r["change"], r["added"], r["removed"]) for r in changes.clause_diff(old, new).collect()}
-    assert got == {"a": ("UNCHANGED", None, None), "b": ("CHANGED", 1, 0), "c": ("REMOVED", None, None), "e": ("ADDED", None, None)}
+    old = spark.createDataFrame([("madde  1", "x  y"), ("MADDE 2", "x 1.250 TL/da"), ("c", "q"), ("d", "1"), ("d", "2"), ("e", "1"), ("f", "z"), ("f", "z")], "clause_key string, text string")
+    new = spark.createDataFrame([("MADDE 1", "x y"), ("madde 2", "x 1.300 TL/da mülga z"), ("g", "n"), ("d", "1"), ("e", None)], "clause_key string, text string")
+    got = {r["clause_key"]: (r["change"], r["added"], r["removed"], r["money_changed"], r["repeal"]) for r in changes.clause_diff(old, new).collect()}
+    assert got == {
+        "MADDE 1": ("UNCHANGED", None, None, False, False), "MADDE 2": ("CHANGED", ["1.300", "mülga", "z"], ["1.250"], True, True), "C": ("REMOVED", None, None, False, False), "G": ("ADDED", None, None, False, False),
+        "D": ("AMBIGUOUS", None, None, None, None), "F": ("AMBIGUOUS", None, None, None, None), "E": ("CHANGED", [""], ["1"], False, False),
+    }
 
 
 def test_chain_tampering(spark):
@@ -69,9 +69,23 @@ def test_chain_tampering(spark):
 
 
 def test_rate_table(spark):
-    df = spark.createDataFrame([(1, "Kategori 1: wheat, rye katsayi 1,5\noats | 2 | 2\nwheat | 3 | 9\nnoise")], "doc_id int, text string")
-    got = {r["crop"]: (r["category"], r["amount"]) for r in documents.rate_rows(df, F.lit(Decimal("10.01"))).collect()}
-    assert got == {"wheat": (1, Decimal("15.02")), "rye": (1, Decimal("15.02")), "oats": (2, Decimal("20.02"))}
+    text = "Kategori 1: wheat, rye katsayi 1,5\n2. Kategori: flax; hemp oran: 1.25\nKategori 3: lentil\nÜrün | 1 | 9\noats | 2 | 2\n| barley | 4 | 0,5 | 1 |\nwheat | 3 | 9\nnoise"
+    got = {r["crop"]: (r["category"], r["amount"]) for r in documents.rate_rows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"), F.lit(Decimal("10.01"))).collect()}
+    assert got == {
+        "wheat": (1, Decimal("15.02")), "rye": (1, Decimal("15.02")), "flax": (2, Decimal("12.51")), "hemp": (2, Decimal("12.51")), "lentil": (3, Decimal("10.01")), "oats": (2, Decimal("20.02")), "barley": (4, Decimal("5.01")),
+    }
+
+
+def test_negative_areas_have_no_amount(spark):
+    rows = parcel(spark).withColumn("area_da", F.lit(Decimal("0.00")).cast("decimal(12,2)"))
+    r = rules.entitlements(rows, spark.createDataFrame([a_rule()], RULE), F.lit(D(2026, 6, 1))).first()
+    assert (r["status"], r["proposed"]) == ("ELIGIBLE", None)
+
+
+def test_conditions_of_both_kinds(spark):
+    df = spark.sql("""select map('crop_code', 'a', 'irrigation', cast(null as string)) as facts, array(named_struct('field', 'crop_code', 'op', 'in', 'value', array('a', 'b')), named_struct('field', 'crop_code', 'op', 'in', 'value', array('c')),
+     named_struct('field', 'irrigation', 'op', 'eq', 'value', array('DRY')), named_struct('field', 'crop_code', 'op', 'like', 'value', array('a')), named_struct('field', 'owner', 'op', 'eq', 'value', array('a'))) as conditions""")
+    assert df.select(rules.check_conditions(F.col("conditions"), F.col("facts"))).first()[0] == ["MATCHED", "NOT_MATCHED", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
 
 
 def test_catalog(spark, tmp_path):
@@ -80,6 +94,73 @@ def test_catalog(spark, tmp_path):
     catalog.save_rules(rows, path)
     assert catalog.set_status(spark, path, str(tmp_path / "staged"), 2026, "VERIFIED", [2]) == 1
     assert {(r["rule_no"], r["review_status"]) for r in catalog.read_rules(spark, path).collect()} == {(1, "DRAFT"), (2, "VERIFIED"), (3, "DRAFT")}
+    assert catalog.rule_years(spark, path) == [2025, 2026] and [r["rule_no"] for r in catalog.list_rules(spark, path, [2026], status="DRAFT").collect()] == [3]
+
+
+def test_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "cases.jsonl").write_text('{"case_id": "a", "area_da": "1.50", "expected_amount": null, "cks_status": null}\n')
+    r = catalog.read_cases(spark, str(tmp_path / "cases.jsonl")).first()
+    assert (r["case_id"], r["area_da"], r["expected_amount"], r["cks_status"]) == ("a", Decimal("1.50"), None, None)
+    catalog.write_results(spark.createDataFrame([("a", 1)], "case_id string, n int"), str(tmp_path / "results"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "results")).first()["case_id"] == "a"
+    (tmp_path / "files").mkdir()
+    own = hashlib.sha256(b"x").hexdigest()
+    (tmp_path / "files" / f"{own}.pdf").write_bytes(b"x")
+    (tmp_path / "files" / f"{'0' * 64}.pdf").write_bytes(b"y")
+    assert {(r["sha256"], r["intact"]) for r in catalog.archive(spark, str(tmp_path / "files")).collect()} == {(own, True), ("0" * 64, False)}
+
+
+def test_streams_of_chunks_answers_and_events(spark, tmp_path):
+    from fieldwise.streaming import changes as streams
+
+    def feed(name, schema, batches, run):
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            run(spark.readStream.schema(schema).parquet(str(tmp_path / name))).awaitTermination()
+
+    at = lambda n: str(tmp_path / n)
+    feed("chunks", "chunk_id string, text string", [[("a", "1"), ("a", "1"), ("b", "2")], [("b", "2"), ("c", "3")]], lambda df: streams.once_ever(df, "chunk_id", at("store"), at("c1")))
+    assert sorted(r["chunk_id"] for r in spark.read.parquet(at("store")).collect()) == ["a", "b", "c"]
+    feed("qa", "question string, answer string", [[("q", "a")], [("q", "a"), ("q", "b"), ("r", "c")]], lambda df: streams.watch_harvest(df, at("known"), at("queue"), at("c2")))
+    assert sorted((r["batch"], r["status"], r["version"]) for r in spark.read.parquet(at("queue")).collect()) == [(0, "NEW", 1), (1, "NEW", 1), (1, "SUPERSEDES", 2)]
+    feed("events", "chain string, event_id long, payload string", [[("x", 1, "p"), ("x", 2, "q")], [("x", 3, "r"), ("y", 4, "s")]], lambda df: streams.append_audit(df, at("chain"), at("tips"), at("c3")))
+    blocks = spark.read.parquet(at("chain"))
+    assert blocks.count() == 4 and changes.chain_violations(blocks).count() == 0
+
+
+def test_rows_seen_within_a_delay(spark, tmp_path):
+    from fieldwise.streaming.changes import once_within
+
+    t = datetime.datetime(2026, 1, 1)
+    spark.createDataFrame([("a", t), ("a", t), ("b", t)], "k string, at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = once_within(spark.readStream.schema("k string, at timestamp").parquet(str(tmp_path / "in")), "k", "at", "1 hour")
+    stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["k"] for r in spark.table("once").collect()) == ["a", "b"]
+
+
+def test_root_of_a_chain(spark):
+    import hashlib
+
+    blocks = changes.append_blocks(spark.createDataFrame([(f"c{i % 3}", i, f"p{i}") for i in range(50)], "chain string, event_id long, payload string")).cache()
+    for r in changes.root_hash(blocks).collect():
+        own = sorted((b["block_index"], b["block_sha256"]) for b in blocks.where(F.col("chain") == r["chain"]).collect())
+        assert r["root"] == hashlib.sha256("".join(h for _, h in own).encode()).hexdigest() and (r["n_blocks"], r["first_index"], r["last_index"]) == (len(own), 0, len(own) - 1)
+
+
+def test_moderation_logs_what_applied(spark):
+    faqs = spark.createDataFrame([(1, "PENDING", False), (2, "APPROVED", True), (3, "PENDING", False)], "faq_id int, status string, verified boolean")
+    done, log = changes.moderate(faqs, spark.createDataFrame([(1, "APPROVE", "m"), (2, "SUPERSEDE", "m"), (3, "DANCE", "m")], "faq_id int, action string, actor string"))
+    assert {tuple(r) for r in done.collect()} == {(1, "APPROVED", True), (2, "SUPERSEDED", False), (3, "PENDING", False)} and {r["faq_id"] for r in log.collect()} == {1, 2}
+
+
+def test_sets_and_first_names(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (2,)], "x int"), spark.createDataFrame([(2,), (3,)], "x int")
+    assert {tuple(r) for r in lookups.same_sets(a, b).collect()} == {(1, "a"), (3, "b")} and lookups.same_sets(a, a).count() == 0
+    rows = spark.createDataFrame([(1, "sert buğday"), (2, "mısır"), (3, ""), (4, None)], "id int, crop string")
+    names = spark.createDataFrame([(1, "buğday", "B"), (2, "sert buğday", "SB"), (3, "dane mısır", "M")], "ordinal int, name string, code string")
+    assert {r["id"]: r["code"] for r in lookups.by_first_containment(rows, "crop", names).collect()} == {1: "B", 2: "M", 3: None, 4: None}
 
 
 def test_stream_of_changes(spark, tmp_path):
