@@ -6,12 +6,14 @@ trees are built here only where they can have deep nodes, and in pieces:
 * A suffix is entered at locally consistent sample points: of the 8-word grams inside a window of 20 words, the
   one with the least fingerprint. Equal windows have the same sample point at the same place, so every deep node
   is reached from its sample points.
-* The sample gram is the prefix that says which subtree a suffix belongs to; subtrees are dealt by it into
-  memory-sized groups. Prefixes that a sample of the corpus shows to be heavy (a line that a large part of the documents
+* The sample gram is the prefix that says which subtree a suffix belongs to; subtrees are dealt by it into groups, as many as keep
+  a group at about ``GROUP_TEXT`` bytes of text. Prefixes that a sample of the corpus shows to be heavy (a line that a large part of the documents
   has) are lengthened to the whole 20 words, so a common line doesn't fill one group. The sample steers only where
   rows go, never what is found.
-* Inside a group, the internal nodes of depth 20 are the fingerprints of windows with two leaves or more; all leaves but the
-  first in (document, position) order are repeats. Runs of windows with one sample point travel as one entry.
+* Inside a group, a run of windows with one sample point is a string whose letters are 20-word fingerprints: its first letter stands for 20 words, each further one for a word more.
+  The group's tree is that of all suffixes of its runs, held as their order and the common prefixes of neighbours (a suffix array with its LCP, from which
+  the internal nodes can be read). Its internal nodes of depth one letter or more are passages of 20 words or more that stand twice; all leaves of such a node
+  but the first in (document, position) order are repeats. ``deep_nodes`` gives the nodes themselves, with their depth in words and whether they are maximal to the left.
 * Windows that repeat inside one slab of a task are settled there and sent once, so a passage with very many copies
   costs a row for each slab.
 
@@ -36,8 +38,8 @@ from fieldwise.llm.store import shuffle_partitions, table
 from fieldwise.llm.text import U64, Words, slices
 
 WINDOW, ANCHOR = 20, 8
-#: Bytes of text that are settled together in a task.
-SLAB = 4 << 20
+#: Bytes of text that are settled together in a task, and that the subtrees of a group come from.
+SLAB, GROUP_TEXT = 4 << 20, 8 << 20
 #: Documents that are looked at for heavy prefixes, and the share of them that makes a prefix heavy.
 PLANNED_ON, HEAVY = 4000, 0.002
 RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("n", "<i4")])
@@ -84,6 +86,73 @@ def later(doc: np.ndarray, pos: np.ndarray, key: np.ndarray) -> np.ndarray:
     return again & ((doc != doc[first]) | (pos != pos[first]))
 
 
+class SuffixTree:
+    """The tree of all suffixes of runs of letters, the runs one after the other in (document, position) order.
+
+    order: suffixes in the order of their letters, equal ones by place; lcp: letters that each has in common with the one before it."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, lengths: np.ndarray):
+        n = len(high)
+        self.end = np.repeat(np.cumsum(lengths), lengths)
+        # Letters of two parts, each to its rank; then ranks of twice as many letters at a time, as long as runs have them.
+        rank = self.ranks(pd.factorize(high)[0].astype(np.int64), low.astype(np.int64))
+        self.levels, step = [rank], 1
+        while step < int(lengths.max(initial=1)):
+            ahead = np.arange(n) + step
+            after = np.where(ahead < self.end, rank[np.minimum(ahead, n - 1)] + 1, 0)
+            rank = self.ranks(rank, after)
+            self.levels.append(rank)
+            step *= 2
+        self.order = np.argsort(rank, kind="stable")
+        self.lcp = np.zeros(n, np.int64)
+        left, right = self.order[:-1], self.order[1:]
+        common = np.zeros(max(n - 1, 0), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            a, b = left + common, right + common
+            inside = (a < self.end[left]) & (b < self.end[right])
+            same = inside & (self.levels[level][np.minimum(a, n - 1)] == self.levels[level][np.minimum(b, n - 1)])
+            common += np.where(same, np.minimum(1 << level, self.end[left] - a), 0)
+        self.lcp[1:] = common
+
+    @staticmethod
+    def ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, those of the first part in any fixed order."""
+        by = np.lexsort((second, first))
+        a, b = first[by], second[by]
+        new = np.ones(len(by), np.int64)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        out = np.empty(len(by), np.int64)
+        out[by] = np.cumsum(new) - 1
+        return out
+
+    def repeats(self, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Leaves under an internal node that has an earlier leaf of another place."""
+        if not len(self.order):
+            return np.zeros(0, bool)
+        node = np.cumsum(self.lcp == 0) - 1  # of each suffix, in order: the topmost internal node above it
+        opens = np.flatnonzero(self.lcp == 0)
+        first = np.minimum.reduceat(self.order, opens)[node]
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = (doc[self.order] != doc[first]) | (pos[self.order] != pos[first])
+        return out
+
+    def deep_nodes(self) -> list[tuple[int, int, bool]]:
+        """(letters, leaves, maximal) of every internal node: maximal if its leaves don't all have one and the same letter before them."""
+        out, stack = [], [(0, 0)]
+        n = len(self.order)
+        before = np.where(np.concatenate([[False], self.end[1:] == self.end[:-1]]), np.concatenate([[-1], self.levels[0][:-1]]), -1) if n else self.order
+        for i in range(1, n + 1):
+            depth, start = (int(self.lcp[i]) if i < n else 0), i - 1 if i < n else n
+            while stack[-1][0] > depth:
+                deep, start = stack.pop()
+                leaves = self.order[start:i]
+                own = before[leaves]
+                out.append((deep, len(leaves), bool((own < 0).any() or (own != own[0]).any())))
+            if stack[-1][0] < depth:
+                stack.append((depth, start))
+        return out
+
+
 def spans(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Window starts, in (doc, pos) order, as (doc_id, array of from, to, from, to...) in words."""
     new = np.ones(len(doc), bool)
@@ -155,9 +224,9 @@ def resolve(group: pa.Table) -> pa.Table:
     n = runs["n"]
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     leaves = leaves[np.repeat(begin, n) + step]
-    key = np.repeat(runs["anchor"], n) * U64(0x9E3779B97F4A7C15) ^ (leaves["low"].astype(U64) | (leaves["high"].astype(U64) << U64(32)))
+    letter = leaves["low"].astype(np.int64) | (leaves["high"].astype(np.int64) << 32)
     doc, pos = np.repeat(runs["doc"], n), np.repeat(runs["pos"], n) + step.astype(np.int32)
-    again = later(doc, pos, key)
+    again = SuffixTree(np.repeat(runs["anchor"], n), letter, n).repeats(doc, pos)
     return pa.Table.from_batches([spans(doc[again], pos[again])])
 
 
@@ -205,7 +274,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for each document the word spans, of 20 words at least, that stand earlier."""
     spark = docs.sparkSession
     heavy = heavy_prefixes(docs)
-    n_buckets = 4 * shuffle_partitions(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_buckets = max(4 * shuffle_partitions(spark), -(-size // GROUP_TEXT))
     entries = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(lambda it: enter(it, heavy, n_buckets), BLOBS)
     return entries.groupBy("bucket").applyInArrow(resolve, "doc_id long, spans binary")
 
