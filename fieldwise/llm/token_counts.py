@@ -1,10 +1,10 @@
 """Operator 9: token counts by a unigram model, with one dynamic program over a trie of pre-tokens.
 
-Pre-tokens are the runs between white space, opened by the word mark. The distinct ones of a batch are put in order, which is the depth-first walk of their trie:
+Pre-tokens are the runs between white space, opened by the word mark. The distinct new ones of a run of documents are put in order, which is the depth-first walk of their trie:
 the best forward score and its number of pieces are computed once for each shared prefix and kept on the path; a
-pre-token's own count stands at its end. A document's count is the sum over its pre-tokens.
+pre-token's own count stands at its end and is remembered. A document's count is the sum over its pre-tokens.
 
-The vocabulary is a public one, not trained here; a piece's log probability follows its rank by Zipf's law. Characters outside
+The vocabulary is a public one, not trained here; it has no probabilities, so a piece's log probability follows its rank by Zipf's law (or is given). Characters outside
 the vocabulary cost one piece for each byte. Of equal scores the one with fewer pieces counts.
 
 Nulls: a null or empty text has no tokens. Repeated rows are counted each; extra columns are ignored; doc_id may be null.
@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldwise.llm.store import table
+from fieldwise.llm.text import slices
 
 MARK = "▁"
-#: Pre-tokens whose counts a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Pre-tokens whose counts a worker remembers (the older half is forgotten when the memory is full), and bytes of text whose pre-tokens are put in one trie.
+REMEMBERED, TOGETHER = 1_000_000, 8 << 20
 
 
 class Unigram:
@@ -64,17 +65,17 @@ class Unigram:
             before = text
         return out
 
-    def count(self, text: str | None) -> tuple[int, int]:
-        words = (text or "").encode().split()
-        known = self.known
-        try:
-            return len(words), sum([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            fresh = sorted({w for w in words if w not in known})
-            known.update(zip(fresh, self.counts([w.decode() for w in fresh]), strict=True))
-            return len(words), sum([known[w] for w in words])
+    def count(self, texts: list[list[bytes]]) -> list[int]:
+        """Pieces of each text, given as its pre-tokens; the new ones of all texts share one trie."""
+        known, used = self.known, set().union(*texts)
+        fresh = used.difference(known)
+        if len(known) + len(fresh) > REMEMBERED:
+            for w in list(known)[: len(known) // 2]:
+                del known[w]
+            fresh = used.difference(known)
+        ordered = sorted(fresh)
+        known.update(zip(ordered, self.counts([w.decode() for w in ordered]), strict=True))
+        return [sum([known[w] for w in words]) for words in texts]
 
 
 _models: dict[str, Unigram] = {}
@@ -100,8 +101,9 @@ def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigram = model(model_path)
         for batch in batches:
-            found = [unigram.count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_words": pa.array([x[0] for x in found], pa.int64()), "n_tokens": pa.array([x[1] for x in found], pa.int64())})
+            for part in slices(batch, most=TOGETHER):
+                words = [(t or b"").split() for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_words": pa.array([len(w) for w in words], pa.int64()), "n_tokens": pa.array(unigram.count(words), pa.int64())})
 
     return docs.select("doc_id", "text").mapInArrow(counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
 
