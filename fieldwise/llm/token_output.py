@@ -27,7 +27,7 @@ from fieldwise.llm.store import shuffle_partitions, table, work_dir
 from fieldwise.llm.text import slices
 
 #: Words, and parts of words, whose ids a worker remembers; the older half is forgotten when a memory is full.
-REMEMBERED, PARTS = 600_000, 1_000_000
+REMEMBERED, PARTS = 400_000, 700_000
 #: Rows of texts that are encoded together, and rows between the files' index entries.
 ROWS, STRIDE = 256, 1000
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
