@@ -174,9 +174,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     shared = train.sparkSession.sparkContext.broadcast(frozenset(support))
 
     def anywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             counts: dict[str, int] = {}
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 for t in terms_of(text) & shared.value:
                     counts[t] = counts.get(t, 0) + 1
             yield pa.RecordBatch.from_pydict({"term": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
@@ -186,9 +186,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     chosen = train.sparkSession.sparkContext.broadcast(frozenset(good))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             found: set[tuple[str, str]] = set()
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 words = ["", *WORD.findall((text or "").lower()), ""]
                 for i in range(1, len(words) - 1):
                     for t in {words[i], *(words[i][:k] for k in STEM)} & chosen.value:
@@ -203,9 +203,9 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     first = train.sparkSession.sparkContext.broadcast(Lexicon(stems, words))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             counts: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                 for w in set(WORD.findall((text or "").lower())):
                     if 0 < first.value.weight(w) < 1:
                         counts.setdefault(w, [0, 0])[toxic == 1] += 1
@@ -233,9 +233,9 @@ def features(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [shared.value.hits(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "opened": pa.array([p[0] for p in pairs], pa.float64()), "quoted": pa.array([p[1] for p in pairs], pa.float64())})
+        for part in (part for batch in batches for part in slices(batch)):
+            pairs = [shared.value.hits(t) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "opened": pa.array([p[0] for p in pairs], pa.float64()), "quoted": pa.array([p[1] for p in pairs], pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {kind}, opened double, quoted double")
