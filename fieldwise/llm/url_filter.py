@@ -1,7 +1,7 @@
 """Operator 2: URL filter: rules by host and path, and gradient-boosted trees for all other URLs.
 
-Features are lexical: lengths, depth, digit ratio, character entropy, counts of parameters and separators, and statistics of the host's last label
-(how many labelled URLs have it, and how many of those are blocked). The trees are trained on labelled URLs, at most ``TRAINED_ON`` of them, picked by hash. Where no labels
+Features are lexical: lengths, depth, digit ratio, character entropy, counts of parameters and separators, and statistics of the host's last label without its port
+(how many labelled URLs have it, and how many of those are blocked; a labelled URL doesn't count itself). The trees are trained on labelled URLs, at most ``TRAINED_ON`` of them, picked by hash. Where no labels
 are given, the URLs that a rule judges are the labelled ones. Without two classes of labels every other URL is allowed.
 
 A null URL, or one without ``://``, has an empty host and path. Repeated rows are judged each. Only DataFrame functions and Spark's own learner are used.
@@ -55,7 +55,7 @@ def lexical(rows: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     return rows.withColumns({
-        "suffix": F.substring_index("host", ".", -1), "n_url": F.length(url).cast("double"), "n_host": F.length("host").cast("double"), "n_path": F.length("path").cast("double"),
+        "suffix": F.substring_index(F.regexp_replace("host", ":[0-9]*$", ""), ".", -1), "n_url": F.length(url).cast("double"), "n_host": F.length("host").cast("double"), "n_path": F.length("path").cast("double"),
         "depth": count(F.col("path"), "/"), "labels": count(F.col("host"), r"\."), "digits": count(url, "[0-9]") / F.greatest(F.length(url), F.lit(1)),
         "hyphens": count(F.col("host"), "-"), "params": count(url, "[?&][^=&#]+="), "query": (F.instr(url, "?") > 0).cast("double"), "entropy": entropy(url), "host_entropy": entropy(F.col("host")),
     })
@@ -74,13 +74,18 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, lab
         known = lexical(labels.select("url", F.col("blocked").cast("double").alias("label")).withColumn("host", own).withColumn("path", start))
     known = written(known.select("url", "suffix", "label", *FEATURES[:-2]).distinct(), "labelled")
     # One row for each top-level domain.
-    stats = written(known.groupBy("suffix").agg(F.log1p(F.count(F.lit(1))).alias("suffix_seen"), ((F.sum("label") + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_blocked")), "suffixes")
-    fill = {"suffix_seen": 0.0, "suffix_blocked": 0.5}
+    stats = written(known.groupBy("suffix").agg(F.count(F.lit(1)).alias("suffix_n"), F.sum("label").alias("suffix_sum")), "suffixes")
+
+    def with_stats(rows: DataFrame, own_n: Column, own_label: Column) -> DataFrame:
+        n, blocked = F.coalesce("suffix_n", F.lit(0)) - own_n, F.coalesce("suffix_sum", F.lit(0.0)) - own_label
+        return rows.join(stats, "suffix", "left").withColumns({"suffix_seen": F.log1p(n), "suffix_blocked": (blocked + 1) / (n + 2)})
+
     n = known.count()
     share = min(1_000_000, max(1, TRAINED_ON * 1_000_000 // max(n, 1)))
-    picked = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share).join(stats, "suffix", "left").fillna(fill)
+    picked = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share)
+    picked = with_stats(picked, F.lit(1), F.col("label"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    rows = judged.join(stats, "suffix", "left").fillna(fill)
+    rows = with_stats(judged, F.lit(0), F.lit(0.0))
     if known.select("label").distinct().count() < 2:
         scored = rows.withColumn("score", F.lit(0.0))
     else:
