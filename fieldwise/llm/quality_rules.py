@@ -1,7 +1,7 @@
 """Operator 5: line-first cleaning, then document rules.
 
 Each line with a word is judged on its own: punctuation (symbols, or exclamation marks, out of proportion),
-navigation (separators as in menus and tables), boilerplate (site phrases) and repetition (a line that says
+navigation (separators as in menus and tables), boilerplate (site phrases in the languages of the corpus) and repetition (a line that says
 few words over and over). Failing lines are removed; a document that loses too much of its words, or keeps too few, is
 rejected. The base counts are taken on the whole input text.
 
@@ -27,7 +27,13 @@ from fieldwise.llm.text import Words, slices
 MIN_WORDS = 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-BOILERPLATE = "cookie policy|privacy policy|terms of (use|service)|all rights reserved|sign in to|log in to|subscribe to|click here|javascript is"
+BOILERPLATE = (
+    "cookie policy|privacy policy|terms of (use|service)|all rights reserved|sign in to|log in to|subscribe to|click here|javascript is"
+    "|cookie-richtlinie|datenschutzerklärung|alle rechte vorbehalten|newsletter abonnieren|politique de confidentialité|mentions légales|tous droits réservés|cliquez ici"
+    "|política de privacidad|aviso legal|todos los derechos reservados|haga clic aquí"
+)
+SEPARATORS = "|»›·"
+_separators = [c.encode() for c in SEPARATORS]
 _boilerplate = re.compile(BOILERPLATE)
 _symbols = bytes(np.flatnonzero(SYMBOL).tolist())
 ASCII_LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -38,7 +44,7 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
     """Whether a line that has the given words is no prose."""
     n = len(words)
     symbols = len(line) - len(line.translate(None, _symbols))
-    if symbols * 10 > 3 * n or line.count(b"!!") * 2 > n or line.count(b"|") >= 3:
+    if symbols * 10 > 3 * n or line.count(b"!!") * 2 > n or sum(line.count(c) for c in _separators) >= 3:
         return True
     if n >= 9 and 3 * len(set(words)) <= n:
         return True
@@ -133,7 +139,7 @@ lw as (select doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as
 lj as (select doc_id, i, line, len(ws) as n, row_number() over (partition by doc_id, line order by i) as nth,
   (length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) * 10 > 3 * len(ws)
    or len(regexp_extract_all(line, '!!')) * 2 > len(ws)
-   or length(regexp_replace(line, '[^|]', '', 'g')) >= 3
+   or length(regexp_replace(line, '[^{separators}]', '', 'g')) >= 3
    or (len(ws) >= 9 and 3 * len(list_distinct(ws)) <= len(ws))
    or regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{boilerplate}')) as fails
   from lw where len(ws) > 0),
@@ -150,4 +156,4 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
  (not base_failed and 100 * n_lost_words <= 30 * n_words and n_words - n_lost_words >= 20) as kept, cast(n_lost_words as bigint) as n_lost_words
 from b
-""".replace("{boilerplate}", BOILERPLATE)
+""".replace("{boilerplate}", BOILERPLATE).replace("{separators}", SEPARATORS)
