@@ -324,7 +324,7 @@ def as_pairs(found: set[tuple[int, int]], names: tuple[str, str] = ("sid", "bloc
 def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, part, asks, sid, n, bits) in order, a block's own sets before those that ask, to the questions (sid, block) of sets that may link with one of the block by their bitmaps.
 
-    Sets of n and m with a link differ in (n + m) / 7 shingles at most."""
+    Sets of n and m with a link differ in (n + m) / 7 shingles at most, and the smaller has 0.75 of the larger's."""
     at, own, stacks, found = None, {}, {}, []
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("block", "part", "asks", "sid", "n", "bits")), strict=True)
@@ -340,7 +340,8 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (width, least) not in stacks:
                     stacks[width, least] = folded(np.stack([x for _, x in sets]), least), np.array([m for m, _ in sets])
                 maps, sizes = stacks[width, least]
-                if (7 * np.bitwise_count(maps ^ folded(bits, least)).sum(1, dtype=np.int64) <= sizes + n).any():
+                near = 7 * np.bitwise_count(maps ^ folded(bits, least)).sum(1, dtype=np.int64) <= sizes + n
+                if (near & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n))).any():
                     found.append((sid, block))
                     break
         yield as_pairs(found)
