@@ -17,7 +17,7 @@ trees are built here only where they can have deep nodes, and in pieces:
 * Windows that repeat inside one slab of a task are settled there and sent once, so a passage with very many copies
   costs a row for each slab.
 
-Windows are told apart by 104 bits (64 of the prefix and 40 of the window). Nulls: a null text has no words; a row
+Windows are told apart by 104 bits in a group (64 of the prefix and 40 of the window) and by 64 within a slab. Nulls: a null text has no words; a row
 with a null doc_id has no place in the order and is returned as it is. Rows that repeat a doc_id stand for one document read
 twice: the second isn't a repeat of the first. Extra columns are ignored.
 """
