@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fieldwise.llm.chat_format import OP6_SQL, op6_chat_format
 from fieldwise.llm.decontamination import op1_benchmark_decontamination
+from fieldwise.llm.fingerprints import op12_fingerprints
 from fieldwise.llm.mixing import op8_mixing
 from fieldwise.llm.ngram_join import OP4_SQL, op4_ngram_jaccard_join
 from fieldwise.llm.quality_rules import OP5_SQL, op5_quality_rules
@@ -19,7 +20,7 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination, op2_url_filter, op3_token_output, op4_ngram_jaccard_join, op5_quality_rules,
         op6_chat_format, op7_substring_dedup, op8_mixing, op9_token_counts, op10_toxicity,
-        op13_source_divergence,
+        op12_fingerprints, op13_source_divergence,
     )
 }
 
