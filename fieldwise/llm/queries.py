@@ -10,6 +10,7 @@ from fieldwise.llm.ngram_join import OP4_SQL, op4_ngram_jaccard_join
 from fieldwise.llm.quality_rules import OP5_SQL, op5_quality_rules
 from fieldwise.llm.source_divergence import OP13_SQL, op13_source_divergence
 from fieldwise.llm.substring_dedup import OP7_SQL, op7_substring_dedup
+from fieldwise.llm.token_alignment import op11_token_alignment
 from fieldwise.llm.token_counts import op9_token_counts
 from fieldwise.llm.token_output import op3_token_output
 from fieldwise.llm.toxicity import op10_toxicity
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         op1_benchmark_decontamination, op2_url_filter, op3_token_output, op4_ngram_jaccard_join, op5_quality_rules,
         op6_chat_format, op7_substring_dedup, op8_mixing, op9_token_counts, op10_toxicity,
-        op12_fingerprints, op13_source_divergence,
+        op11_token_alignment, op12_fingerprints, op13_source_divergence,
     )
 }
 
