@@ -65,8 +65,8 @@ def fingerprint(kept: Column) -> Column:
 
 def from_fingerprint(text: Column) -> Column:
     """The sketch that ``fingerprint`` wrote."""
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) / 8 - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places.cast("array<int>"), lambda i: F.conv(F.substr(text, i * 8 + 1, F.lit(8)), 16, 10).cast("int"))
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), (F.length(text) / 8 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.substr(text, i * 8 + 1, F.lit(8)), 16, 10).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -31,7 +31,7 @@ from fieldwise.llm.token_output import SHOWN, forget
 #: Units that a worker remembers; distinct units and bytes of text of a run.
 REMEMBERED, UNITS, BYTES = 250_000, 150_000, 16 << 20
 #: A space that may belong to what stands before it: after white space, control or format characters, or another space.
-UNSURE = re.compile(r"[\s\x00-\x1f\x7f-\xa0­ ᠎ -‏ -  -⁯　﻿] ")
+UNSURE = re.compile(r"[\s\x00-\x1f\x7f-\xa0\u00ad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff] ")
 RUNS = "run long, text_key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, pairs array<long>, weights array<long>, starts binary, linked binary"
 FIELDS = pa.schema([
     ("run", pa.int64()), ("text_key", pa.binary()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("units", pa.binary()),
