@@ -49,8 +49,11 @@ def stem(word: Column, suffixes: list[str], exact: dict[str, str] | None = None)
     known = F.create_map(*[F.lit(x) for kv in exact.items() for x in kv]) if exact else None
     look = lambda w: F.coalesce(F.element_at(known, w), w) if exact else w
     if not any(later.endswith(s) and later != s for i, s in enumerate(suffixes) for later in suffixes[i + 1 :]):
-        # Longer endings come first, so the first that fits is the longest, which one pattern finds.
-        cut = F.regexp_replace(word, f"^(.{{3,}}?)(?:{'|'.join(suffixes)})$", "$1")
+        # Longer endings come first, so the first that fits is the longest; those of one length are asked for together.
+        cut = word
+        for n in sorted({len(s) for s in suffixes}):
+            fits = (F.length(word) >= n + 3) & F.right(word, F.lit(n)).isin([s for s in suffixes if len(s) == n])
+            cut = F.when(fits, F.left(word, F.length(word) - n)).otherwise(cut)
     else:
         cut = word
         for s in reversed(suffixes):
@@ -60,8 +63,8 @@ def stem(word: Column, suffixes: list[str], exact: dict[str, str] | None = None)
 
 def tokens(c: Column, suffixes: list[str] = SUFFIXES) -> Column:
     """Words, each followed by its stem if that is another."""
-    both = F.transform(words_of(c), lambda w: F.array(w, stem(w, suffixes)))
-    return F.flatten(F.transform(both, F.array_distinct))
+    own = lambda w: F.transform(F.array(stem(w, suffixes)), lambda s: F.when(s == w, F.array(w)).otherwise(F.array(w, s)))[0]
+    return F.flatten(F.transform(words_of(c), own))
 
 
 def without_stop_words(words: Column, stop: list[str]) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwise.functions.scalars import positive_decimal
+from fieldwise.functions.scalars import lower_tr, positive_decimal
 from fieldwise.operators.changes import stage
+from fieldwise.operators.patterns import found_patterns
 
 SHA = "^[0-9a-f]{64}$"
 #: Fixed order in which sources of an authority are read.
@@ -201,15 +202,10 @@ def integrity(members: DataFrame, manifest: DataFrame) -> DataFrame:
 def detect_crop(questions: DataFrame, names: DataFrame) -> DataFrame:
     """(question_id, crop_code) by the first name, in order of ordinal, that stands in the question (question_id, text). names (ordinal, name, crop_code): the catalog's names before aliases.
 
-    A name of which the first word is no word of the question can still be inside one, so questions and names meet by three letters."""
-    from fieldwise.functions.scalars import lower_tr
-
-    low = lower_tr(F.coalesce(F.col("text"), F.lit("")))
-    rows = questions.select("question_id", low.alias("low"))
-    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3)))
-    keys = names.select("ordinal", "crop_code", lower_tr(F.col("name")).alias("name")).where("length(name) >= 3").withColumn("g", F.left("name", F.lit(3)))
-    hits = rows.select("question_id", "low", F.explode(F.array_distinct(gram)).alias("g")).join(keys, "g").where(F.contains("low", "name"))
-    return hits.groupBy("question_id").agg(F.min_by("crop_code", "ordinal").alias("crop_code"))
+    Names are found in one walk over each question."""
+    rows = questions.select(F.col("question_id").alias("text_id"), lower_tr(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    keys = names.select("ordinal", "crop_code", lower_tr(F.col("name")).alias("pattern")).where("length(pattern) >= 3")
+    return found_patterns(rows, keys).join(keys, "pattern").groupBy(F.col("text_id").alias("question_id")).agg(F.min_by("crop_code", "ordinal").alias("crop_code"))
 
 
 def canonical_crop(rows: DataFrame, aliases: DataFrame) -> DataFrame:

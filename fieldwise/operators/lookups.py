@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwise.operators.patterns import found_patterns
+
 
 def only_one(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows whose key stands exactly once; a second row makes an answer ambiguous, so neither stays."""
@@ -131,9 +133,13 @@ def approved(subjects: DataFrame, attestations: DataFrame, revoked: DataFrame |
 def by_first_containment(rows: DataFrame, text: str, names: DataFrame) -> DataFrame:
     """rows with the code of the first name, by ordinal, that the text contains, or that contains it; empty texts have none.
 
-    names (ordinal, name, code) is a dictionary; it is broadcast, so keep it one."""
-    hits = rows.join(F.broadcast(names), (F.col(text) != "") & (F.contains(F.col(text), F.col("name")) | F.contains(F.col("name"), F.col(text))))
-    best = hits.groupBy(text).agg(F.min_by("code", "ordinal").alias("code"))
+    names (ordinal, name, code) is a dictionary. Names inside texts are found in one walk over each distinct text; texts inside names are looked up among the names' substrings."""
+    texts = rows.select(F.col(text).alias("text_id")).where("text_id <> ''").distinct().withColumn("text", F.col("text_id"))
+    inside = found_patterns(texts, names.select(F.col("name").alias("pattern"))).join(names.withColumnRenamed("name", "pattern"), "pattern").select("text_id", "ordinal", "code")
+    starts = F.sequence(F.lit(1), F.length("name"))
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("name") - i + 1), lambda n: F.substring("name", i, n))))
+    around = names.where("name <> ''").select(F.explode(F.array_distinct(parts)).alias("text_id"), "ordinal", "code").join(texts.select("text_id"), "text_id")
+    best = inside.union(around.select("text_id", "ordinal", "code")).groupBy(F.col("text_id").alias(text)).agg(F.min_by("code", "ordinal").alias("code"))
     return rows.join(best, text, "left")
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
-from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules
+from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules, search_index
 from fieldwise.plans.views import oracle, view
+from fieldwise.sources.scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,12 +234,13 @@ bm as materialized (select query_id, chunk_id, score, row_number() over (partiti
 """
 
 
-def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _bm25(spark: SparkSession, d: str, k: int, keep: Column | None = None) -> DataFrame:
     """Chunks are searched with their title and section (here source and language), queries without stop words."""
     queries = view(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    chunks = view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "source", "lang", "text").alias("text"))
+    chunks = view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("chunk_id"), "source", "lang", F.concat_ws(" ", "source", "lang", "text").alias("text"))
     words = S.tokens(F.col("text"))
-    return retrieval.bm25_top(queries, chunks, S.without_stop_words(words, STOP_WORDS), words, k)
+    index = search_index.build_index(chunks, words, folder(spark, "index"), ("source", "lang"))
+    return search_index.bm25_search(queries, index, S.without_stop_words(words, STOP_WORDS), k, keep)
 
 
 @query(BM25 + "select query_id, chunk_id, score, rank from bm where rank <= 5")
@@ -246,6 +248,17 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 5)
 
 
+#: A filter on source and language for a search; as SQL for both engines.
+WANTED = "source in ('src1', 'src3', 'src5', 'src7', 'src11') and lang <> 'en'"
+
+
+@query(BM25 + f"""select query_id, chunk_id, score, rank from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank
+ from sc join documents on chunk_id = doc_id where {WANTED}) x where rank <= 5""")
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Only some sources and languages are searched; the filter counts before the cut."""
+    return _bm25(spark, d, 5, F.expr(WANTED))
+
+
 DENSE = """v as (select vec_id, label, embedding::double[] as e from embeddings), z as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v),
 dn as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_inner_product(q.e, c.e), 6) as score, row_number() over (partition by q.vec_id order by round(list_inner_product(q.e, c.e), 6) desc, c.vec_id) as rank from z q cross join z c where q.vec_id % 20 = 0)
 """
