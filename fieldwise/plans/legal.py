@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
 from fieldwise.operators import approvals, catalogs, changes, documents, evidence, legislation, releases, rules
+from fieldwise.operators import page_search as pages_of
 from fieldwise.plans.registry import DICTIONARY, query
 from fieldwise.plans.views import view
 from fieldwise.sources.scratch import cut
@@ -228,7 +229,7 @@ FLD = r"trim(regexp_replace(translate(lower(translate({0}, 'İIĞÜŞÖÇ', 'iı
 SEARCHED = f"""with r as materialized (select doc_id, page_no, own_id % 9 + 1 as art, {FLD("concat('MADDE ', own_id % 9 + 1, ' ', text)")} as t, concat('belge ', doc_id) as title, case when own_id % 2 = 0 then [{FLD('substring(text, 1, 10)')}] else [] end as hs, case when own_id % 2 = 0 then [{FLD('substring(text, 11, 12)')}, 'hucre'] else [] end as cs,
  {FLD("concat_ws(chr(10), concat('MADDE ', own_id % 9 + 1, ' ', text), case when own_id % 2 = 0 then substring(text, 1, 10) else '' end, case when own_id % 2 = 0 then concat(substring(text, 11, 12), chr(10), 'hücre') else '' end)")} as low, text from src_pages),
 p as materialized (select *, list_filter(list_sort({DICTIONARY}), lambda w: contains(low, w)) as ks, list_transform(list_filter(list_distinct(list_transform(regexp_extract_all(concat('MADDE ', art, ' ', text), '(?i)\\bMADDE\\s+(\\d{{1,9}})\\b', 1), lambda x: try_cast(x as int))), lambda x: x is not null), lambda x: concat('madde ', x)) as arts from r),
-q as materialized (select item_id as query_id, {FLD("concat('Madde ', item_id % 9 + 1, ' ', substring(text, 1, 12))")} as q from benchmark where item_id % 2 = 0 union all select item_id, {FLD("substring(text, 30, 9)")} from benchmark where item_id % 2 = 1),
+q as materialized (select item_id as query_id, {FLD("concat('Madde ', item_id % 9 + 1, ' ', text)")} as q from benchmark where item_id % 2 = 0 union all select item_id, {FLD("text")} from benchmark where item_id % 2 = 1),
 w as materialized (select query_id, q, list_filter(string_split(q, ' '), lambda x: length(x) >= 3) as ws from q where q <> ''),
 s as (select w.query_id, p.doc_id, p.page_no, 50.0 * len(list_filter(arts, lambda a: contains(q, a) or contains(a, q))) + case when contains(q, concat('sayfa ', page_no)) or contains(q, concat('page ', page_no)) then 40.0 else 0 end + 35.0 * len(list_filter(hs, lambda x: contains(x, q))) + 30.0 * len(list_filter(cs, lambda x: contains(x, q)))
  + 20.0 * len(list_filter(ks, lambda x: contains(q, x) or contains(x, q))) + case when contains(t, q) then 25.0 when len(ws) = 0 then 0 when len(list_filter(ws, lambda x: contains(t, x) or len(list_filter(ks, lambda y: contains(y, x))) > 0)) = len(ws) then 20.0
@@ -238,19 +239,19 @@ s as (select w.query_id, p.doc_id, p.page_no, 50.0 * len(list_filter(arts, lambd
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("item_id")
-    return view(spark, d, "benchmark").select(n.alias("query_id"), F.when(n % 2 == 0, F.concat(F.lit("Madde "), (n % 9 + 1).cast("string"), F.lit(" "), F.substring("text", 1, 12))).otherwise(F.substring("text", 30, 9)).alias("text"))
+    return view(spark, d, "benchmark").select(n.alias("query_id"), F.when(n % 2 == 0, F.concat(F.lit("Madde "), (n % 9 + 1).cast("string"), F.lit(" "), F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 @query(SEARCHED + "select query_id, doc_id, page_no, round(score, 4) as score from (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id, page_no) as n from s where score > 0) x where n <= 3", "src_pages")
 def page_search(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.page_search(_asked(spark, d), _records(spark, d), 3).select("query_id", "doc_id", "page_no", F.round("score", 4).alias("score"))
+    return pages_of.page_search(_asked(spark, d), _records(spark, d), 3).select("query_id", "doc_id", "page_no", F.round("score", 4).alias("score"))
 
 
 @query("select item_id as key_id, min_by(doc_id, own_id) as doc_id, min_by(page_no, own_id) as page_no from benchmark join (select *, own_id % 9 + 1 as art from src_pages where not regexp_matches(text, '(?i)madde')) p on item_id % 9 + 1 = p.art group by 1", "src_pages")
 def article_page(spark: SparkSession, d: str) -> DataFrame:
     """Each item asks for one article, of pages that name one."""
     keys = view(spark, d, "benchmark").select(F.col("item_id").alias("key_id"), F.concat(F.lit("Madde "), (F.col("item_id") % 9 + 1).cast("string")).alias("text"))
-    return evidence.article_pages(keys, _records(spark, d).where("size(articles) = 1"))
+    return pages_of.article_pages(keys, _records(spark, d).where("size(articles) = 1"))
 
 
 def _release_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
-from fieldwise.operators import lookups, patterns, retrieval, search_index
+from fieldwise.operators import lookups, page_search, patterns, retrieval, search_index
 from fieldwise.sources.scratch import folder
 
 
@@ -83,3 +83,35 @@ def test_first_containment_against_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(crops)), "id int, crop string")
     got = {x["id"]: x["code"] for x in lookups.by_first_containment(rows, "crop", spark.createDataFrame(names, "ordinal int, name string, code string")).collect()}
     assert got == {i: next((c for _, n, c in names if t and (t in n or n in t)), None) for i, t in enumerate(crops)}
+
+
+def test_page_search_against_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    some = lambda n: " ".join("".join(r.choice("abç") for _ in range(r.randint(1, 4))) for _ in range(n))
+    records = [(r.randint(0, 6), i, some(8) if i % 9 else None, some(2), [f"madde {r.randint(1, 12)}"] * (i % 3 > 0), [some(2)] * (i % 2), [some(3), some(1)], [some(1)] if i % 5 else []) for i in range(150)]
+    queries = [(i, [some(1), some(3), f"madde {i % 12} {some(2)}", f"sayfa {i} {some(1)}", "", None][i % 6]) for i in range(60)]
+
+    def points(q, page):
+        _, no, text, title, articles, heads, cells, keywords = page
+        text, words = text or "", [w for w in q.split(" ") if len(w) >= 3]
+        hits = sum(w in text or any(w in x for x in keywords) for w in words)
+        score = 25 if q in text else 0 if not words else 20 if hits == len(words) else 10 * hits / len(words)
+        score += 50 * sum(a in q or q in a for a in articles) + 40 * (f"sayfa {no}" in q or f"page {no}" in q) + 35 * sum(q in x for x in heads) + 30 * sum(q in x for x in cells)
+        return round(score + 20 * sum(x in q or q in x for x in keywords) + 8 * (q in title), 6)
+
+    want = []
+    for i, q in queries:
+        if q:
+            found = sorted((-points(q, p), p[0], p[1]) for p in records if points(q, p) > 0)[:4]
+            want += [(i, doc, no, -s, n + 1) for n, (s, doc, no) in enumerate(found)]
+    pages = spark.createDataFrame(records, "doc_id int, page_no int, text string, title string, articles array<string>, headers array<string>, cells array<string>, keywords array<string>").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id int, text string")
+    for block, held in ((10**6, 10**6), (150, 50)):
+        monkeypatch.setattr(page_search, "BLOCK", block)
+        monkeypatch.setattr(page_search, "HELD", held)
+        got = page_search.page_search(asked, pages, 4)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    keys = spark.createDataFrame([(1, "madde 3 x"), (2, "adde 1"), (3, "yok"), (4, None)], "key_id int, text string")
+    at = {i: min(((p[0], p[1]) for p in records if any(f(a) for a in p[4])), default=None) for i, f in ((1, lambda a: a in "madde 3 x"), (2, lambda a: "adde 1" in a))}
+    got = {x.key_id: (x.doc_id, x.page_no) for x in page_search.article_pages(keys, pages).collect()}
+    assert got[1] == at[1] and got[2] == at[2] and 4 not in got
