@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
-from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules, search_index
+from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules, search_index, vector_index
 from fieldwise.plans.views import oracle, view
 from fieldwise.sources.scratch import folder
 
@@ -264,9 +264,10 @@ dn as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_inner_produ
 """
 
 
-def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _dense(spark: SparkSession, d: str, k: int, keep: Column | None = None) -> DataFrame:
     rows = view(spark, d, "embeddings")
-    return retrieval.dense_top(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), k)
+    index = vector_index.build_vectors(rows.select(F.col("vec_id").alias("chunk_id"), "label", "embedding"), folder(spark, "vectors"), ("label",))
+    return vector_index.nearest_vectors(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), index, k, keep)
 
 
 @query(f"with {DENSE} select query_id, chunk_id, score, rank from dn where rank <= 5")
@@ -275,6 +276,13 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 5)
 
 
+@query(f"""with {DENSE}, f as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from dn join embeddings on chunk_id = vec_id where label in (1, 3))
+select query_id, chunk_id, score, rank from f where rank <= 5""")
+def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Only vectors of two labels are searched; the filter counts before the cut."""
+    return _dense(spark, d, 5, F.col("label").isin(1, 3))
+
+
 @query(f"""with {DENSE}, g as (select dn.query_id, min(dn.rank) as first from dn join z a on dn.query_id = a.vec_id join z b on dn.chunk_id = b.vec_id where dn.rank <= 5 and a.label = b.label and a.vec_id <> b.vec_id group by 1),
 r as (select z.vec_id, g.first from z left join g on z.vec_id = g.query_id where z.vec_id % 20 = 0)
 select round(avg(case when first <= 1 then 1.0 else 0 end), 4) as hit_1, round(avg(case when first <= 3 then 1.0 else 0 end), 4) as hit_3, round(avg(case when first <= 5 then 1.0 else 0 end), 4) as hit_5,
@@ -296,7 +304,8 @@ def rrf_fused(spark: SparkSession, d: str) -> DataFrame:
     """The lexical list of each item fused with the dense list of the vector of its number."""
     rows = view(spark, d, "embeddings")
     asked = rows.join(view(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    dense = retrieval.dense_top(asked, rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), 20)
+    index = vector_index.build_vectors(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), folder(spark, "vectors"))
+    dense = vector_index.nearest_vectors(asked, index, 20)
     return retrieval.fused(_bm25(spark, d, 20), dense)
 
 

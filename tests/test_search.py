@@ -8,7 +8,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
-from fieldwise.operators import lookups, page_search, patterns, retrieval, search_index
+from fieldwise.operators import lookups, page_search, patterns, retrieval, search_index, vector_index
 from fieldwise.sources.scratch import folder
 
 
@@ -115,3 +115,28 @@ def test_page_search_against_brute_force(spark, monkeypatch):
     at = {i: min(((p[0], p[1]) for p in records if any(f(a) for a in p[4])), default=None) for i, f in ((1, lambda a: a in "madde 3 x"), (2, lambda a: "adde 1" in a))}
     got = {x.key_id: (x.doc_id, x.page_no) for x in page_search.article_pages(keys, pages).collect()}
     assert got[1] == at[1] and got[2] == at[2] and 4 not in got
+
+
+@pytest.mark.parametrize("keep", [None, "label = 1"])
+def test_nearest_vectors_against_brute_force(spark, keep, monkeypatch):
+    """Clustered vectors in many small slices, with equal vectors, one of length 0 and null ones; several blocks of queries."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 6))
+    vectors = np.vstack([centres[i % 12] + 0.05 * r.normal(size=6) for i in range(600)] + [np.zeros(6), *[centres[0]] * 8])
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(vectors)] + [(9000, None, 1)]
+    table = spark.createDataFrame(rows, "chunk_id int, embedding array<double>, label int")
+    queries = table.where("chunk_id % 7 = 0 or chunk_id = 600").select(F.concat(F.lit("q"), F.col("chunk_id").cast("string")).alias("query_id"), "embedding")
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 40)
+    index = vector_index.build_vectors(table, folder(spark, "vectors"), ("label",), slice_size=20)
+    got = sorted(map(tuple, vector_index.nearest_vectors(queries, index, 4, None if keep is None else F.expr(keep)).collect()))
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    want = []
+    for q in [i for i in range(len(vectors)) if i % 7 == 0 or i == 600]:
+        score = np.round(unit[q] @ unit.T, 6)
+        own = [i for i in range(len(vectors)) if keep is None or i % 3 == 1]
+        want += [(f"q{q}", i, float(score[i]), n + 1) for n, i in enumerate(sorted(own, key=lambda i: (-score[i], i))[:4])]
+    assert got == sorted(want)
+    if keep is None:
+        assert vector_index.scanned_share(queries, index, 4) < 0.3
+    assert vector_index.nearest_vectors(queries.limit(0), index).count() == 0
+    assert vector_index.nearest_vectors(queries, vector_index.build_vectors(table.limit(0), folder(spark, "vectors"), ("label",))).count() == 0
