@@ -64,14 +64,20 @@ def block_hash(*fields: str) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
 
 
+def block_sha256(chain: str, index: int, event_id: int, payload: str, before: str) -> str:
+    """The same of one block, in a task."""
+    import hashlib
+    import json
+
+    block = {"block_index": str(index), "chain": chain, "event_id": str(event_id), "payload": payload, "previous_sha256": before}
+    return hashlib.sha256(json.dumps(block, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def append_blocks(events: DataFrame, tips: DataFrame | None = None) -> DataFrame:
     """events (chain, event_id, payload) to blocks; each chain is walked in order of event_id, different chains by different tasks.
 
     tips (chain, block_index, block_sha256): where chains stand now. A block needs the one before, so a chain is walked by one task; rows are streamed to it in
     order and it carries the tip alone, so a chain of any length takes no more memory."""
-    import hashlib
-    import json
-
     import pandas as pd
 
     if tips is None:
@@ -88,8 +94,7 @@ def append_blocks(events: DataFrame, tips: DataFrame | None = None) -> DataFrame
                 if at is None or at[0] != chain:
                     at = (chain, int(tip_index), tip)
                 index, before = at[1] + 1, at[2]
-                block = {"block_index": str(index), "chain": chain, "event_id": str(event_id), "payload": payload, "previous_sha256": before}
-                own = hashlib.sha256(json.dumps(block, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                own = block_sha256(chain, index, event_id, payload, before)
                 out.append((chain, index, event_id, payload, before, own))
                 at = (chain, index, own)
             yield pd.DataFrame(out, columns=["chain", "block_index", "event_id", "payload", "previous_sha256", "block_sha256"])

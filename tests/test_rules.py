@@ -123,9 +123,9 @@ def test_streams_of_chunks_answers_and_events(spark, tmp_path):
     at = lambda n: str(tmp_path / n)
     feed("chunks", "chunk_id string, text string", [[("a", "1"), ("a", "1"), ("b", "2")], [("b", "2"), ("c", "3")]], lambda df: streams.once_ever(df, "chunk_id", at("store"), at("c1")))
     assert sorted(r["chunk_id"] for r in spark.read.parquet(at("store")).collect()) == ["a", "b", "c"]
-    feed("qa", "question string, answer string", [[("q", "a")], [("q", "a"), ("q", "b"), ("r", "c")]], lambda df: streams.watch_harvest(df, at("known"), at("queue"), at("c2")))
-    assert sorted((r["batch"], r["status"], r["version"]) for r in spark.read.parquet(at("queue")).collect()) == [(0, "NEW", 1), (1, "NEW", 1), (1, "SUPERSEDES", 2)]
-    feed("events", "chain string, event_id long, payload string", [[("x", 1, "p"), ("x", 2, "q")], [("x", 3, "r"), ("y", 4, "s")]], lambda df: streams.append_audit(df, at("chain"), at("tips"), at("c3")))
+    feed("qa", "question string, answer string", [[("q", "a")], [("q", "a"), ("q", "b"), ("r", "c")]], lambda df: streams.watch_harvest(df, at("queue"), at("c2")))
+    assert sorted((r["status"], r["version"]) for r in spark.read.parquet(at("queue")).collect()) == [("NEW", 1), ("NEW", 1), ("SUPERSEDES", 2)]
+    feed("events", "chain string, event_id long, payload string", [[("x", 1, "p"), ("x", 2, "q")], [("x", 3, "r"), ("y", 4, "s")]], lambda df: streams.append_audit(df, at("chain"), at("c3")))
     blocks = spark.read.parquet(at("chain"))
     assert blocks.count() == 4 and changes.chain_violations(blocks).count() == 0
 
@@ -164,13 +164,33 @@ def test_sets_and_first_names(spark):
 
 
 def test_stream_of_changes(spark, tmp_path):
+    """Each batch starts the stream again; late snapshots change nothing, and a batch that is sent again gives no second event."""
     from fieldwise.streaming.changes import watch_changes
 
     schema = "source_id string, event_id long, ts timestamp, content_hash string"
-    at = datetime.datetime(2026, 1, 1)
-    for name, batch in (("a", [("s", 1, at, "x")]), ("b", [("s", 2, at, "x"), ("s", 3, at, "y"), ("t", 4, at, "z")])):
+    day = lambda n: datetime.datetime(2026, 1, n)
+    batches = [[("s", 1, day(5), "x")], [("s", 2, day(6), "x"), ("s", 3, day(7), "y"), ("t", 4, day(6), "z")], [("s", 3, day(7), "y"), ("t", 4, day(6), "z")], [("s", 5, day(1), "q"), ("t", 6, day(8), "z"), ("s", 7, day(9), "y")]]
+    seen = []
+    for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        watch_changes(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {(r["event_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(1, "NEW"), (2, "UNCHANGED"), (3, "UPDATED"), (4, "NEW")}
+        query = watch_changes(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        seen.append(sum(p["numInputRows"] for p in query.recentProgress))
+    got = sorted((r["event_id"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "NEW"), (2, "UNCHANGED"), (3, "UPDATED"), (4, "NEW"), (5, "LATE"), (6, "UNCHANGED"), (7, "UNCHANGED")]
+    assert seen == [1, 3, 2, 3]  # no batch reads an earlier one
+
+
+def test_batches_stay_small_as_stores_grow(spark, tmp_path):
+    """Twenty batches of as many new and as many known keys: each reads its own rows alone and adds what is new."""
+    from fieldwise.streaming.changes import once_ever
+
+    schema, seen = "chunk_id string, text string", []
+    for b in range(20):
+        rows = [(f"k{i}", "t") for i in range(max(0, 10 * b - 10), 10 * b + 10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = once_ever(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "chunk_id", str(tmp_path / "store"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        seen.append(sum(p["numInputRows"] for p in query.recentProgress))
+    assert seen == [10] + [20] * 19 and spark.read.parquet(str(tmp_path / "store")).count() == 200
