@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,123 +27,216 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwise.llm.store import if_small, table, written
+from fieldwise.llm.text import Words, slices
 
 #: Documents of a language that a term needs, ranks of part ``term``, the scale of shares and the smoothing: fixed values of the contract.
 SUPPORT, TOP, SCALE, SMOOTH = 10, 10, 1_000_000_000, 2
-#: Items that a task sums up before it hands them on, and entries of distances that it keeps.
-HELD, DISTANCES = 300_000, 4_000_000
+#: Entries that a task sums up before it hands them on, rows of a batch, bits of a language's number within a task, and entries of distances that a task keeps.
+HELD, ROWS_OUT, LANG_BITS, DISTANCES = 3_000_000, 20_000, 20, 4_000_000
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ROWS = pa.schema([("lang", pa.string()), ("item", pa.string()), ("docs", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
 SCHEMA = "lang string, item string, docs array<long>, sources array<string>, ns array<long>"
 
 
-class Tally:
-    """For each language and item: its documents (None: enough of them) and its occurrences by source."""
+class Codes(dict):
+    """Numbers of values in the order of their first place."""
+
+    def of(self, values: pa.Array) -> np.ndarray:
+        coded = values.dictionary_encode()
+        own = np.array([self.setdefault(v, len(self)) for v in coded.dictionary.to_pylist()], np.int64)
+        return own[coded.indices.to_numpy()] if len(own) else np.empty(0, np.int64)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change, the first place included."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    change = np.ones(len(keys[0]), bool)
+    change[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(change)
+
+
+def lists(values: pa.Array, starts: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Runs of values, from each start to the next, as lists."""
+    offsets = pa.array(np.append(starts, len(values)).astype(np.int32), mask=None if valid is None else np.append(~valid, False))
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+class Counts:
+    """Sums of occurrences by item, language and source, and up to nine documents of an item and language, as arrays.
+
+    key: item and language in one number; items, langs and sources are numbered in the order of their first place."""
 
     def __init__(self) -> None:
-        self.of: dict[str, dict[bytes, list]] = {}
-
-    def __len__(self) -> int:
-        return sum(map(len, self.of.values()))
-
-    def add_document(self, lang: str, source: str, doc: int, counts: Counter) -> None:
-        own = self.of.setdefault(lang, {})
-        for item, n in counts.items():
-            entry = own.get(item)
-            if entry is None:
-                own[item] = [[doc], {source: n}]
-                continue
-            docs, by_source = entry
-            if docs is not None:
-                docs.append(doc)
-                if len(docs) >= SUPPORT:
-                    entry[0] = None
-            by_source[source] = by_source.get(source, 0) + n
-
-    def add_item(self, lang: str, item: bytes, docs: set[int] | None, by_source: dict[str, int], times: int = 1) -> None:
-        entry = self.of.setdefault(lang, {}).setdefault(item, [set(), {}])
-        if entry[0] is not None:
-            entry[0] = together(entry[0], docs)
-        for source, n in by_source.items():
-            entry[1][source] = entry[1].get(source, 0) + n * times
-
-    def rows(self, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-        """What is held, as rows of SCHEMA; nothing is held afterwards."""
-        for lang, own in self.of.items():
-            items = list(own)
-            for at in range(0, len(items), most):
-                part = items[at : at + most]
-                held = [own[x] for x in part]
-                columns = [
-                    pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([None if d is None else list(d) for d, _ in held], pa.list_(pa.int64())),
-                    pa.array([list(s) for _, s in held], pa.list_(pa.string())), pa.array([list(s.values()) for _, s in held], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=ROWS)
-        self.of = {}
-
-
-def together(a: set[int], b: Iterable[int] | None) -> set[int] | None:
-    """Documents of both; None if they are enough."""
-    if b is None:
-        return None
-    a.update(b)
-    return a if len(a) < SUPPORT else None
+        self.items, self.langs, self.sources = Codes(), Codes(), Codes()
+        self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.enough: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, key: np.ndarray, source: np.ndarray, n: np.ndarray, doc_key: np.ndarray, doc: np.ndarray, enough: np.ndarray) -> None:
+        self.entries.append((key, source, n))
+        self.docs.append((doc_key, doc))
+        self.enough.append(enough)
+        self.held += len(key) + len(doc)
+
+    def sum_up(self) -> None:
+        """One entry for each key and source, and one for each key and document of keys that have too few of them."""
+        if not self.entries:
+            return
+        key, source, n = (np.concatenate(x) for x in zip(*self.entries, strict=True))
+        order = np.lexsort((source, key))
+        key, source = key[order], source[order]
+        at = runs(key, source)
+        self.entries = [(key[at], source[at], np.add.reduceat(n[order], at) if len(at) else n)]
+        key, doc = (np.concatenate(x) for x in zip(*self.docs, strict=True))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        at = runs(key, doc)
+        key, doc = key[at], doc[at]
+        own = runs(key)
+        size = np.diff(np.append(own, len(key)))
+        enough = np.unique(np.concatenate([*self.enough, key[own][size >= SUPPORT]]))
+        few = np.repeat(size < SUPPORT, size) & ~np.isin(key, enough)
+        self.docs, self.enough = [(key[few], doc[few])], [enough]
+        self.held = len(self.entries[0][0]) + len(doc)
+
+    def rows(self, names: pa.Array | None = None, last: bool = True) -> Iterator[pa.RecordBatch]:
+        """Rows of SCHEMA in order of their keys; nothing is held afterwards but, without ``last``, what belongs to the item of the greatest number."""
+        if not self.entries:
+            return
+        self.sum_up()
+        (key, source, n), (doc_key, doc), enough = self.entries[0], self.docs[0], self.enough[0]
+        names = pa.array(list(self.items), pa.binary()) if names is None else names
+        langs, sources = pa.array(list(self.langs), pa.string()), pa.array(list(self.sources), pa.string())
+        starts = runs(key)
+        own = key[starts]
+        first, valid = np.searchsorted(doc_key, own), ~np.isin(own, enough)
+        most = len(own) if last or not len(own) else int(np.searchsorted(own, (own[-1] >> LANG_BITS) << LANG_BITS))
+        for lo in range(0, most, ROWS_OUT):
+            hi = min(lo + ROWS_OUT, most)
+            e0, e1 = starts[lo], starts[hi] if hi < len(starts) else len(key)
+            d0, d1 = first[lo], first[hi] if hi < len(first) else len(doc)
+            item = names.take(pa.array(own[lo:hi] >> LANG_BITS)).cast(pa.string())
+            lang = langs.take(pa.array(own[lo:hi] & ((1 << LANG_BITS) - 1)))
+            found = lists(pa.array(doc[d0:d1]), first[lo:hi] - d0, valid[lo:hi])
+            by = lists(sources.take(pa.array(source[e0:e1])), starts[lo:hi] - e0), lists(pa.array(n[e0:e1]), starts[lo:hi] - e0)
+            yield pa.RecordBatch.from_arrays([lang, item, found, *by], schema=ROWS)
+        rest = slice(starts[most], None) if most < len(starts) else slice(len(key), None)
+        kept = slice(first[most], None) if most < len(first) else slice(len(doc), None)
+        entries, docs, still = (key[rest], source[rest], n[rest]), (doc_key[kept], doc[kept]), enough[np.isin(enough, own[most:])]
+        items = self.items
+        self.items, self.entries, self.docs, self.enough, self.held = Codes(), [], [], [], 0
+        if len(entries[0]):
+            name, lang_of = next(x for x, i in items.items() if i == int(own[-1] >> LANG_BITS)), (1 << LANG_BITS) - 1
+            self.items[name] = 0
+            self.add(entries[0] & lang_of, entries[1], entries[2], docs[0] & lang_of, docs[1], still & lang_of)
+
+
+def flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
+    """The values of a list column, and the row of each; null lists have none."""
+    column_ = batch.column(column)
+    sizes = pc.fill_null(pc.list_value_length(column_), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(column_)
 
 
 def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, lang, source) to rows of SCHEMA, one for each chunk and language of the task."""
-    tally, doc = Tally(), TaskContext.get().partitionId() << 40
-    for batch in batches:
-        for text, lang, source in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            tally.add_document(lang, source, doc, Counter(text.as_py().split()))
-            doc += 1
-            if len(tally) > HELD:
-                yield from tally.rows()
-    yield from tally.rows()
+    """(text, lang, source) to rows of SCHEMA, one for each chunk and language of the task (more where its memory is full). Chunks are told apart by 64-bit fingerprints within a task."""
+    doc, held = TaskContext.get().partitionId() << 40, 0
+    counts, parts = Counts(), []
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        hashes, docs, ns, langs, sources, ids, own_hashes, own_names = (list(x) for x in zip(*parts, strict=True))
+        base = np.cumsum([0, *[len(x) for x in ids[:-1]]])
+        hashes, ns = np.concatenate(hashes), np.concatenate(ns)
+        docs = np.concatenate([d + b for d, b in zip(docs, base, strict=True)])
+        langs, sources, ids = np.concatenate(langs), np.concatenate(sources), np.concatenate(ids)
+        known, at = np.unique(np.concatenate(own_hashes), return_index=True)
+        names = pa.concat_arrays(own_names).take(pa.array(at))
+        key = (np.searchsorted(known, hashes) << LANG_BITS) | langs[docs]
+        counts.add(key, sources[docs], ns, key, ids[docs], np.empty(0, np.int64))
+        yield from counts.rows(names)
 
-def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str, set[int] | None, dict[str, int]]]:
-    """Rows of SCHEMA in order of item and language, one for each of them."""
-    key, docs, by_source = None, set(), {}
     for batch in batches:
-        lists = [batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()]
-        for lang, item, more, sources, ns in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), *lists, strict=True):
-            if (item, lang) != key:
-                if key:
-                    yield *key, docs, by_source
-                key, docs, by_source = (item, lang), None if more is None else set(more), dict(zip(sources, ns, strict=True))
-                continue
-            if docs is not None:
-                docs = together(docs, more)
-            for source, n in zip(sources, ns, strict=True):
-                by_source[source] = by_source.get(source, 0) + n
-    if key:
-        yield *key, docs, by_source
+        for part in slices(batch, most=4 << 20):
+            words = Words(part.column("text"))
+            order = np.argsort(words.hash, kind="stable")
+            hashes, docs = words.hash[order], words.doc[order]
+            at = runs(hashes, docs)
+            first = order[runs(hashes)]
+            spans = np.stack([words.start[first], words.end[first]], axis=1)
+            size = np.append(0, np.cumsum(spans[:, 1] - spans[:, 0]))
+            place = np.repeat(spans[:, 0] - size[:-1], np.diff(size)) + np.arange(size[-1])
+            names = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(size.astype(np.int32).tobytes()), pa.py_buffer(words.data[place].tobytes())])
+            ids = doc + np.arange(part.num_rows)
+            parts.append((hashes[at], docs[at], np.diff(np.append(at, len(hashes))), counts.langs.of(part.column("lang")), counts.sources.of(part.column("source")), ids, words.hash[first], names))
+            doc, held = doc + part.num_rows, held + len(at)
+            if held > HELD:
+                yield from rows()
+                parts, held = [], 0
+    if parts:
+        yield from rows()
 
 
 def chunks_to_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every distinct chunk is tokenized once; its terms get its documents and its occurrences."""
-    tally, last, terms = Tally(), None, {}
-    for chunk, lang, docs, by_source in joined(batches):
-        if chunk != last:
-            last, terms = chunk, Counter(TERM.findall(chunk.translate(LOWER)))
-        for term, times in terms.items():
-            tally.add_item(lang, term, docs, by_source, times)
-        if len(tally) > HELD:
-            yield from tally.rows()
-    yield from tally.rows()
+    """Rows in order of item: every distinct chunk is tokenized once; its terms get its documents and its occurrences."""
+    counts, last, last_terms = Counts(), None, Counter()
+    for batch in batches:
+        coded = batch.column(1).cast(pa.binary()).dictionary_encode()
+        terms, times, sizes = [], [], []
+        for chunk in coded.dictionary.to_pylist():
+            if chunk != last:
+                last, last_terms = chunk, Counter(TERM.findall(chunk.translate(LOWER)))
+            sizes.append(len(last_terms))
+            for term, n in last_terms.items():
+                terms.append(counts.items.setdefault(term, len(counts.items)))
+                times.append(n)
+        terms, times, sizes = np.array(terms, np.int64), np.array(times, np.int64), np.array(sizes, np.int64)
+        chunk_of, lang = coded.indices.to_numpy(), counts.langs.of(batch.column(0))
+        start = np.cumsum(sizes) - sizes
+
+        def spread(row: np.ndarray, start=start, sizes=sizes, chunk_of=chunk_of) -> tuple[np.ndarray, np.ndarray]:
+            """For values of rows: each value once for each term of its row's chunk, and the places of these terms."""
+            own = sizes[chunk_of[row]]
+            value = np.repeat(np.arange(len(row)), own)
+            inside = np.arange(len(value)) - np.repeat(np.cumsum(own) - own, own)
+            return value, start[chunk_of[row]][value] + inside
+
+        def keys(row: np.ndarray, value: np.ndarray, term: np.ndarray, terms=terms, lang=lang) -> np.ndarray:
+            return (terms[term] << LANG_BITS) | lang[row[value]]
+
+        row, sources = flat(batch, 3)
+        value, term = spread(row)
+        entries = keys(row, value, term), counts.sources.of(sources)[value], flat(batch, 4)[1].to_numpy()[value] * times[term]
+        doc_row, docs = flat(batch, 2)
+        doc_value, doc_term = spread(doc_row)
+        full = np.flatnonzero(pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False))
+        full_value, full_term = spread(full)
+        counts.add(*entries, keys(doc_row, doc_value, doc_term), docs.to_numpy()[doc_value], keys(full, full_value, full_term))
+        if counts.held > HELD:
+            counts.sum_up()
+            if counts.held > HELD // 2:
+                yield from counts.rows()
+    yield from counts.rows()
 
 
 def kept_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, term, sources, ns) of the terms with enough documents."""
-    tally = Tally()
-    for term, lang, docs, by_source in joined(batches):
-        if docs is None:
-            tally.add_item(lang, term, None, by_source)
-            if len(tally) > HELD // 4:
-                yield from (x.select([0, 1, 3, 4]).rename_columns(["lang", "term", "sources", "ns"]) for x in tally.rows())
-    yield from (x.select([0, 1, 3, 4]).rename_columns(["lang", "term", "sources", "ns"]) for x in tally.rows())
+    """Rows in order of item, to (lang, term, sources, ns) of the terms with enough documents."""
+    counts = Counts()
+
+    def enough(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield batch.filter(pc.is_null(batch.column(2))).select([0, 1, 3, 4]).rename_columns(["lang", "term", "sources", "ns"])
+
+    for batch in batches:
+        key = (counts.items.of(batch.column(1).cast(pa.binary())) << LANG_BITS) | counts.langs.of(batch.column(0))
+        (row, sources), (doc_row, docs) = flat(batch, 3), flat(batch, 2)
+        full = pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False)
+        counts.add(key[row], counts.sources.of(sources), flat(batch, 4)[1].to_numpy(), key[doc_row], docs.to_numpy(), key[full])
+        if counts.held > HELD // 4:
+            yield from enough(counts.rows(last=False))  # what comes next may still be of the last item
+    yield from enough(counts.rows())
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
