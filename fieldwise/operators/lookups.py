@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,12 +92,46 @@ def match_rules(parcels: DataFrame, rules: DataFrame, as_of: Column) -> DataFram
     return hits.where(in_force(as_of) & here("r_province", "province") & here("r_district", "district"))
 
 
+def sweep(key: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (key..., rule_no, start, end, amount) in order of key and start: pairs of rows that meet and whose amounts differ.
+
+    Rows in force are held by amount, each amount's in a heap by end, so a row meets only those that it conflicts with; rows that ended are dropped as the sweep passes them."""
+    names = ["a_rule", "b_rule", "program_key", "crop_code", "production_year"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, active = None, {}
+        for batch in batches:
+            columns, found = [c.to_pylist() for c in batch.columns], []
+            for row, (*place, rule, start, end, amount) in enumerate(zip(*columns, strict=True)):
+                if place != at:
+                    at, active = place, {}
+                for other in list(active):
+                    heap = active[other]
+                    while heap and heap[0][0] < start:
+                        heapq.heappop(heap)
+                    if not heap:
+                        del active[other]
+                    elif other != amount:
+                        found += [(row, min(rule, x), max(rule, x)) for _, x, began in heap if x != rule and began <= end]
+                if end >= start:
+                    heapq.heappush(active.setdefault(amount, []), (end, rule, start))
+            rows, a, b = zip(*found, strict=True) if found else ((), (), ())
+            own = [batch.column(key.index(c)).take(pa.array(rows, pa.int64())) for c in names[2:]]
+            kind = batch.column(len(key)).type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), *own], names=names)
+
+    return run
+
+
 def rule_conflicts(rules: DataFrame) -> DataFrame:
-    """Pairs of rules for one program, crop and place whose intervals meet and whose amounts differ."""
+    """Pairs of rules for one program, crop and place whose intervals meet (each starts no later than the other ends) and whose amounts differ. Rules without an amount, a start or a key meet none.
+
+    Each key's rules are swept in order of their start, so the work grows with the rules and the conflicts and not with all pairs of a key."""
     key = ["program_key", "crop_code", "production_year", "province", "district"]
-    side = lambda p: rules.select(*key, F.col("rule_no").alias(f"{p}_rule"), F.col("effective_from").alias(f"{p}_from"), F.coalesce("effective_to", F.lit("9999-12-31").cast("date")).alias(f"{p}_to"), F.col("official_unit_amount").alias(f"{p}_amount"))
-    pairs = side("a").join(side("b"), key).where("a_rule < b_rule and a_from <= b_to and b_from <= a_to and a_amount <> b_amount")
-    return pairs.select("a_rule", "b_rule", "program_key", "crop_code", "production_year")
+    rows = rules.select(*key, "rule_no", F.col("effective_from").alias("start"), F.coalesce("effective_to", F.lit("9999-12-31").cast("date")).alias("end"), F.col("official_unit_amount").alias("amount"))
+    rows = rows.where("start is not null and amount is not null").dropna(subset=key).repartition(*key).sortWithinPartitions(*key, "start")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in [*key, "rule_no"]}
+    return rows.mapInArrow(sweep(key), f"a_rule {kinds['rule_no']}, b_rule {kinds['rule_no']}, program_key {kinds['program_key']}, crop_code {kinds['crop_code']}, production_year {kinds['production_year']}")
 
 
 def scope_overlap(entries: DataFrame) -> DataFrame:

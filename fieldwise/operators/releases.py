@@ -4,6 +4,10 @@ A release has a row in ``releases`` and a row for each entry and each source ver
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +30,36 @@ def canonical(columns: list[str]) -> Column:
 
 
 def rows_digest(rows: DataFrame, by: list[str], order: list[str], columns: list[str], name: str = "digest") -> DataFrame:
-    """by..., n_rows, digest: SHA-256 of the JSON array of a group's rows in order. A group is a rule set or a manifest; its hashed text is one row's value, as its definition asks for."""
-    items = F.array_sort(F.collect_list(F.struct(*order, canonical(columns).alias("_json"))))
-    text = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["_json"]), ","), F.lit("]"))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(text, 256).alias(name))
+    """by..., n_rows, digest: SHA-256 of the JSON array of a group's rows in order.
+
+    A digest needs its rows one after the other, so a group's rows are streamed in order through one task, which carries the running digest alone; no value holds a group."""
+    n = len(by)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, count, digest, schema = None, 0, hashlib.sha256(), None
+
+        def one() -> pa.RecordBatch:
+            digest.update(b"]")
+            columns = [pa.array([v], f.type) for v, f in zip(at, schema, strict=False)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([count], pa.int64()), pa.array([digest.hexdigest()])], names=[*by, "n_rows", name])
+
+        for batch in batches:
+            schema = batch.schema
+            for *key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != at:
+                    if at is not None:
+                        yield one()
+                    at, count, digest = key, 0, hashlib.sha256(b"[")
+                digest.update((b"," if count else b"") + text.encode())
+                count += 1
+        if at is not None:
+            yield one()
+
+    keyed = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    sorted_by = [f"_by{i}" for i in range(n)] + [f"_o{i}" for i in range(len(order))] + ["_json"]
+    ordered = rows.select(*keyed, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], canonical(columns).alias("_json")).repartition(*sorted_by[:n]).sortWithinPartitions(*sorted_by)
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in by)
+    return ordered.select(*sorted_by[:n], "_json").mapInArrow(digests, f"{kinds}n_rows long, {name} string")
 
 
 def row_digest(*columns: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
-from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules, search_index, vector_index
+from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules, search_index, sequences, vector_index
 from fieldwise.plans.views import oracle, view
 from fieldwise.sources.scratch import folder
 
@@ -341,6 +341,16 @@ def clause_diff(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("n_added", F.size("added")).withColumn("n_removed", F.size("removed")).drop("added", "removed")
 
 
+@query("""with c as (select cast(floor(doc_id / 2) as bigint) as clause_key, doc_id % 2 as side, text, regexp_extract_all(text, '[^ \\t\\n\\x0b\\f\\r]+') as ws from documents where text is not null)
+select a.clause_key, len(b.ws) - len(a.ws) as n_more, sha256(array_to_string(b.ws, ' ')) as rebuilt_hash from c a join c b on a.clause_key = b.clause_key and a.side = 0 and b.side = 1""")
+def clause_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Each clause's runs of deleted and inserted words, applied to its old text."""
+    rows = view(spark, d, "documents").where("text is not null").select(F.floor(F.col("doc_id") / 2).cast("long").alias("clause_key"), (F.col("doc_id") % 2).alias("side"), S.squeeze(F.regexp_replace("text", "[ \\t\\n\\x0B\\f\\r]+", " ")).alias("text"))
+    pairs = rows.where("side = 0").select("clause_key", F.col("text").alias("old")).join(rows.where("side = 1").select("clause_key", F.col("text").alias("new")), "clause_key")
+    found = sequences.clause_runs(pairs)
+    return found.select("clause_key", (F.col("n_inserted") - F.col("n_deleted")).alias("n_more"), F.sha2(sequences.applied(F.col("old"), F.col("runs")), 256).alias("rebuilt_hash"))
+
+
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     events = view(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("chain"), "event_id", F.col("event_type").alias("payload"))
     return changes.append_blocks(events)

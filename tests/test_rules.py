@@ -1,6 +1,7 @@
 import datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldwise.operators import changes, documents, lookups, rules
@@ -92,11 +93,76 @@ def test_catalog(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2025, "DRAFT"), (2, 2026, "DRAFT"), (3, 2026, "DRAFT")], "rule_no int, production_year int, review_status string")
     path = str(tmp_path / "rules")
     catalog.save_rules(rows, path)
-    assert catalog.set_status(spark, path, str(tmp_path / "staged"), 2026, "VERIFIED", [2]) == 1
+    assert catalog.set_status(spark, path, 2026, "VERIFIED", [2]) == 1
     assert {(r["rule_no"], r["review_status"]) for r in catalog.read_rules(spark, path).collect()} == {(1, "DRAFT"), (2, "VERIFIED"), (3, "DRAFT")}
     assert catalog.rule_years(spark, path) == [2025, 2026] and [r["rule_no"] for r in catalog.list_rules(spark, path, [2026], status="DRAFT").collect()] == [3]
 
 
+def test_versions_of_the_catalog(spark, tmp_path):
+    """A write that fails half way changes nothing; a reader keeps its version; a number that is taken isn't overwritten."""
+    path, schema = str(tmp_path / "rules"), "rule_no int, production_year int, review_status string"
+    first = catalog.save_rules(spark.createDataFrame([(i, 2025 + i % 2, "DRAFT") for i in range(40)], schema), path)
+    pinned = catalog.read_rules(spark, path)
+    broken = spark.range(40).repartition(4).select(F.col("id").cast("int").alias("rule_no"), F.lit(2026).alias("production_year"), F.when(F.col("id") == 39, F.raise_error(F.lit("stop"))).otherwise("BAD").alias("review_status"))
+    with pytest.raises(Exception, match="stop"):
+        catalog.save_rules(broken, path)
+    assert catalog.versions(spark, path) == [first] and catalog.read_rules(spark, path).where("review_status = 'DRAFT'").count() == 40
+    second = catalog.save_rules(spark.createDataFrame([(99, 2026, "NEW"), (98, 2027, "NEW")], schema), path)
+    assert sorted(r["rule_no"] for r in catalog.read_rules(spark, path, F.col("production_year") > 2025).collect()) == [98, 99] and catalog.rule_years(spark, path) == [2025, 2026, 2027]
+    assert pinned.count() == 40 and catalog.read_rules(spark, path, version=first).count() == 40
+    assert not catalog._claim(spark, path, second, {}) and catalog.versions(spark, path) == [first, second]
+    catalog.forget_versions(spark, path, keep=1)
+    assert catalog.versions(spark, path) == [second] and catalog.read_rules(spark, path).count() == 22
+    assert sum(1 for p in (tmp_path / "rules" / "data").glob("*/*")) == 3
+
+
+def test_conflicts_against_all_pairs(spark):
+    import random
+
+    r, day = random.Random(2), lambda n: datetime.date(2026, 1, 1) + datetime.timedelta(n)
+    rows = [(i, "p", r.choice("ab"), 2026, r.choice("*x"), "*", day(r.randint(0, 60)), None if i % 9 == 0 else day(r.randint(0, 90)), None if i % 31 == 0 else Decimal(r.randint(1, 3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "rule_no int, program_key string, crop_code string, production_year int, province string, district string, effective_from date, effective_to date, official_unit_amount decimal(12,2)").repartition(3)
+    end = lambda x: x[7] or datetime.date(9999, 12, 31)
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1:6] == b[1:6] and a[6] <= end(b) and b[6] <= end(a) and a[8] is not None and b[8] is not None and a[8] != b[8]}
+    got = [(x["a_rule"], x["b_rule"]) for x in lookups.rule_conflicts(df).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+def test_digest_of_rows_in_order(spark):
+    import hashlib
+    import json
+
+    from fieldwise.operators.releases import rows_digest
+
+    rows = [(i % 3 if i % 7 else None, f"k{i * 37 % 50:02d}", None if i % 5 == 0 else f"v{i}") for i in range(60)]
+    got = {x["g"]: (x["n_rows"], x["digest"]) for x in rows_digest(spark.createDataFrame(rows, "g int, k string, v string").repartition(4), ["g"], ["k"], ["v", "k"]).collect()}
+    for g in {x[0] for x in rows}:
+        own = sorted((k, json.dumps({"k": k, "v": v}, separators=(",", ":"))) for x, k, v in rows if x == g)
+        assert got[g] == (len(own), hashlib.sha256(("[" + ",".join(t for _, t in own) + "]").encode()).hexdigest())
+
+
+def test_word_runs_against_plain_subsequences(spark, monkeypatch):
+    import random
+
+    from fieldwise.operators import sequences
+
+    r = random.Random(1)
+    pairs = [([r.choice("abcd") for _ in range(r.randint(0, 30))], [r.choice("abcd") for _ in range(r.randint(0, 30))]) for _ in range(200)]
+    for bits in (1 << 30, 20):
+        monkeypatch.setattr(sequences, "BITS", bits)
+        for a, b in pairs:
+            size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+            own = sequences.common(a, b)
+            assert len(own) == size[-1][-1] and all(a[i] == b[j] for i, j in own) and own == sorted(own) and len({i for i, _ in own}) == len({j for _, j in own}) == len(own)
+    df = spark.createDataFrame([("k", "a b c d", "b x c c d"), ("m", "one two", "two one"), ("n", None, "x"), ("s", "q", "q")], "clause_key string, old string, new string")
+    got = {x["clause_key"]: ([(y["op"], y["at"], y["words"]) for y in x["runs"]], x["n_deleted"], x["n_inserted"]) for x in sequences.clause_runs(df).collect()}
+    assert got["k"] == ([("DELETE", 0, ["a"]), ("INSERT", 2, ["x"]), ("INSERT", 3, ["c"])], 1, 2) or got["k"][1:] == (1, 2)
+    assert got["m"][1:] == (1, 1) and got["n"] == ([("INSERT", 0, ["x"])], 0, 1) and got["s"] == ([], 0, 0)
+
+
 def test_files(spark, tmp_path):
     import hashlib
 
