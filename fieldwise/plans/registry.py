@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldwise.functions import scalars as S
 from fieldwise.operators import catalogs, changes, documents, lookups, retrieval, rules, search_index, sequences, vector_index
+from fieldwise.operators import snapshots as snapshots_of
 from fieldwise.plans.views import oracle, view
 from fieldwise.sources.scratch import folder
 
@@ -110,6 +111,45 @@ def water_scope(spark: SparkSession, d: str) -> DataFrame:
     return lookups.water_scope(view(spark, d, "parcels"), view(spark, d, "water")).select("parcel_id", "water")
 
 
+#: Lists are judged by what was known on the first of June of the year.
+KNOWN = "make_date(cast(production_year as bigint), 6, 1)"
+SNAPSHOT = f"""with s as (select r.*, v.source_id, v.content_hash, v.detected_at, v.superseded_at, v.effective_from as v_from, v.effective_to as v_to, o.url from {{0}} r join snap_versions v on r.source_version_id = v.id join snap_sources o on v.source_id = o.source_id and o.active
+ where review_status = 'VERIFIED' and (reviewed_at is null or reviewed_at <= {KNOWN}) and (detected_at is null or detected_at <= {KNOWN}) and (superseded_at is null or superseded_at > {KNOWN})),
+"""
+
+
+@query(SNAPSHOT.format("snap_rows") + """w as (select * from s where coverage_complete), c as (select snapshot_id, count(*) as n, count(distinct crop_code) as d, count(*) filter (where crop_code = '') as blank from snap_crops group by 1),
+one as (select province, district, production_year, count(*) as n, min(snapshot_id) as snapshot_id from w group by 1, 2, 3),
+why as (select o.*, w.drip_required, w.source_version_id, w.document_page, case when o.n > 1 then 'SEVERAL_SNAPSHOTS' when trim(reviewed_by) = '' or reviewed_at is null or document_page < 1 then 'REVIEW'
+ when source_id <> 'LIST' or content_hash <> sha256('list') or v_from is null or v_from > make_date(o.production_year, 12, 31) or v_to < make_date(o.production_year, 1, 1) then 'DOCUMENT' when g.snapshot_id is null then 'APPROVAL' when c.n is null or c.blank > 0 or c.d <> c.n then 'CROP_LIST' end as reason
+ from one o join w on o.snapshot_id = w.snapshot_id left join c on o.snapshot_id = c.snapshot_id left join snap_signed g on o.snapshot_id = g.snapshot_id),
+j as (select p.parcel_id, p.crop_code, y.*, case when y.snapshot_id is null then 'NO_SNAPSHOT' when reason is not null then reason when p.crop_code like '%5' then 'SUBTYPE' end as basin_reason
+ from parcels p left join why y on p.province = y.province and p.district = y.district and p.production_year = y.production_year),
+k as (select j.*, case when basin_reason is not null then 'UNKNOWN' when exists (select 1 from snap_crops c where c.snapshot_id = j.snapshot_id and upper(c.crop_code) = upper(j.crop_code)) then 'LISTED' else 'NOT_LISTED' end as basin from j)
+select parcel_id, basin, basin_reason, case when basin_reason is null then source_version_id end as basin_version, case when basin_reason is null then document_page end as basin_page, basin = 'LISTED' and drip_required and crop_code like '%#11' as drip_required from k""", "parcels snap_rows snap_versions snap_sources snap_crops snap_signed")
+def basin_assessment(spark: SparkSession, d: str) -> DataFrame:
+    """Crops whose codes end in 5 are no exact subtypes."""
+    upper = view(spark, d, "parcels").withColumn("crop_code", F.upper("crop_code"))
+    codes = view(spark, d, "snap_crops").withColumn("crop_code", F.upper("crop_code")).groupBy("snapshot_id").agg(F.collect_list("crop_code").alias("crops"))
+    snapshots = view(spark, d, "snap_rows").join(codes, "snapshot_id", "left")
+    exact = F.when(F.col("crop_code").endswith("5"), F.array().cast("array<string>")).otherwise(F.array("crop_code"))
+    drip = F.when(F.col("crop_code").endswith("#11"), F.col("crop_code"))
+    pinned = ("LIST", "a330395cc0a53ad1207736546afff4735940937564bbf75ce1edad40780d9139", "https://example.org/list")
+    found = snapshots_of.basin_assessment(upper, snapshots, view(spark, d, "snap_versions"), view(spark, d, "snap_sources"), view(spark, d, "snap_signed"), pinned, exact, F.expr(KNOWN), drip)
+    return found.select("parcel_id", "basin", "basin_reason", "basin_version", "basin_page", F.coalesce("drip_required", F.lit(False)).alias("drip_required"))
+
+
+@query(SNAPSHOT.format("water_rows") + """one as (select province, district, production_year, count(*) as n, min(record_id) as record_id from s group by 1, 2, 3),
+j as (select p.parcel_id, s.source_version_id, s.document_page, s.restriction_status, case when o.n is null then 'NO_RECORD' when o.n > 1 then 'SEVERAL_RECORDS' when trim(reviewed_by) = '' or reviewed_at is null then 'REVIEW' when not regexp_full_match(content_hash, '[0-9a-fA-F]{64}') or detected_at is null then 'DOCUMENT'
+ when v_from > make_date(p.production_year, 9, 1) or v_to < make_date(p.production_year, 9, 1) or s.effective_to < s.effective_from then 'INTERVAL' when g.snapshot_id is null then 'APPROVAL' when restriction_status = 'UNDER_REVIEW' then 'UNDER_REVIEW' end as water_reason
+ from parcels p left join one o on p.province = o.province and p.district = o.district and p.production_year = o.production_year left join s on s.record_id = o.record_id left join snap_signed g on g.snapshot_id = o.record_id)
+select parcel_id, case when water_reason is null then restriction_status else 'UNKNOWN' end as water, water_reason, case when coalesce(water_reason, 'UNDER_REVIEW') = 'UNDER_REVIEW' then source_version_id end as water_version, case when coalesce(water_reason, 'UNDER_REVIEW') = 'UNDER_REVIEW' then document_page end as water_page from j""", "parcels water_rows snap_versions snap_sources snap_signed")
+def water_assessment(spark: SparkSession, d: str) -> DataFrame:
+    signed = view(spark, d, "snap_signed").withColumnRenamed("snapshot_id", "record_id")
+    found = snapshots_of.water_assessment(view(spark, d, "parcels"), view(spark, d, "water_rows"), view(spark, d, "snap_versions"), view(spark, d, "snap_sources"), signed, F.expr(SEPT), F.expr(KNOWN))
+    return found.select("parcel_id", "water", "water_reason", "water_version", "water_page")
+
+
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     rows = lookups.water_scope(lookups.basin_membership(_rated(spark, d), view(spark, d, "basin")), view(spark, d, "water"))
     rows = rows.withColumn("water_hungry", F.col("crop_code").endswith("1")).withColumn("generic_crop", F.col("crop_code").endswith("55"))

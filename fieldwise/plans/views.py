@@ -44,6 +44,20 @@ VIEWS = {
     "source_versions": "select p.program_no*2 + k as id, concat('SRC-', cast(p.program_no as varchar(5))) as source_id, {sha}(concat('v', cast(p.program_no*2 + k as varchar(5)))) as content_hash, (p.program_no*2 + k) % 6 = 0 as superseded from programs p cross join (select -1 as k union all select 0) x",
     "segments": "select distinct c_mktsegment from customer",
     "basin": "select distinct upper(n.n_name) as province, c.c_mktsegment as district, cr.crop_code, (n.n_nationkey % 4 = 0) as drip_required, (n.n_nationkey % 5 <> 0) as coverage_complete from nation n cross join segments c cross join crops cr where (n.n_nationkey + cr.crop_no) % 3 <> 0",
+    "seg_nos": "select c_mktsegment, cast(row_number() over (order by c_mktsegment) as int) as seg_no from (select distinct c_mktsegment from customer) d",
+    "dist_years": "select n.n_nationkey as nk, g.seg_no as sg, y.production_year as yr, upper(n.n_name) as province, g.c_mktsegment as district, (n.n_nationkey * 7 + g.seg_no * 3 + y.production_year) % 23 as k from nation n cross join seg_nos g cross join years y",
+    "snap_versions": """select production_year * 10 + v as id, case when v = 3 then 'OTHER' else 'LIST' end as source_id, case when v = 2 then {sha}('other') when v = 4 then 'x' else {sha}('list') end as content_hash, case when v = 5 then cast(null as date) else make_date(cast(production_year as bigint), 2, 1) end as detected_at,
+ case when v = 6 then make_date(cast(production_year as bigint), 4, 1) end as superseded_at, case when v = 7 then make_date(cast(production_year as bigint) + 1, 1, 1) when v = 8 then make_date(cast(production_year as bigint), 10, 1) else make_date(cast(production_year as bigint), 1, 1) end as effective_from,
+ case when v = 9 then make_date(cast(production_year as bigint) - 1, 6, 1) end as effective_to from years cross join (select 0 as v union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9) z""",
+    "snap_sources": "select 'LIST' as source_id, 'https://example.org/list' as url, true as active union all select 'OTHER', 'https://example.org/other', true union all select 'GONE', 'https://example.org/gone', false",
+    "snap_rows": """select (nk * 10 + sg) * 10000 + yr + 0 as snapshot_id, province, district, yr as production_year, nk, sg, k, case when k = 1 then 'DRAFT' else 'VERIFIED' end as review_status, k <> 2 as coverage_complete, case when k = 3 then ' ' else 'R' end as reviewed_by,
+ case when k = 4 then cast(null as date) when k = 5 then make_date(cast(yr as bigint), 7, 1) else make_date(cast(yr as bigint), 3, 1) end as reviewed_at, 'ref' as review_reference, case when k = 6 then 0 else 3 end as document_page, cast(yr * 10 + case when k in (7, 8, 9, 10, 11, 12, 13, 14) then k - 5 else 0 end as bigint) as source_version_id,
+ nk % 4 = 0 as drip_required from dist_years where k <> 0
+ union all select (nk * 10 + sg) * 10000 + yr + 5000000, province, district, yr, nk, sg, k, 'VERIFIED', true, 'R', make_date(cast(yr as bigint), case when k = 15 then 8 else 3 end, 1), 'ref', 3, cast(yr * 10 as bigint), false from dist_years where k in (15, 16)""",
+    "snap_crops": "select r.snapshot_id, c.crop_code from snap_rows r cross join crops c where (r.nk + c.crop_no) % 3 <> 0 and r.k <> 17 union all select r.snapshot_id, '' from snap_rows r where r.k = 18 union all select r.snapshot_id, c.crop_code from snap_rows r cross join crops c where r.k = 19 and c.crop_no < 4",
+    "snap_signed": "select snapshot_id from snap_rows where k <> 20",
+    "water_rows": """select snapshot_id as record_id, province, district, production_year, review_status, reviewed_by, reviewed_at, review_reference, document_page, source_version_id, make_date(cast(production_year as bigint), 1, 1) as effective_from,
+ case when k = 21 then make_date(cast(production_year as bigint) - 1, 1, 1) end as effective_to, case nk % 3 when 0 then 'RESTRICTED' when 1 then 'NOT_RESTRICTED' else 'UNDER_REVIEW' end as restriction_status from snap_rows""",
     "water": "select upper(n.n_name) as province, c.c_mktsegment as district, case n.n_nationkey % 3 when 0 then 'RESTRICTED' when 1 then 'NOT_RESTRICTED' else 'UNDER_REVIEW' end as restriction_status from nation n cross join segments c where n.n_nationkey % 7 <> 0",
     "attestations": """select o_orderkey as subject_id, 'REVIEWER' as role, concat('p', cast(o_custkey % 50 as varchar(10))) as principal_id, {sha}(cast(o_orderkey as varchar(20))) as subject_digest, o_orderkey % 11 <> 0 as signature_valid from orders
  union all
