@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -450,14 +452,15 @@ def basin_catalog(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.basin_violations(rows, reported, crops)
 
 
-@query("""with w as (select *, length(province) as n from water) select province, district, 'STATUS' as violation from w where n = 4 union all select province, district, 'APPROVED' from w where n = 5 union all select province, district, 'MISSING' from w where n = 6 union all select 'ATLANTIS', 'BUILDING', 'UNLISTED'
- union all select province, district, 'DUPLICATE' from w where n = 7""", "water")
+@query("""with w as (select *, (length(district) + ascii(substring(province, length(province), 1))) % 7 as n from water) select province, district, 'STATUS' as violation from w where n = 4 union all select province, district, 'APPROVED' from w where n = 5 union all select province, district, 'MISSING' from w where n = 6
+ union all select concat('NEW ', province), district, 'UNLISTED' from w where n = 2 union all select province, district, 'DUPLICATE' from w where n = 0""", "water")
 def water_catalog(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("province")
+    """Districts that are missing, not on the list, repeated, of an unknown state, or approve themselves, planted by their names."""
+    n = (F.length("district") + F.ascii(F.expr("substring(province, length(province), 1)"))) % 7
     pinned = view(spark, d, "water")
-    rows = pinned.where(n != 6).select("province", "district", F.when(n == 4, "MAYBE").otherwise(F.col("restriction_status")).alias("restriction_status"), (n == 5).alias("approved"))
-    more = spark.createDataFrame([("ATLANTIS", "BUILDING", "RESTRICTED", False)], rows.schema)
-    return catalogs.water_violations(rows.union(rows.where(n == 7)).union(more), pinned)
+    rows = pinned.where(n != 6).select("province", "district", F.when(n == 4, "MAYBE").otherwise(F.col("restriction_status")).alias("restriction_status"), (n == 5).alias("approved"), n.alias("n"))
+    more = rows.where("n = 2").withColumn("province", F.concat(F.lit("NEW "), "province"))
+    return catalogs.water_violations(rows.union(rows.where("n = 0")).union(more).drop("n"), pinned)
 
 
 @query("""with w as (select province, district, restriction_status, production_year from water cross join (values (2026), (2027)) as t(production_year))
@@ -499,10 +502,14 @@ def application_windows(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.substring_index("program_key", "-", 1).alias("program_key"), F.substring_index("program_key", "-", -1).cast("int").alias("production_year"), "window_status")
 
 
-@query("select faq_id, category from faqs where status = 'APPROVED' and verified and contains(lower(question), 'quality') order by category, faq_id limit 500", "faqs")
+@query("""select 'word' as asked, faq_id, category from (select * from faqs where contains(lower(question), 'on') or contains(lower(answer), 'on') order by category, faq_id limit 500) x
+union all select 'word and status', faq_id, category from (select * from faqs where status = 'APPROVED' and not verified and (contains(lower(question), 'de') or contains(lower(answer), 'de')) order by category, faq_id limit 500) x
+union all select 'keyword', faq_id, category from (select * from faqs where category = 'c3' and (contains(lower(question), 'known c3') or contains(lower(answer), 'known c3') or faq_id % 2 = 0) order by category, faq_id limit 500) x""", "faqs")
 def faq_search(spark: SparkSession, d: str) -> DataFrame:
-    faqs = view(spark, d, "faqs").withColumn("keywords", F.array().cast("array<string>")).withColumn("answer", F.lit(""))
-    return catalogs.search_faqs(faqs, "Quality", None, True, "APPROVED").select("faq_id", "category")
+    """By a word in any case, by word, state and verification, and by a keyword of one category."""
+    faqs = view(spark, d, "faqs").withColumn("keywords", F.when(F.col("faq_id") % 2 == 0, F.array(F.lit("any"), F.concat(F.lit("Known "), "category"))).otherwise(F.array().cast("array<string>")))
+    found = [("word", catalogs.search_faqs(faqs, " On ")), ("word and status", catalogs.search_faqs(faqs, "DE", None, False, "APPROVED")), ("keyword", catalogs.search_faqs(faqs, "known C3", "c3"))]
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("asked"), "faq_id", "category") for name, rows in found])
 
 
 @query("select faq_id from faqs where status = 'PENDING' order by harvested_at desc nulls last, faq_id desc limit 100", "faqs")
@@ -598,12 +605,15 @@ def crop_detection(spark: SparkSession, d: str) -> DataFrame:
     return catalogs.detect_crop(asked, names)
 
 
-@query("""select page_id, case when url is null or trim(url) = '' then 'EMPTY' when not starts_with(lower(trim(url)), 'https://') then 'SCHEME' else 'HOST' end as refused from pages where not regexp_matches(coalesce(url, ''), '[^!-~]')""")
+PLANTED_URL = "case page_id % 12 when 1 then '' when 2 then '   ' when 3 then concat('https://localhost/', page_id) when 4 then concat('https://10.0.0.', page_id % 200, '/x') when 5 then 'https:///x' when 6 then concat('https://192.168.1.1/', page_id) when 7 then concat('https://a.nowhere.example/', page_id) when 8 then concat('https://nowhere.example.org/', page_id) when 9 then 'https://169.254.3.4/' when 10 then cast(null as varchar(9)) else url end"
+
+
+@query(f"""with u as (select page_id, {PLANTED_URL} as url from pages)
+select page_id, case when url is null or trim(url) = '' then 'EMPTY' when not starts_with(lower(trim(url)), 'https://') then 'SCHEME' when page_id % 12 = 5 then 'NO_HOST' when page_id % 12 = 3 then 'LOCALHOST' when page_id % 12 in (4, 6, 9) then 'PRIVATE_IP' when page_id % 12 = 7 then null else 'NOT_LISTED' end as refused from u""")
 def url_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses of plain characters: what keeps each from being fetched, the reasons by host in one."""
-    why = S.refused_url(F.col("url"), ["nowhere.example"])
-    rows = view(spark, d, "pages").where("not coalesce(url, '') rlike '[^!-~]'")
-    return rows.select("page_id", F.when(why.isin("NO_HOST", "LOCALHOST", "PRIVATE_IP", "NOT_LISTED"), "HOST").otherwise(why).alias("refused"))
+    """Every address, and planted ones of each kind: what keeps it from being fetched, or nothing."""
+    rows = view(spark, d, "pages").select("page_id", F.expr(PLANTED_URL).alias("url"))
+    return rows.select("page_id", S.refused_url(F.col("url"), ["nowhere.example"]).alias("refused"))
 
 
 @query("""with live as materialized (select r.program_id, r.crop_name, r.production_year, r.province, r.district, r.unit_amount from rates r join source_versions v on r.source_version_id = v.id where r.review_status = 'VERIFIED' and not v.superseded and v.source_id <> 'SRC-2' and r.program_id <> 'WATER_RESTRICTION'

@@ -190,12 +190,20 @@ def scope_overlap(spark: SparkSession, d: str) -> DataFrame:
     return lookups.scope_overlap(view(spark, d, "rules"))
 
 
-@query("""select rule_no, concat_ws(',', case when production_year % 3 = 0 then 'AMOUNT' end, case when effective_to < f then 'INTERVAL' end, case when production_year % 3 = 0 then 'FORMULA' end) as violations
- from (select *, case when rule_no % 7 = 0 then make_date(cast(production_year + 1 as bigint), 1, 1) else effective_from end as f from rules) x where production_year % 3 = 0 or effective_to < f""", "rules")
+@query("""with r as (select *, case when rule_no % 7 = 0 then make_date(cast(production_year + 1 as bigint), 1, 1) else effective_from end as f, rule_no % 29 as k from rules),
+v as (select rule_no, concat_ws(',', case when k = 1 then 'PROGRAM' end, case when k in (2, 3) then 'CROP' end, case when k in (4, 5) then 'UNIT' end, case when production_year % 3 = 0 then 'AMOUNT' end, case when effective_to < f then 'INTERVAL' end,
+ case when k in (6, 7) then 'ORDER' end, case when production_year % 3 = 0 then 'FORMULA' end, case when k in (8, 9) then 'SHA' end, case when k in (10, 11) then 'SENTENCE' end, case when k = 12 then 'STATUS' end) as violations from r) select * from v where violations <> ''""", "rules")
 def candidate_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Rules with errors planted: no amount in every third year, and late starts."""
+    """Rules with errors planted: no amount in every third year, late starts, and wrong ids, units, times, hashes, sentences and states by number."""
+    k = F.col("rule_no") % 29
     rows = view(spark, d, "rules").withColumn("official_unit_amount", F.when(F.col("production_year") % 3 == 0, F.lit(0).cast("decimal(14,2)")).otherwise(F.col("official_unit_amount")))
-    return documents.candidate_violations(rows.withColumn("effective_from", F.when(F.col("rule_no") % 7 == 0, F.expr("make_date(production_year + 1, 1, 1)")).otherwise(F.col("effective_from"))), (1990, 2100))
+    rows = rows.withColumn("effective_from", F.when(F.col("rule_no") % 7 == 0, F.expr("make_date(production_year + 1, 1, 1)")).otherwise(F.col("effective_from")))
+    rows = rows.withColumns({
+        "program_key": F.when(k == 1, F.lit("basic support")).otherwise(F.col("program_key")), "crop_code": F.when(k == 2, F.lit("")).when(k == 3, F.lit("Brand 1!")).otherwise(F.col("crop_code")), "unit": F.when(k == 4, F.lit("USD")).when(k != 5, F.lit("TRY/da")),
+        "published_at": F.lit("2026-01-02 00:00:00").cast("timestamp"), "discovered_at": F.when(k == 6, F.lit("2026-01-01 23:59:59")).when(k != 7, F.lit("2026-01-02 00:00:00")).cast("timestamp"),
+        "source_document_sha256": F.when(k == 8, F.lit("x")).when(k != 9, F.sha2(F.lit("d"), 256)), "source_sentence_id": F.when(k == 10, 0).when(k != 11, 5), "review_status": F.when(k == 12, F.lit("MAYBE")).otherwise(F.col("review_status")),
+    })
+    return documents.candidate_violations(rows, (1990, 2100))
 
 
 @query("""select o.o_orderkey as subject_id, coalesce(count(a.role) = 2 and count(distinct a.role) = 2 and count(distinct a.principal_id) = 2 and bool_and(a.signature_valid and a.subject_digest = sha256(cast(o.o_orderkey as varchar(20)))), false) as approved
@@ -219,10 +227,23 @@ def sql_tokens(text: str) -> str:
     return f"flatten(list_transform(regexp_extract_all(lower(translate({text}, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+'), lambda w: case when {cut} = w then [w] else [w, {cut}] end))"
 
 
-@query(f"with t as (select doc_id, {sql_tokens('text')} as ts from documents where text is not null) select doc_id, cast(len(ts) as bigint) as n_tokens, cast(len(list_distinct(ts)) as bigint) as n_distinct from t")
+@query(f"with t as (select doc_id, {sql_tokens('text')} as ts from documents where text is not null) select doc_id, cast(len(ts) as bigint) as n_tokens, cast(len(list_distinct(ts)) as bigint) as n_distinct, md5(array_to_string(ts, ' ')) as tokens_md5 from t")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
     words = S.tokens(F.col("text"))
-    return view(spark, d, "documents").where("text is not null").select("doc_id", words.alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("long").alias("n_distinct"))
+    return view(spark, d, "documents").where("text is not null").select("doc_id", words.alias("ts")).select("doc_id", F.size("ts").cast("long").alias("n_tokens"), F.size(F.array_distinct("ts")).cast("long").alias("n_distinct"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"))
+
+
+#: Exact forms, of whole words and of what is left of them.
+EXACT = {"the": "that", "tion": "tio", "and": "et", "hein": "he", "with": "wi"}
+LOOK = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in EXACT.items()) + " end"
+
+
+@query(f"""with w as (select doc_id, list_transform(regexp_extract_all(lower(translate(text, 'İIĞÜŞÖÇ', 'iığüşöç')), '[a-zçğıöşüâîû0-9]+'), lambda w: [w, regexp_replace(w, '^(.{{{{3,}}}}?)({'|'.join(S.SUFFIXES)})$', '\\1')]) as ws from documents where text is not null)
+select doc_id, md5(array_to_string(list_transform(ws, lambda p: coalesce({LOOK.format('p[1]')}, {LOOK.format('p[2]')}, p[2])), ' ')) as stems_md5 from w""".replace("{{", "{").replace("}}", "}"))
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    """Every word's stem: its exact form, else what an ending leaves of it, else the exact form of that."""
+    own = F.transform(S.words_of(F.col("text")), lambda w: S.stem(w, S.SUFFIXES, EXACT))
+    return view(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.array_join(own, " ")).alias("stems_md5"))
 
 
 #: Scripts and the like first, each kind by itself, as this engine's patterns have no back references; then comments, tags and spacing.
@@ -396,14 +417,22 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return changes.append_blocks(events)
 
 
-@query()
+CHAINS = """with recursive e as materialized (select concat('c', user_id) as chain, event_id, event_type as payload, row_number() over (partition by user_id order by event_id) - 1 as i from events),
+b as (select chain, i, payload, event_id, repeat('0', 64) as before, sha256(concat('{"block_index":"0","chain":"', chain, '","event_id":"', event_id, '","payload":"', payload, '","previous_sha256":"', repeat('0', 64), '"}')) as own from e where i = 0
+ union all select e.chain, e.i, e.payload, e.event_id, b.own, sha256(concat('{"block_index":"', e.i, '","chain":"', e.chain, '","event_id":"', e.event_id, '","payload":"', e.payload, '","previous_sha256":"', b.own, '"}')) from b join e on e.chain = b.chain and e.i = b.i + 1)
+"""
+
+
+@query(CHAINS + """, f as (select *, case when i = 3 and cast(substring(chain, 2) as int) % 4 = 0 then 'forged' else payload end as shown from b),
+v as (select chain, i, case when sha256(concat('{"block_index":"', i, '","chain":"', chain, '","event_id":"', event_id, '","payload":"', shown, '","previous_sha256":"', before, '"}')) <> own then 'BLOCK_HASH' end as violation from f)
+select chain, min(i) as block_index, 'BLOCK_HASH' as violation from v where violation is not null group by chain""")
 def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     """A block of each fourth chain is altered; those chains, and no others, are found."""
     bad = (F.col("block_index") == 3) & (F.substring("chain", 2, 9).cast("int") % 4 == 0)
     return changes.chain_violations(_blocks(spark, d).withColumn("payload", F.when(bad, "forged").otherwise(F.col("payload"))))
 
 
-@query()
+@query(CHAINS + "select chain, count(*) as n_blocks, min(i) as first_index, max(i) as last_index, sha256(string_agg(own, '' order by i)) as root from b group by chain")
 def checkpoint_root(spark: SparkSession, d: str) -> DataFrame:
     return changes.root_hash(_blocks(spark, d))
 
@@ -427,6 +456,12 @@ def decision_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.decision_metrics(_judged(spark, d))
 
 
+@query(JUDGED + """, failing as (select parcel_id, program_key, expected <> actual as a, expected_amount is not null and not coalesce(expected_amount = actual_amount, false) as b from jd)
+select parcel_id, program_key, case when a and b then 'STATUS,AMOUNT' when a then 'STATUS' else 'AMOUNT' end as why from failing where a or b""", JUDGED_VIEWS)
+def decision_failures(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.decision_failures(_judged(spark, d)).select("parcel_id", "program_key", "why")
+
+
 @query(JUDGED + """, ok as (select *, expected = actual as same, expected_amount is null or coalesce(expected_amount = actual_amount, false) as paid from jd)
 select count(*) as n_cases, round(avg(case when same then 1.0 else 0 end), 6) as status_accuracy, round(avg(case when paid then 1.0 else 0 end), 6) as amount_accuracy, count(*) filter (where same and paid) as n_passed, count(*) filter (where not (same and paid)) as n_failed,
  round(count(distinct program_key) / 5, 6) as rule_coverage, round(avg(case when citation_valid then 1.0 else 0 end), 6) as citation_validity, round(avg(parcel_id % 10), 6) as mean_latency_ms from ok""", JUDGED_VIEWS)
