@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import shuffle_partitions, table, written
+from fieldwise.llm.store import dropped, shuffle_partitions, table, written
 
 #: Words of a shingle; one of so many hashes is kept; bits of a hash.
 SHINGLE, SCALED, BITS = 5, 4, 31
@@ -105,15 +105,17 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     chain = written(neighbours(sketches.select("key")), "chain")
     unique = sketches.dropDuplicates(["key"])
     known = chain.join(unique, "key").join(unique.select(F.col("key").alias("next_key"), F.col("kept").alias("next_kept")), "next_key")
-    known = written(known, "neighbours")
+    known = written(known.withColumns({"near_next": likeness(F.col("kept"), F.col("next_kept")), "in_next": containment(F.col("kept"), F.col("next_kept"))}).drop("next_kept"), "neighbours")
+    for table_ in (sketches, chain):
+        dropped(docs.sparkSession, table_)
     wanted = known.select(F.col("next_key").alias("key"), F.col("key").alias("of"), F.floor(F.col("n_chars") / 4).cast("int").alias("most"))
     heads = rows.join(wanted, "key").select(F.col("of").alias("key"), F.substring("text", F.lit(1), F.col("most")).alias("head")).dropDuplicates(["key"])
     both = rows.join(known, "key").join(heads, "key")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), F.col("head"))
-    out = both.select("key", "n_chars", "kept", "next_kept", edited.alias("edited")).withColumn("edited_kept", sketch(F.col("edited")))
+    out = both.select("key", "n_chars", "kept", "near_next", "in_next", edited.alias("edited")).withColumn("edited_kept", sketch(F.col("edited")))
     return out.select(
         "key.doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("kept")).alias("fingerprint"), fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"), containment(F.col("kept"), F.col("next_kept")).alias("in_next"), F.size("kept").alias("n_kept"),
+        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"), "near_next", "in_next", F.size("kept").alias("n_kept"),
     )
 
 
