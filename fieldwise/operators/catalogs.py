@@ -123,6 +123,37 @@ def stage_districts(rows: DataFrame, years: list[int], existing: DataFrame) -> D
     return stage(wide, existing.select(wide.columns), ["province", "district", "production_year"])
 
 
+def stage_if_absent(rows: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
+    """rows with ``outcome``: INSERT, SKIPPED where the key is there already, whatever it holds, and REPEATED for all but the first of a key (by its other columns in order)."""
+    others = [c for c in rows.columns if c not in key]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*others or key))
+    known = existing.select(*key).distinct().withColumn("_there", F.lit(True))
+    return rows.withColumn("_nth", nth).join(known, key, "left").withColumn("outcome", F.when(F.col("_there"), "SKIPPED").when(F.col("_nth") > 1, "REPEATED").otherwise("INSERT")).drop("_nth", "_there")
+
+
+def stage_national(scopes: DataFrame, places: DataFrame, existing: DataFrame) -> DataFrame:
+    """(scope_id, production_year, scope_sha256, outcome) of national scopes (scope_id, production_year) with their places (scope_id, province, district): INSERT, SAME or CONFLICT against existing (production_year, scope_sha256).
+
+    A scope's identity is the digest of its distinct places in order; a scope without places is EMPTY, and a second one of a year is REPEATED."""
+    from fieldwise.operators.releases import rows_digest
+
+    own = rows_digest(places.select("scope_id", "province", "district").distinct(), ["scope_id"], ["province", "district"], ["province", "district"], "scope_sha256").drop("n_rows")
+    nth = F.row_number().over(Window.partitionBy("production_year").orderBy("scope_id"))
+    rows = scopes.select("scope_id", "production_year", nth.alias("_nth")).join(own, "scope_id", "left").join(existing.select("production_year", F.col("scope_sha256").alias("_old")), "production_year", "left")
+    outcome = F.when(F.col("scope_sha256").isNull(), "EMPTY").when(F.col("_nth") > 1, "REPEATED").when(F.col("_old").isNull(), "INSERT").when(F.col("_old") == F.col("scope_sha256"), "SAME").otherwise("CONFLICT")
+    return rows.select("scope_id", "production_year", "scope_sha256", outcome.alias("outcome"))
+
+
+def equal_requests(requests: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fingerprint, first_key, n_equal) of evaluation requests: those of equal fields, whatever the case and spacing of their texts, have one fingerprint, and only the first of them needs to be evaluated."""
+    from fieldwise.functions.scalars import digest, squeeze, upper_tr
+
+    kinds = dict(requests.dtypes)
+    plain = requests.select(F.col(key).alias("_key"), *[squeeze(upper_tr(F.col(c))).alias(c) if kinds[c] == "string" else F.col(c) for c in fields]).withColumn("fingerprint", digest(*fields))
+    firsts = plain.groupBy("fingerprint").agg(F.min("_key").alias(f"first_{key}"), F.count(F.lit(1)).alias("n_equal"))
+    return plain.select(F.col("_key").alias(key), "fingerprint").join(firsts, "fingerprint")
+
+
 def national_scope(parcels: DataFrame, scopes: DataFrame, places: DataFrame, pinned: DataFrame) -> DataFrame:
     """parcels with ``water`` by national sets: scopes (scope_id, production_year, complete), their places (scope_id, province, district) and the pinned list (production_year, province, district).
 

@@ -648,3 +648,104 @@ def approval_trust(spark: SparkSession, d: str) -> DataFrame:
     subjects = view(spark, d, "orders").select(F.col("o_orderkey").alias("subject_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), F.lit("s").alias("source_sha256"), (F.col("o_orderkey") % 6 != 1).alias("source_active"))
     keys = spark.createDataFrame([("r", "REVIEWER"), ("a", "APPROVER")], "principal_id string, role string")
     return lookups.approved(subjects, rows, subjects.where("subject_id % 5 = 1"), keys, F.lit("2026-01-01").cast("timestamp"))
+
+
+@query("""with j as (select *, case authority when 'GAZETTE' then 1 when 'MINISTRY' then 2 when 'AGENCY' then 3 end as priority, count(*) over (partition by source_id) as n from registry_rows),
+k as (select *, case when trim(source_id) = '' then 'NO_ID' when trim(coalesce(url, '')) = '' then 'NO_URL' when priority is null then 'AUTHORITY' when n > 1 then 'DUPLICATE' end as reason from j)
+select source_id, priority, null::varchar as reason from k where reason is null and active and authority = 'AGENCY' union all select source_id, priority, 'ANY' from k where reason is null and active union all select distinct source_id, null, reason from k where reason is not null""", "registry_rows")
+def source_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Active sources of one authority and of any, and what was refused."""
+    good, bad = catalogs.load_sources(view(spark, d, "registry_rows"))
+    of = lambda rows, reason: rows.select("source_id", "priority", F.lit(reason).cast("string").alias("reason"))
+    return of(catalogs.active_sources(good, "AGENCY"), None).union(of(catalogs.active_sources(good), "ANY")).union(bad.select("source_id", F.lit(None).cast("int"), "reason"))
+
+
+@query("select concat('s', user_id) as source_id, lpad(cast(max(event_id) as varchar(12)), 12, '0') as taken_at, concat('f', max(event_id), '.html') as name, sha256(max_by(event_type, event_id)) as content_sha256 from events group by 1")
+def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Of raw files named by source, time and name, the latest of each source."""
+    n = F.col("event_id").cast("string")
+    files = view(spark, d, "events").select(F.concat(F.lit("/raw/s"), "user_id", F.lit("/"), F.lpad(n, 12, "0"), F.lit("/f"), n, F.lit(".html")).alias("path"), F.col("event_type").cast("binary").alias("content"))
+    return catalogs.latest_snapshots(files)
+
+
+@query("select faq_id, case when faq_id % 3 = 0 then 'new' else category end as category from faqs where faq_id % 3 = 0 or faq_id % 2 = 0", "faqs")
+def faq_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """New answers replace those of the same id and are added else."""
+    faqs = view(spark, d, "faqs").select("faq_id", "category")
+    return catalogs.upsert(faqs.where("faq_id % 3 = 0").withColumn("category", F.lit("new")), faqs.where("faq_id % 2 = 0"), ["faq_id"])
+
+
+@query("""with v as (select distinct source_id, 1 as version, {sha}('one') as content_hash from snapshots union all select source_id, 2, content_hash from (select source_id, min(content_hash) as content_hash from snapshots group by 1) x),
+f as (select distinct source_id, content_hash from snapshots where event_id % 3 <> 0), n as (select f.* from f where not exists (select 1 from v where v.source_id = f.source_id and v.content_hash = f.content_hash)),
+a as (select source_id, 2 + row_number() over (partition by source_id order by content_hash) as version, content_hash, row_number() over (partition by source_id order by content_hash) < count(*) over (partition by source_id) as superseded from n)
+select source_id, version, content_hash, version = 1 or source_id in (select source_id from n) as superseded from v union all select * from a""".replace("{sha}", "sha256"), "snapshots")
+def source_history(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes that a source doesn't have yet become its next versions and supersede what came before."""
+    rows = view(spark, d, "snapshots")
+    one = rows.select("source_id").distinct().select("source_id", F.lit(1).alias("version"), F.sha2(F.lit("one"), 256).alias("content_hash"), F.lit(True).alias("superseded"))
+    two = rows.groupBy("source_id").agg(F.min("content_hash").alias("content_hash")).select("source_id", F.lit(2).alias("version"), "content_hash", F.lit(False).alias("superseded"))
+    return catalogs.append_versions(rows.where("event_id % 3 <> 0"), one.union(two))
+
+
+@query("select p_partkey as part_no, case when p_partkey % 3 = 0 then concat('Crop ', p_brand) else upper(p_brand) end as crop_name from part")
+def crop_names(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the names are aliases in another case, with spaces; all others stay, in upper case."""
+    rows = view(spark, d, "part").select(F.col("p_partkey").alias("part_no"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" aka "), F.upper("p_brand"), F.lit(" "))).otherwise(F.concat(F.lit(" "), "p_brand")).alias("crop"))
+    aliases = view(spark, d, "part").select(F.concat(F.lit("AKA "), "p_brand").alias("alias"), F.concat(F.lit("Crop "), "p_brand").alias("crop_name")).distinct()
+    return catalogs.canonical_crop(rows, aliases).select("part_no", "crop_name")
+
+
+@query("select p.parcel_id, b.crop_code is not null as there from parcels p left join (select distinct province, district, crop_code from basin) b on p.province = b.province and p.district = b.district and p.crop_code = b.crop_code", "parcels basin")
+def legacy_membership(spark: SparkSession, d: str) -> DataFrame:
+    return catalogs.members(view(spark, d, "parcels"), view(spark, d, "basin"), ["province", "district", "crop_code"]).select("parcel_id", "there")
+
+
+@query("""with e as (select concat('MADDE ', cast(floor(doc_id / 4) as bigint), ' / ', doc_id % 2, ' / A') as clause_key, doc_id % 4 >= 2 as after, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents where doc_id % 11 <> 0)
+select coalesce(a.clause_key, b.clause_key) as clause_key, case when a.clause_key is null then 'ADDED' when b.clause_key is null then 'REMOVED' when a.t = b.t or (a.t is null and b.t is null) then 'UNCHANGED' else 'CHANGED' end as change from (select * from e where not after) a full outer join (select * from e where after) b on a.clause_key = b.clause_key""")
+def evidence_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Two sets of evidence by article, paragraph and clause; refused rows take no part."""
+    n = F.col("doc_id")
+    rows = view(spark, d, "documents").select(F.floor(n / 4).cast("long").alias("article"), (n % 2).alias("paragraph"), F.lit("a").alias("clause"), "text", F.when(n % 11 == 0, "HASH").alias("refused"), (n % 4 >= 2).alias("after"))
+    return evidence.evidence_diff(rows.where("not after"), rows.where("after")).select("clause_key", "change")
+
+
+@query("select event_id from events where event_type = 'purchase' and year(ts) = (select max(year(ts)) from events where event_type = 'purchase') order by ts desc, event_id desc limit 100")
+def audit_log(spark: SparkSession, d: str) -> DataFrame:
+    """The newest hundred entries of one type and year."""
+    rows = view(spark, d, "events").withColumn("year", F.year("ts"))
+    last = rows.where("event_type = 'purchase'").agg(F.max("year")).first()[0]  # one value
+    return catalogs.newest(rows, ["ts", "event_id"], event_type="purchase", year=last).select("event_id")
+
+
+@query("""with n as (select snapshot_id, province, district, production_year from snap_rows), e as (select province, district, production_year from n where snapshot_id % 3 = 0),
+j as (select n.*, e.province is not null as there, row_number() over (partition by n.province, n.district, n.production_year order by snapshot_id) as nth from n left join (select distinct * from e) e on n.province = e.province and n.district = e.district and n.production_year = e.production_year)
+select snapshot_id, case when there then 'SKIPPED' when nth > 1 then 'REPEATED' else 'INSERT' end as outcome from j""", "snap_rows")
+def water_staging(spark: SparkSession, d: str) -> DataFrame:
+    """District records that are left alone where one is there."""
+    rows = view(spark, d, "snap_rows").select("snapshot_id", "province", "district", "production_year")
+    return catalogs.stage_if_absent(rows, rows.where("snapshot_id % 3 = 0"), ["province", "district", "production_year"]).select("snapshot_id", "outcome")
+
+
+@query("""with s as (select production_year * 10 + v as scope_id, production_year, v from years cross join (values (0), (1)) as t(v) where v = 0 or production_year % 3 = 0), p as (select distinct s.scope_id, w.province, w.district from s join water w on length(w.district) <> s.production_year % 4 + 6 where s.production_year % 5 <> 0),
+g as (select scope_id, sha256(concat('[', string_agg(concat('{"district":"', district, '","province":"', province, '"}'), ',' order by province, district), ']')) as scope_sha256 from p group by 1)
+select s.scope_id, s.production_year, g.scope_sha256, case when g.scope_sha256 is null then 'EMPTY' when v > 0 then 'REPEATED' when s.production_year % 4 = 0 then 'SAME' when s.production_year % 4 = 1 then 'CONFLICT' else 'INSERT' end as outcome from s left join g on s.scope_id = g.scope_id""", "years water")
+def national_staging(spark: SparkSession, d: str) -> DataFrame:
+    """National scopes of every year: new, known, different, empty and second ones."""
+    years = view(spark, d, "years").withColumn("v", F.explode(F.when(F.col("production_year") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    scopes = cut(years.select((F.col("production_year") * 10 + F.col("v")).alias("scope_id"), "production_year"))
+    water = view(spark, d, "water").select("province", "district", F.length("district").alias("n"))
+    sizes = F.array(*[F.lit(n) for n in range(4, 16)])
+    wanted = scopes.where("production_year % 5 <> 0").select("scope_id", F.explode(F.filter(sizes, lambda n: n != F.col("production_year") % 4 + 6)).alias("n"))
+    places = wanted.join(water, "n").select("scope_id", "province", "district")
+    known = catalogs.stage_national(scopes, places, scopes.limit(0).select("production_year", F.lit("").alias("scope_sha256"))).where("scope_id % 10 = 0")
+    old = known.where("production_year % 4 < 2").select("production_year", F.when(F.col("production_year") % 4 == 0, F.col("scope_sha256")).otherwise("x").alias("scope_sha256"))
+    return catalogs.stage_national(scopes, places, old)
+
+
+@query("""with r as (select parcel_id, upper(province) as province, upper(crop_code) as crop_code, production_year, area_da, sha256(concat('{"area_da":"', area_da, '","crop_code":"', upper(crop_code), '","production_year":"', production_year, '","province":"', upper(province), '"}')) as fingerprint from parcels)
+select parcel_id, fingerprint, min(parcel_id) over (partition by fingerprint) as first_parcel_id, count(*) over (partition by fingerprint) as n_equal from r""", "parcels")
+def equal_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels that ask for the same; every second one writes it in another way."""
+    odd = F.col("parcel_id") % 2 == 1
+    rows = view(spark, d, "parcels").withColumn("province", F.when(odd, F.concat(F.lit("  "), F.upper("province"))).otherwise(F.col("province")))
+    return catalogs.equal_requests(rows, "parcel_id", ["province", "crop_code", "production_year", "area_da"])

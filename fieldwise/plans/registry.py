@@ -432,6 +432,18 @@ def chain_verify(spark: SparkSession, d: str) -> DataFrame:
     return changes.chain_violations(_blocks(spark, d).withColumn("payload", F.when(bad, "forged").otherwise(F.col("payload"))))
 
 
+@query(CHAINS + "select chain, i as block_index, event_id, own as block_sha256 from b")
+def chain_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _blocks(spark, d).select("chain", "block_index", "event_id", "block_sha256")
+
+
+@query(DECIDED + "select r.parcel_id, r.program_key, r.status, a.amount from res r left join (select * from res where amount is not null) a on r.parcel_id = a.parcel_id and r.program_key = a.program_key", "parcels programs rates source_versions basin water")
+def decision_table(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions beside the amounts that were worked out."""
+    rows = _decided(spark, d).select("parcel_id", "program_key", "status", "amount")
+    return catalogs.decision_details(rows.drop("amount"), rows.where("amount is not null").select("parcel_id", "program_key", "amount"))
+
+
 @query(CHAINS + "select chain, count(*) as n_blocks, min(i) as first_index, max(i) as last_index, sha256(string_agg(own, '' order by i)) as root from b group by chain")
 def checkpoint_root(spark: SparkSession, d: str) -> DataFrame:
     return changes.root_hash(_blocks(spark, d))

@@ -87,6 +87,7 @@ VIEWS = {
     "rel_entries": """select r.production_year * 10 + s.s as release_id, s.s, r.production_year, r.program_id as program_key, r.crop_name as crop_code, r.province, r.district, r.rate_id, r.rate_id as candidate_id, r.rate_id + 1 as evidence_id,
  {sha}(concat('rate', r.rate_id)) as rate_digest, {sha}(concat('cand', case when r.production_year % 5 = 3 then 0 else r.rate_id end)) as candidate_digest, r.source_version_id from rates r cross join (select 0 as s union all select 1 union all select 2) s
  where r.rate_id < 9000000 and r.program_id = 'BASIC_SUPPORT' and r.review_status = 'VERIFIED' and r.rate_id % 100 % 5 <> 0 and r.rate_id % 100 <> 4 and (s.s <> 1 or r.production_year % 2 = 0) and not (r.production_year % 7 = 2 and r.rate_id % 100 = 7)""",
+    "registry_rows": "select case when page_id % 19 = 0 then ' ' when page_id % 23 = 1 then concat('P', page_id - 1) else concat('P', page_id) end as source_id, case when page_id % 17 = 0 then '' else url end as url, case page_id % 5 when 0 then 'GAZETTE' when 1 then 'MINISTRY' when 2 then 'AGENCY' when 3 then 'BLOG' else 'AGENCY' end as authority, page_id % 2 = 0 as active, page_id from pages",
     "qa": "select u.conv_id, u.turn, u.text as question, a.text as answer, case when u.conv_id % 2 = 0 then 1 else 2 end as batch_no from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'",
     "faqs": """select conv_id * 1000 + turn as faq_id, concat('c', conv_id % 7) as category, question, answer, conv_id % 3 = 0 as verified, case conv_id % 4 when 0 then 'PENDING' when 1 then 'APPROVED' when 2 then 'REJECTED' else 'SUPERSEDED' end as status,
  case when conv_id % 5 <> 0 then conv_id end as harvested_at from qa""",
