@@ -32,7 +32,7 @@ from fieldwise.llm.text import Words, slices
 #: Documents of a language that a term needs, ranks of part ``term``, the scale of shares and the smoothing: fixed values of the contract.
 SUPPORT, TOP, SCALE, SMOOTH = 10, 10, 1_000_000_000, 2
 #: Entries that a task sums up before it hands them on, rows of a batch, bits of a language's number within a task, and entries of distances that a task keeps.
-HELD, ROWS_OUT, LANG_BITS, DISTANCES = 3_000_000, 20_000, 20, 4_000_000
+HELD, ROWS_OUT, LANG_BITS, DISTANCES = 2_000_000, 20_000, 20, 4_000_000
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ROWS = pa.schema([("lang", pa.string()), ("item", pa.string()), ("docs", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
@@ -153,8 +153,15 @@ def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.concatenate([d + b for d, b in zip(docs, base, strict=True)])
         langs, sources, ids = np.concatenate(langs), np.concatenate(sources), np.concatenate(ids)
         known, at = np.unique(np.concatenate(own_hashes), return_index=True)
-        names = pa.concat_arrays(own_names).take(pa.array(at))
-        key = (np.searchsorted(known, hashes) << LANG_BITS) | langs[docs]
+        item = np.searchsorted(known, hashes)
+        # Items in the order of their first documents, so that rows that follow each other are alike and compress well.
+        first = np.empty(len(known), np.int64)
+        first[item[::-1]] = docs[::-1]
+        order = np.argsort(first, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        names = pa.concat_arrays(own_names).take(pa.array(at[order]))
+        key = (rank[item] << LANG_BITS) | langs[docs]
         counts.add(key, sources[docs], ns, key, ids[docs], np.empty(0, np.int64))
         yield from counts.rows(names)
 
