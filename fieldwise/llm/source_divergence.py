@@ -86,11 +86,14 @@ class Counts:
         if not self.entries:
             return
         key, source, n = (np.concatenate(x) for x in zip(*self.entries, strict=True))
+        self.entries = []
         order = np.lexsort((source, key))
-        key, source = key[order], source[order]
+        key, source, n = key[order], source[order], n[order]
         at = runs(key, source)
-        self.entries = [(key[at], source[at], np.add.reduceat(n[order], at) if len(at) else n)]
+        self.entries = [(key[at], source[at], np.add.reduceat(n, at) if len(at) else n)]
+        del key, source, n, order, at
         key, doc = (np.concatenate(x) for x in zip(*self.docs, strict=True))
+        self.docs = []
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         at = runs(key, doc)
@@ -148,6 +151,7 @@ def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[pa.RecordBatch]:
         hashes, docs, ns, langs, sources, ids, own_hashes, own_names = (list(x) for x in zip(*parts, strict=True))
+        parts.clear()  # what follows holds arrays of all parts
         base = np.cumsum([0, *[len(x) for x in ids[:-1]]])
         hashes, ns = np.concatenate(hashes), np.concatenate(ns)
         docs = np.concatenate([d + b for d, b in zip(docs, base, strict=True)])
@@ -163,10 +167,11 @@ def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.concat_arrays(own_names).take(pa.array(at[order]))
         key = (rank[item] << LANG_BITS) | langs[docs]
         counts.add(key, sources[docs], ns, key, ids[docs], np.empty(0, np.int64))
+        del hashes, docs, ns, ids, own_hashes, own_names, item, first, order, rank, key
         yield from counts.rows(names)
 
     for batch in batches:
-        for part in slices(batch, most=4 << 20):
+        for part in slices(batch, most=2 << 20):
             words = Words(part.column("text"))
             order = np.argsort(words.hash, kind="stable")
             hashes, docs = words.hash[order], words.doc[order]
