@@ -39,10 +39,11 @@ def build_index(chunks: DataFrame, tokens: Column, folder: str, filters: tuple[s
     """Write the index of chunks (chunk_id, of a whole number's type, and the columns in ``filters``) to a folder that driver and executors share.
 
     Texts are dealt by chunk before they are tokenized, so tokens are counted without another shuffle; postings are shuffled once, by token, shard and level."""
-    spark, own = chunks.sparkSession, [F.col("chunk_id").cast("long").alias("chunk_id"), *filters]
+    spark = chunks.sparkSession
     n_shards = max(1, -(-chunks.count() // (shard_size or SHARD)))
     shard = F.pmod(F.xxhash64("chunk_id"), F.lit(n_shards)).cast("int").alias("shard")
-    rows = chunks.select(*own, tokens.alias("tokens")).repartition("chunk_id").select("chunk_id", *filters, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("token"))
+    keyed = chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")).repartition("chunk_id")
+    rows = keyed.select("chunk_id", *filters, tokens.alias("tokens")).select("chunk_id", *filters, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("token"))
     rows.groupBy("chunk_id", *filters, "dl", "token").agg(F.count(F.lit(1)).cast("int").alias("tf")).write.parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
     counts.select("chunk_id", shard, "dl", *filters).distinct().write.parquet(f"{folder}/chunks")
