@@ -64,11 +64,13 @@ def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (sid, shingles)."""
+    """(sid, text) to (sid, shingles) of the texts that have the set of their row."""
     for batch in batches:
         for part in slices(batch):
             values, at = shingle_sets(Words(part.column("text"), lower=True), K)
-            yield pa.RecordBatch.from_pydict({"sid": pa.array(set_ids(values, at)), "shingles": lists(values, at)})
+            sid = set_ids(values, at)
+            own = pa.array(sid == part.column("sid").to_numpy())
+            yield pa.RecordBatch.from_pydict({"sid": pa.array(sid), "shingles": lists(values, at)}).filter(own)
 
 
 def bitmaps(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -404,7 +406,7 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_groups(rows: DataFrame) -> DataFrame:
-    """(shingle, chunks) of the shingles with more than ``GROUP`` rows."""
+    """(shingle, chunks) of the shingles with more than ``GROUP`` rows, so at most one row for each ``GROUP``."""
     many = rows.groupBy("shingle").count().where(F.col("count") > GROUP)
     return many.select("shingle", F.ceil(F.col("count") / GROUP).cast("int").alias("chunks"))
 
@@ -417,17 +419,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sig = written(texts.mapInArrow(lambda it: signatures(it, frequent, rank), "doc_id long, sid long, n int, prefix array<long>, bits binary"), "signatures")
 
     linkable = sig.where("n > 0 and doc_id is not null")
-    sets = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"))
+    sets = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"), F.first("bits").alias("bits"))
     sets = written(sets, "sets")
     repeated = bool(linkable.groupBy("doc_id", "sid").count().where("count > 1").take(1))
-    corpus = Corpus(texts, sig, sets, repeated)
+    corpus = Corpus(texts, sets, repeated)
     several = sets.where("copies > 1").select("sid", "rep")
     alone = linkable.join(if_small(several, several.count()), "sid", "left").where("rep is null or rep = doc_id")
     postings = alone.select("sid", "n", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("n_place"))
     shared = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "sid").mapInArrow(only_shared, postings.schema)
     shared = written(shared.select("shingle", "sid", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).cast("int").alias("place")), "shared")
-    hot = written(hot_groups(shared), "hot")
-    hot = if_small(hot, hot.count())
+    hot = F.broadcast(written(hot_groups(shared), "hot"))
 
     roots = None
     for turn in range(TURNS):
@@ -454,7 +455,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     entries = entries.select("shingle", "sid", "n", "root", "dense", next_("keys"), after.alias("after"), just_before.alias("before"), next_("places"), "last", "weight", "block")
     sizes = open_.join(hot, "shingle").groupBy("shingle", "root", "chunks").count()
     main = written(sizes.groupBy("shingle", "chunks").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
-    entries = entries.join(if_small(main, main.count()), "shingle", "left")
+    entries = entries.join(F.broadcast(main), "shingle", "left")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     chunk = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))).otherwise(every)
     entries = entries.withColumn("chunk", F.explode(chunk)).select("shingle", "chunk", "sid", "n", "root", "dense", "keys", "after", "before", "places", "last", "weight", "block")
@@ -494,53 +495,44 @@ def guesses(shared: DataFrame, hot: DataFrame, roots: DataFrame | None, turn: in
 
 
 class Corpus(NamedTuple):
-    """texts: (doc_id, text); signatures; sets: one row a set, with the least doc_id that has it; repeated: whether rows repeat a doc_id and a set."""
+    """texts: (doc_id, text); sets: one row a set, with the least doc_id that has it and its bitmap; repeated: whether rows repeat a doc_id and a set."""
 
     texts: DataFrame
-    signatures: DataFrame
     sets: DataFrame
     repeated: bool
 
 
 def of_blocks(rows: DataFrame, asks: DataFrame, members: DataFrame, n_parts: DataFrame, content: list[str]) -> DataFrame:
     """Rows (sid, content...) of members and of those that ask, dealt by block and part, a block's members first. A block that many ask is copied, one copy for each ``ASKED`` of them."""
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    stored = rows.join(members.join(n_parts, "block"), "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", *content)
-    own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    asking = rows.join(asks.join(n_parts, "block"), "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", *content)
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.explode(F.sequence(F.lit(0), parts - 1))
+    stored = rows.join(members.join(n_parts, "block", "left"), "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", *content)
+    own = F.pmod(F.xxhash64("sid"), parts).cast("int")
+    asking = rows.join(asks.join(n_parts, "block", "left"), "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", *content)
     return stored.union(asking).repartition(shuffle_partitions(rows.sparkSession), "block", "part").sortWithinPartitions("block", "part", "asks")
 
 
 def parts_of(asks: DataFrame) -> DataFrame:
-    n_parts = written(asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts")), "parts")
-    return if_small(n_parts, n_parts.count())
-
-
-def taking_part(corpus: Corpus, asks: DataFrame, members: DataFrame) -> tuple[DataFrame, int]:
-    """(sid, doc_id) of the sets of either side, each with one document, and their number."""
-    wanted = written(asks.select("sid").union(members.select("sid")).distinct().join(corpus.sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
-    return wanted, wanted.count()
+    """(block, parts) of the blocks that more than ``ASKED`` ask, so at most one row for each ``ASKED`` questions."""
+    many = asks.groupBy("block").count().where(F.col("count") > ASKED)
+    return F.broadcast(written(many.select("block", F.ceil(F.col("count") / ASKED).cast("int").alias("parts")), "parts"))
 
 
 def links(corpus: Corpus, asks: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) of the sets that ask, (sid, block), with the sets of the blocks, (sid, block); both are tables.
 
     Whole sets are only made for documents whose bitmaps leave a question open."""
-    n_parts = parts_of(asks)
-    members = members.join(n_parts.select("block"), "block", "left_semi")
-    wanted, n = taking_part(corpus, asks, members)
-    prints = corpus.signatures.select("sid", "doc_id", "n", "bits").join(if_small(wanted, n), ["sid", "doc_id"])
-    if corpus.repeated:
-        prints = prints.dropDuplicates(["sid"])
-    asks = written(of_blocks(prints, asks, members, n_parts, ["n", "bits"]).mapInArrow(likely, "sid long, block long").distinct(), "asks")
-
-    n_parts = parts_of(asks)
-    members = members.join(n_parts.select("block"), "block", "left_semi")
-    wanted, n = taking_part(corpus, asks, members)
-    found = corpus.texts.join(if_small(wanted.select("doc_id").distinct(), n), "doc_id", "left_semi").mapInArrow(sets_of, "sid long, shingles array<long>")
-    found = found.join(if_small(wanted.select("sid"), n), "sid", "left_semi")
+    asked = lambda: members.join(asks.select("block").distinct(), "block", "left_semi")
+    prints = corpus.sets.select("sid", "n", "bits")
+    asks = written(of_blocks(prints, asks, asked(), parts_of(asks), ["n", "bits"]).mapInArrow(likely, "sid long, block long").distinct(), "asks")
+
+    members = asked()
+    # The sets of either side, each with one document.
+    wanted = written(asks.select("sid").union(members.select("sid")).distinct().join(corpus.sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
+    texts = corpus.texts.join(if_small(wanted, wanted.count()), "doc_id").select("sid", "text")
+    found = texts.mapInArrow(sets_of, "sid long, shingles array<long>")
     found = written(found.dropDuplicates(["sid"]) if corpus.repeated else found, "whole")
-    out = written(of_blocks(found, asks, members, n_parts, ["shingles"]).mapInArrow(answered, "a long, b long"), "links")
+    out = written(of_blocks(found, asks, members, parts_of(asks), ["shingles"]).mapInArrow(answered, "a long, b long"), "links")
     dropped(corpus.texts.sparkSession, found)
     return out
 

@@ -681,3 +681,17 @@ def test_components_of_links_that_come_in_turns(spark):
         got = {r["id"]: r["root"] for r in roots.collect()}
         assert len(got) == roots.count()
         assert {x: got.get(x, x) for x in parent} == {x: top(x) for x in parent}
+
+
+def test_a_join_plans_few_jobs_and_sends_no_table_of_its_sets_to_the_driver_without_need(spark, tmp_path):
+    """Every query leaves its plan with the driver, and a table to be broadcast passes through it."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(30)]
+    rows = [(10 * i + k, " ".join(["x"] * k + t.split()[k:])) for i, t in enumerate(texts) for k in range(4)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    queries = spark._jsparkSession.sharedState().statusStore()
+    before = queries.executionsCount()
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(spark.read.parquet(path)).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+    assert queries.executionsCount() - before <= 70
