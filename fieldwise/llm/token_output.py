@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class Encoder:
     def part(self, run: bytes) -> bytes:
         """Ids of one pre-token that is new, letters in lower case or signs."""
         found = self.model.tokenize(run.decode() if run.isascii() else "".join([SHOWN[x] for x in run]))
-        ids = self.parts[run] = np.asarray([t.id for t in found], "<i4").tobytes()
+        ids = self.parts[run] = packed([t.id for t in found])
         return ids
 
     def learn(self, fresh: list[bytes]) -> None:
@@ -92,7 +93,7 @@ class Encoder:
                 ids = parts.get(letters) or self.part(letters)
                 known[w] = ids + (parts.get(signs) or self.part(signs)) if signs else ids
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        known.update(zip(rest, (np.asarray(x.ids, "<i4").tobytes() for x in found), strict=True))
+        known.update(zip(rest, (packed(x.ids) for x in found), strict=True))
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Texts, as lists of words, to little-endian ids. The words that are new in all of them are learnt together."""
@@ -102,7 +103,15 @@ class Encoder:
             fresh = used.difference(known)
         if fresh:
             self.learn(list(fresh))
-        return [b"".join([known[w] for w in words]) for words in texts]
+        return [b"".join(map(known.__getitem__, words)) for words in texts]
+
+
+_packers = [Struct(f"<{n}i").pack for n in range(16)]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return _packers[len(ids)](*ids) if len(ids) < len(_packers) else np.asarray(ids, "<i4").tobytes()
 
 
 def forget(memory: dict, more: int, most: int) -> bool:

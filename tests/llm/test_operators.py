@@ -695,3 +695,9 @@ def test_a_join_plans_few_jobs_and_sends_no_table_of_its_sets_to_the_driver_with
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_copies(spark.read.parquet(path)).collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows}
     assert queries.executionsCount() - before <= 70
+
+
+def test_ids_are_packed_as_little_endian_integers():
+    for n in (0, 1, 15, 16, 40):
+        ids = list(range(2**31 - n, 2**31))
+        assert token_output.packed(ids) == np.asarray(ids, "<i4").tobytes()
