@@ -35,8 +35,9 @@ SUPPORT, TOP, SCALE, SMOOTH = 10, 10, 1_000_000_000, 2
 HELD, ROWS_OUT, LANG_BITS, DISTANCES = 2_000_000, 20_000, 20, 4_000_000
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-ROWS = pa.schema([("lang", pa.string()), ("item", pa.string()), ("docs", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("ns", pa.list_(pa.int64()))])
-SCHEMA = "lang string, item string, docs array<long>, sources array<string>, ns array<long>"
+ROWS = pa.schema([("lang", pa.string()), ("item", pa.string()), ("sources", pa.list_(pa.string())), ("numbers", pa.list_(pa.int64()))])
+#: numbers: the occurrences by source, then the documents; an item with enough documents names none. One list takes fewer bytes than two.
+SCHEMA = "lang string, item string, sources array<string>, numbers array<long>"
 
 
 class Codes(dict):
@@ -57,10 +58,9 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def lists(values: pa.Array, starts: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+def lists(values: pa.Array, starts: np.ndarray) -> pa.Array:
     """Runs of values, from each start to the next, as lists."""
-    offsets = pa.array(np.append(starts, len(values)).astype(np.int32), mask=None if valid is None else np.append(~valid, False))
-    return pa.ListArray.from_arrays(offsets, values)
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
 
 
 class Counts:
@@ -115,7 +115,7 @@ class Counts:
         langs, sources = pa.array(list(self.langs), pa.string()), pa.array(list(self.sources), pa.string())
         starts = runs(key)
         own = key[starts]
-        first, valid = np.searchsorted(doc_key, own), ~np.isin(own, enough)
+        first = np.searchsorted(doc_key, own)
         most = len(own) if last or not len(own) else int(np.searchsorted(own, (own[-1] >> LANG_BITS) << LANG_BITS))
         for lo in range(0, most, ROWS_OUT):
             hi = min(lo + ROWS_OUT, most)
@@ -123,9 +123,9 @@ class Counts:
             d0, d1 = first[lo], first[hi] if hi < len(first) else len(doc)
             item = names.take(pa.array(own[lo:hi] >> LANG_BITS)).cast(pa.string())
             lang = langs.take(pa.array(own[lo:hi] & ((1 << LANG_BITS) - 1)))
-            found = lists(pa.array(doc[d0:d1]), first[lo:hi] - d0, valid[lo:hi])
-            by = lists(sources.take(pa.array(source[e0:e1])), starts[lo:hi] - e0), lists(pa.array(n[e0:e1]), starts[lo:hi] - e0)
-            yield pa.RecordBatch.from_arrays([lang, item, found, *by], schema=ROWS)
+            by, of = starts[lo:hi] - e0, first[lo:hi] - d0
+            numbers = np.insert(doc[d0:d1], np.repeat(of, np.diff(np.append(by, e1 - e0))), n[e0:e1])
+            yield pa.RecordBatch.from_arrays([lang, item, lists(sources.take(pa.array(source[e0:e1])), by), lists(pa.array(numbers), by + of)], schema=ROWS)
         rest = slice(starts[most], None) if most < len(starts) else slice(len(key), None)
         kept = slice(first[most], None) if most < len(first) else slice(len(doc), None)
         entries, docs, still = (key[rest], source[rest], n[rest]), (doc_key[kept], doc[kept]), enough[np.isin(enough, own[most:])]
@@ -137,11 +137,13 @@ class Counts:
             self.add(entries[0] & lang_of, entries[1], entries[2], docs[0] & lang_of, docs[1], still & lang_of)
 
 
-def flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, pa.Array]:
-    """The values of a list column, and the row of each; null lists have none."""
-    column_ = batch.column(column)
-    sizes = pc.fill_null(pc.list_value_length(column_), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(column_)
+def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of SCHEMA as flat values: row, source and number of each count, row and id of each document, and the rows with enough documents."""
+    several, many = (pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in (2, 3))
+    row = np.repeat(np.arange(len(many)), many)
+    numbers = pc.list_flatten(batch.column(3)).to_numpy()
+    counts = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) < np.repeat(several, many)
+    return row[counts], pc.list_flatten(batch.column(2)), numbers[counts], row[~counts], numbers[~counts], np.flatnonzero(many == several)
 
 
 def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,14 +220,12 @@ def chunks_to_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         def keys(row: np.ndarray, value: np.ndarray, term: np.ndarray, terms=terms, lang=lang) -> np.ndarray:
             return (terms[term] << LANG_BITS) | lang[row[value]]
 
-        row, sources = flat(batch, 3)
+        row, sources, ns, doc_row, docs, full = flat(batch)
         value, term = spread(row)
-        entries = keys(row, value, term), counts.sources.of(sources)[value], flat(batch, 4)[1].to_numpy()[value] * times[term]
-        doc_row, docs = flat(batch, 2)
+        entries = keys(row, value, term), counts.sources.of(sources)[value], ns[value] * times[term]
         doc_value, doc_term = spread(doc_row)
-        full = np.flatnonzero(pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False))
         full_value, full_term = spread(full)
-        counts.add(*entries, keys(doc_row, doc_value, doc_term), docs.to_numpy()[doc_value], keys(full, full_value, full_term))
+        counts.add(*entries, keys(doc_row, doc_value, doc_term), docs[doc_value], keys(full, full_value, full_term))
         if counts.held > HELD:
             counts.sum_up()
             if counts.held > HELD // 2:
@@ -239,13 +239,13 @@ def kept_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def enough(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            yield batch.filter(pc.is_null(batch.column(2))).select([0, 1, 3, 4]).rename_columns(["lang", "term", "sources", "ns"])
+            many = pc.equal(pc.list_value_length(batch.column(2)), pc.list_value_length(batch.column(3)))
+            yield batch.filter(many).rename_columns(["lang", "term", "sources", "ns"])
 
     for batch in batches:
         key = (counts.items.of(batch.column(1).cast(pa.binary())) << LANG_BITS) | counts.langs.of(batch.column(0))
-        (row, sources), (doc_row, docs) = flat(batch, 3), flat(batch, 2)
-        full = pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False)
-        counts.add(key[row], counts.sources.of(sources), flat(batch, 4)[1].to_numpy(), key[doc_row], docs.to_numpy(), key[full])
+        row, sources, ns, doc_row, docs, full = flat(batch)
+        counts.add(key[row], counts.sources.of(sources), ns, key[doc_row], docs, key[full])
         if counts.held > HELD // 4:
             yield from enough(counts.rows(last=False))  # what comes next may still be of the last item
     yield from enough(counts.rows())

@@ -208,3 +208,17 @@ def test_shares_of_large_counts():
     total = [r.randint(10, 9 * 10**15) for _ in range(500)]
     n = [r.randint(0, t) for t in total]
     assert source_divergence.shares(np.array(n), np.array(total)).tolist() == [1 + 10**9 * a // b for a, b in zip(n, total, strict=True)]
+
+
+def test_counts_and_documents_of_a_row_share_one_list():
+    import numpy as np
+
+    s = source_divergence
+    counts = s.Counts()
+    key = np.array([counts.items.setdefault(x, len(counts.items)) << s.LANG_BITS for x in (b"a", b"b")])
+    counts.langs["en"], counts.sources["x"], counts.sources["y"] = 0, 0, 1
+    counts.add(key[[0, 0, 1]], np.array([0, 1, 1]), np.array([5, 6, 7]), key[[0, 0]], np.array([100, 101]), key[[1]])
+    (batch,) = counts.rows()
+    assert batch.to_pylist() == [{"lang": "en", "item": "a", "sources": ["x", "y"], "numbers": [5, 6, 100, 101]}, {"lang": "en", "item": "b", "sources": ["y"], "numbers": [7]}]
+    row, sources, ns, doc_row, docs, full = s.flat(batch)
+    assert (row.tolist(), sources.to_pylist(), ns.tolist(), doc_row.tolist(), docs.tolist(), full.tolist()) == ([0, 0, 1], ["x", "y", "y"], [5, 6, 7], [0, 0], [100, 101], [1])
