@@ -20,6 +20,17 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: What a worker keeps for later tasks, by operator.
+_kept: dict[str, dict] = {}
+
+
+def keep_only(operator: str) -> dict:
+    """What the operator keeps in this worker. What others have left goes, as workers outlive their stages."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

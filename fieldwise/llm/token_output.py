@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwise.llm.store import shuffle_partitions, table, work_dir
-from fieldwise.llm.text import slices
+from fieldwise.llm.text import keep_only, slices
 
 #: Words, and parts of words, whose ids a worker remembers; the older half is forgotten when a memory is full.
 REMEMBERED, PARTS = 400_000, 700_000
@@ -123,13 +123,11 @@ def forget(memory: dict, more: int, most: int) -> bool:
     return True
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = keep_only("token_output")
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:

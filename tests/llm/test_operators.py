@@ -701,3 +701,17 @@ def test_ids_are_packed_as_little_endian_integers():
     for n in (0, 1, 15, 16, 40):
         ids = list(range(2**31 - n, 2**31))
         assert token_output.packed(ids) == np.asarray(ids, "<i4").tobytes()
+
+
+def test_a_worker_drops_the_words_of_another_operator():
+    import weakref
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    left = weakref.ref(token_output.encoder(path))
+    assert token_output.encoder(path) is left()
+    docs = pa.record_batch({"doc_id": [1], "text": ["a b c d e f"]})
+    assert len(list(ngram_join.signatures(iter([docs]), np.empty(0, np.uint64), np.empty(0, np.int64)))) == 1
+    assert left() is None
