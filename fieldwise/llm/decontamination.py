@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import table
-from fieldwise.llm.text import U64, Words, slices
+from fieldwise.llm.store import small_batches, table
+from fieldwise.llm.text import U64, Words, slices, tidy
 
 K = 5
 RADIUS, BLOCKS, BLOCK_BITS = 22, 4, 16
@@ -168,6 +168,7 @@ _FOUND = "doc_id long, item_id long, start long, n_words long, similarity double
 
 
 def _reader(shared) -> Callable:
+    @tidy
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
@@ -189,10 +190,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     for index in item_blocks(benchmark):
         shared = context.broadcast(index)
 
+        @tidy
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch):

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import dropped, if_small, shuffle_partitions, table, written
-from fieldwise.llm.text import U64, Words, keep_only, mix, shingle_sets, slices
+from fieldwise.llm.store import dropped, if_small, shuffle_partitions, small_batches, table, written
+from fieldwise.llm.text import U64, Words, keep_only, mix, shingle_sets, slices, tidy
 
 K = 5
 #: Documents of which the order of shingles is learnt, shingles that it may set apart, and the repeats that do so.
@@ -63,6 +63,7 @@ def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+@tidy
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sid, text) to (sid, shingles) of the texts that have the set of their row."""
     for batch in batches:
@@ -91,6 +92,7 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+@tidy
 def signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, sid, n, prefix, bits); the prefix in global order."""
     keep_only("ngram_join")
@@ -115,6 +117,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     share = min(1_000_000, max(1, ORDER_SAMPLE * 1_000_000 // max(n, 1)))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < share).limit(2 * ORDER_SAMPLE)
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -128,6 +131,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], order.astype(np.int64)
 
 
+@tidy
 def only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (shingle, sid, ...) in order, all of a shingle in one partition, to one row for each shingle and set; shingles with one set alone are left out."""
     last, mated = None, False
@@ -299,6 +303,7 @@ def may_link(e: Entry, o: Entry) -> bool:
     return overlap + min(left, its_left) >= needed(e.n, o.n)
 
 
+@tidy
 def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows in order of shingle and chunk, all of a chunk in one partition, to questions (sid, block): of two sets, the one of the smaller component asks the other's block."""
     keep_only("ngram_join")
@@ -325,6 +330,7 @@ def as_pairs(found: set[tuple[int, int]], names: tuple[str, str] = ("sid", "bloc
     return pa.RecordBatch.from_pydict({name: pa.array([p[i] for p in found], pa.int64()) for i, name in enumerate(names)})
 
 
+@tidy
 def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, part, asks, sid, n, bits) in order, a block's own sets before those that ask, to the questions (sid, block) of sets that may link with one of the block by their bitmaps.
 
@@ -388,6 +394,7 @@ def whole_trie(sets: dict[int, list]) -> Whole:
     return Whole(sorted((sorted([rank[x] for x in own]), sid) for sid, own in sets.items()), shingles)
 
 
+@tidy
 def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, part, asks, sid, shingles) in order, a block's own sets before those that ask, to links: the first one of each question."""
     at, sets, trie, found = None, {}, None, []
@@ -416,6 +423,7 @@ def hot_groups(rows: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, sid, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", "text")
     frequent, rank = frequent_shingles(texts)
     sig = written(texts.mapInArrow(lambda it: signatures(it, frequent, rank), "doc_id long, sid long, n int, prefix array<long>, bits binary"), "signatures")

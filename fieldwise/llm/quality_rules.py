@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import table
-from fieldwise.llm.text import Words, slices
+from fieldwise.llm.store import small_batches, table
+from fieldwise.llm.text import Words, slices, tidy
 
 MIN_WORDS = 20
 SYMBOL = np.zeros(256, bool)
@@ -86,6 +86,7 @@ def repeated_words(words: Words, k: int = 8) -> np.ndarray:
     return per_text(np.cumsum(step[:-1]) > 0, words.first)
 
 
+@tidy
 def judged(batches: Iterator[pa.RecordBatch], with_text: bool, max_lost: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -121,6 +122,7 @@ def judge(docs: DataFrame, max_lost: int = 30) -> DataFrame:
 
 def clean(docs: DataFrame, max_lost: int = 30) -> DataFrame:
     """The accepted documents, with all their columns, without their failing lines; ``n_chars`` follows the text."""
+    small_batches(docs.sparkSession)
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
     return docs.mapInArrow(lambda it: judged(it, True, max_lost), docs.schema)

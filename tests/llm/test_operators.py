@@ -715,3 +715,45 @@ def test_a_worker_drops_the_words_of_another_operator():
     docs = pa.record_batch({"doc_id": [1], "text": ["a b c d e f"]})
     assert len(list(ngram_join.signatures(iter([docs]), np.empty(0, np.uint64), np.empty(0, np.int64)))) == 1
     assert left() is None
+
+
+def test_a_task_gives_its_memory_back(tmp_path):
+    """In a process of its own, as what others have allocated would count."""
+    import subprocess
+    import sys
+
+    code = """
+import pyarrow as pa
+from fieldwise.llm import quality_rules
+def held():
+    return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) / 1024
+text = " ".join(f"word{i}" for i in range(400))
+batch = pa.record_batch({"doc_id": range(8000), "text": [text + str(i) for i in range(8000)]})
+list(quality_rules.judged(iter([batch.slice(0, 10)]), False, 30))
+before = held()
+for _ in quality_rules.judged(iter([batch]), False, 30):
+    pass
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(done.stdout) < 25
+
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [batch.nbytes]})
+
+    docs = spark.range(0, 9_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 400).alias("text"))
+    own = spark.conf.get(store.BATCH_BYTES)
+    try:
+        spark.conf.set(store.BATCH_BYTES, "67108864b")
+        quality_rules.clean(docs)
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5 << 20
+        spark.conf.set(store.BATCH_BYTES, "9m")
+        quality_rules.clean(docs)
+        assert spark.conf.get(store.BATCH_BYTES) == "9m"
+    finally:
+        spark.conf.set(store.BATCH_BYTES, own)
