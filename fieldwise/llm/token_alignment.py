@@ -20,20 +20,25 @@ import operator
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwise.llm.store import table, written
-from fieldwise.llm.token_output import SHOWN, forget
+from fieldwise.llm.text import slices, tidy
+from fieldwise.llm.token_output import SHOWN
 
-#: Units that a worker remembers; distinct units and bytes of text of a run.
-REMEMBERED, UNITS, BYTES = 250_000, 150_000, 16 << 20
+#: Units that a worker remembers; distinct units and bytes of text of a run; new units that are encoded as one text.
+REMEMBERED, UNITS, BYTES, TOGETHER = 500_000, 150_000, 16 << 20, 200
 #: A space that may belong to what stands before it: after white space, control or format characters, or another space.
 UNSURE = re.compile(r"[\s\x00-\x1f\x7f-\xa0\u00ad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff] ")
+#: The last characters of units after which a space may not start anew, and no character.
+UNSURE_ENDS = {"", *(c for c in map(chr, range(0x10000)) if UNSURE.match(c + " "))}
 RUNS = "run long, text_key binary, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, pairs array<long>, weights array<long>, starts binary, linked binary"
 FIELDS = pa.schema([
     ("run", pa.int64()), ("text_key", pa.binary()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("units", pa.binary()),
@@ -83,7 +88,8 @@ def byte_level(path: str) -> tuple[dict[int, bytes], Callable[[list[str]], list[
 
 
 class Aligner:
-    """Both tokenizers, and what is known of units: (n_a, n_b, n_groups, groups as text, linked pairs), or None if tokens don't give the unit back."""
+    """Both tokenizers, and what is known of units, by their numbers: ``measures`` (n_a, n_b, n_groups, n_links), all zero if tokens don't give the unit back,
+    the linked pairs and the groups as text, each with ";" behind, of one unit after the other."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -95,52 +101,77 @@ class Aligner:
         pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.bytes_a = [vocabulary.get(i, b"") for i in range(max(vocabulary) + 1)]
         self.bytes_b = [bytes([int(x[3:-1], 16)]) if p.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
-        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.said = [str(i) for i in range(max(len(self.bytes_a), len(pieces)))]
-        self.known: dict[str, tuple | None] = {}
-
-    def align(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, list[int]]:
-        """Two token lists over the same bytes, walked together: where both end, a group ends; each step is a link."""
-        size_a, size_b, said = self.size_a, self.size_b, self.said
-        n, i, j, x, y = len(a), 0, 0, a[0], b[0]
-        end_a, end_b, own_a, own_b, groups, pairs = size_a[x], size_b[y], said[x], said[y], [], [(x << 32) | y]
-        while True:
-            if end_a == end_b:
-                groups.append(own_a + "|" + own_b)
-                i += 1
-                if i == n:
-                    return n, len(b), len(groups), ";".join(groups), pairs
-                j += 1
-                x, y = a[i], b[j]
-                end_a += size_a[x]
-                end_b += size_b[y]
-                own_a, own_b = said[x], said[y]
-            elif end_a < end_b:
-                i += 1
-                x = a[i]
-                end_a += size_a[x]
-                own_a += "," + said[x]
-            else:
-                j += 1
-                y = b[j]
-                end_b += size_b[y]
-                own_b += "," + said[y]
-            pairs.append((x << 32) | y)
+        self.size_a, self.size_b = (np.array([len(x) for x in tokens]) for tokens in (self.bytes_a, self.bytes_b))
+        ids = [str(i) for i in range(max(len(self.bytes_a), len(pieces)))]
+        self.digits = np.array([len(x) for x in ids])
+        self.said = {end: np.array([x + end for x in ids], object) for end in ",|;"}
+        self.number: dict[str, int] = {}
+        self._measures, self._pairs, self._groups = [np.zeros((0, 4), np.int64)], [np.zeros(0, np.int64)], [pa.array([], pa.large_string())]
+
+    def known(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Measures, pairs and groups of all units that are known."""
+        self._measures, self._pairs, self._groups = [np.concatenate(self._measures)], [np.concatenate(self._pairs)], [pa.concat_arrays(self._groups)]
+        return self._measures[0], self._pairs[0], self._groups[0]
+
+    def forget(self) -> None:
+        """Drop the older half; the others get new numbers."""
+        measures, pairs, groups = self.known()
+        half = len(measures) // 2
+        self.number = {u: i for i, u in enumerate(islice(self.number, half, None))}
+        self._measures, self._pairs = [measures[half:].copy()], [pairs[measures[:half, 3].sum() :].copy()]
+        self._groups = [groups.take(pa.array(np.arange(half, len(measures))))]
+
+    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
+        """Ids of a space and each text, and whether they give back its bytes."""
+        a, b = self.ids_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)
+        whole = [(" " + t).encode() for t in texts]
+        return a, b, [b"".join(map(self.bytes_a.__getitem__, x)) == w == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, w in zip(a, b, whole, strict=True)]
 
     def learn(self, fresh: list[str]) -> None:
-        bytes_a, bytes_b, known = self.bytes_a.__getitem__, self.bytes_b.__getitem__, self.known
-        for unit, a, b in zip(fresh, self.ids_a([" " + u for u in fresh]), self.b.encode(fresh, num_threads=1), strict=True):
-            whole = (" " + unit).encode()
-            sound = b"".join(map(bytes_a, a)) == whole and b"".join(map(bytes_b, b)) == whole
-            known[unit] = self.align(a, b) if sound else None
-
-    def of(self, wanted: set[str]) -> dict[str, tuple | None]:
-        fresh = wanted.difference(self.known)
-        if forget(self.known, len(fresh), REMEMBERED):
-            fresh = wanted.difference(self.known)
-        if fresh:
-            self.learn(list(fresh))
-        return self.known
+        """Units that end in a solid character are encoded in rows of ``TOGETHER``, as each starts anew; the others, and rows whose bytes don't come back, unit by unit."""
+        solid = [u for u in fresh if u[-1:] not in UNSURE_ENDS]
+        rows = [solid[i : i + TOGETHER] for i in range(0, len(solid), TOGETHER)]
+        a, b, sound = self.encoded([" ".join(row) for row in rows])
+        alone = [u for u in fresh if u[-1:] in UNSURE_ENDS] + [u for row, ok in zip(rows, sound, strict=True) if not ok for u in row]
+        units, ids_a, ids_b = [u for row in compress(rows, sound) for u in row], list(compress(a, sound)), list(compress(b, sound))
+        lost = []
+        if alone:
+            a, b, sound = self.encoded(alone)
+            units, ids_a, ids_b = units + list(compress(alone, sound)), ids_a + list(compress(a, sound)), ids_b + list(compress(b, sound))
+            lost = [u for u, ok in zip(alone, sound, strict=True) if not ok]
+        if units:
+            self.align(units, *(np.fromiter(chain.from_iterable(x), np.int64) for x in (ids_a, ids_b)))
+        if lost:
+            self.number.update(zip(lost, range(len(self.number), len(self.number) + len(lost)), strict=True))
+            self._measures.append(np.zeros((len(lost), 4), np.int64))
+            self._groups.append(pa.array([""] * len(lost), pa.large_string()))
+
+    def align(self, units: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Two token lists over the bytes of all units: every place where a token of either ends makes a link of the two tokens before it; where both end, a group ends."""
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.cumsum(pc.binary_length(pa.array(units, pa.string())).to_numpy().astype(np.int64) + 1)
+        marks = np.zeros((3, ends[-1] + 1), bool)
+        for mark, at in zip(marks, (ends_a, ends_b, ends), strict=True):
+            mark[at] = True
+        at = np.flatnonzero(marks[0] | marks[1])
+        in_a, in_b, last = marks[:, at]
+        both = in_a & in_b
+        if np.count_nonzero(last & both) != len(units):
+            raise ValueError("a token stands across two units")
+        before = lambda mark: np.cumsum(mark) - mark
+        unit, group = before(last), before(both)
+        self._measures.append(np.stack([np.bincount(unit[mark], minlength=len(units)) for mark in (in_a, in_b, both)] + [np.bincount(unit)], axis=1))
+        self._pairs.append((a[before(in_a)] << 32) | b[before(in_b)])
+        # The ids in the order of the text: of each group those of A, then those of B.
+        of_a, of_b = np.bincount(group[in_a]), np.bincount(group[in_b])
+        place_a, place_b = np.arange(len(a)) + before(of_b)[group[in_a]], np.arange(len(b)) + np.cumsum(of_a)[group[in_b]]
+        words, sizes = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+        words[place_a] = np.where(both[in_a], self.said["|"][a], self.said[","][a])
+        words[place_b] = np.where(both[in_b], self.said[";"][b], self.said[","][b])
+        sizes[place_a], sizes[place_b] = self.digits[a] + 1, self.digits[b] + 1
+        offsets = np.concatenate([[0], np.cumsum(sizes)[np.cumsum(self._measures[-1][:, :2].sum(axis=1)) - 1]])
+        self._groups.append(pa.Array.from_buffers(pa.large_string(), len(units), [None, pa.py_buffer(offsets), pa.py_buffer("".join(words.tolist()).encode())]))
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -156,72 +187,91 @@ class Run:
     """Texts of a task that share unit numbers and a list of pairs."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.records: list[tuple] = []
-        self.said: list[str] = []
-        self.rows: list[tuple] = []
-        self.indices: list[np.ndarray] = []
-        self.times: list[int] = []
-        self.bytes = 0
-
-    def add(self, key: bytes, text: str, times: int, known: Aligner) -> None:
-        own = units(text)
-        new = set(own).difference(self.number)
-        records = known.of(new)
-        if any(records[u] is None for u in new):
-            self.rows.append((key, 0, ""))  # units that were met before are all sound
-            self.indices.append(np.empty(0, np.int32))
-        else:
-            for u in new:
-                self.number[u] = len(self.records)
-                self.records.append(records[u])
-                self.said.append(records[u][3])
-            at = list(map(self.number.__getitem__, own))
-            self.rows.append((key, 1, hashlib.sha256(";".join(map(self.said.__getitem__, at)).encode()).hexdigest()))
-            self.indices.append(np.array(at, np.int32))
-        self.times.append(times)
-        self.bytes += len(text)
+        self.rows: list[tuple[bytes, np.ndarray, int]] = []
+        self.seen = np.zeros(0, bool)
+        self.distinct = self.bytes = 0
+
+    def add(self, key: bytes, own: np.ndarray, times: int, size: int, n_known: int) -> None:
+        """own: numbers of the text's units; none if it has no tokens."""
+        if len(self.seen) < n_known:
+            self.seen = np.concatenate([self.seen, np.zeros(2 * n_known - len(self.seen), bool)])
+        new = np.unique(own[~self.seen[own]])
+        self.seen[new] = True
+        self.distinct += len(new)
+        self.rows.append((key, own, times))
+        self.bytes += size
 
     def full(self) -> bool:
-        return len(self.records) > UNITS or self.bytes > BYTES
+        return self.distinct > UNITS or self.bytes > BYTES
 
-    def batches(self, run: int, most: int = 2_000) -> Iterator[pa.RecordBatch]:
+    def batches(self, run: int, both: Aligner, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+        """The run's pairs, then its texts, in batches of about ``most`` units."""
         if not self.rows:
             return
-        per_unit = np.array([r[:3] + (len(r[4]),) for r in self.records], np.int64).reshape(-1, 4)
-        if len(self.records):
-            flat = np.array([k for r in self.records for k in r[4]], np.int64)
+        measures, all_pairs, groups = both.known()
+        used = np.flatnonzero(self.seen)
+        local = np.zeros(len(measures), np.int32)
+        local[used] = np.arange(len(used))
+        sizes = np.array([len(own) for _, own, _ in self.rows])
+        if len(used):
+            n = measures[used, 3]
+            starts = np.concatenate([[0], np.cumsum(n)])
+            flat = all_pairs[np.repeat((np.cumsum(measures[:, 3]) - measures[:, 3])[used] - starts[:-1], n) + np.arange(starts[-1])]
             pairs, linked = np.unique(flat, return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(per_unit[:, 3])])
             # Each text's units count as often as the text stands in the corpus.
-            weight = np.zeros(len(self.records), np.int64)
-            for at, times in zip(self.indices, self.times, strict=True):
-                np.add.at(weight, at, times)
+            weight = np.zeros(len(used), np.int64)
+            np.add.at(weight, local[np.concatenate([own for _, own, _ in self.rows])], np.repeat([times for *_, times in self.rows], sizes))
             weights = np.zeros(len(pairs), np.int64)
-            np.add.at(weights, linked, np.repeat(weight, per_unit[:, 3]))
+            np.add.at(weights, linked, np.repeat(weight, n))
             one = {"run": [run], "pairs": [pairs], "weights": [weights], "starts": [starts.astype(np.int32).tobytes()], "linked": [linked.astype(np.int32).tobytes()]}
             yield pa.RecordBatch.from_arrays([pa.array(one.get(f.name, [None]), f.type) for f in FIELDS], schema=FIELDS)
-        for at in range(0, len(self.rows), most):
-            rows, own = self.rows[at : at + most], self.indices[at : at + most]
-            sums = np.array([per_unit[x].sum(axis=0) for x in own], np.int64).reshape(-1, 4)
-            columns = {"run": [run] * len(rows), "text_key": [r[0] for r in rows], "groups_sha256": [r[2] for r in rows], "units": [x.tobytes() for x in own]}
+        upto, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+            rows = self.rows[at:to]
+            flat = np.concatenate([own for _, own, _ in rows])
+            edges = np.concatenate([[0], np.cumsum(sizes[at:to])])
+            sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(measures[flat], axis=0)])[edges], axis=0)
+            said = groups.take(pa.array(flat))
+            text, ends = memoryview(said.buffers()[2] or b""), np.frombuffer(said.buffers()[1], np.int64)[edges].tolist()
+            digests = [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:], strict=False)]
+            numbers = local[flat]
+            columns = {"run": [run] * len(rows), "text_key": [r[0] for r in rows], "groups_sha256": digests, "units": [numbers[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]}
             columns |= {c: sums[:, i] for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
             yield pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(rows)), f.type) for f in FIELDS], schema=FIELDS)
+            at = to
 
 
+@tidy
 def aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
-    """(text_key, text, times) of distinct texts to rows of RUNS."""
+    """(text_key, text, times) of distinct texts to rows of RUNS. Each different unit of some texts is looked up once, and those that are new in all of them are learnt together."""
     both, run, number = aligner(path_a, path_b), Run(), TaskContext.get().partitionId() << 32
-    for batch in batches:
-        keys, texts, times = batch.columns
-        for key, text, n in zip(keys.to_pylist(), texts, times.to_pylist(), strict=True):
-            run.add(key, text.as_py(), n, both)
+    for part in (part for batch in batches for part in slices(batch)):
+        keys, texts, times = part.columns
+        lists = [units(t) for t in texts.to_pylist()]
+        coded = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+        used = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [u for u in used if u not in both.number]
+        if both.number and len(both.number) + len(fresh) > REMEMBERED:
+            yield from run.batches(number, both)
+            run, number = Run(), number + 1
+            both.forget()
+            fresh = [u for u in used if u not in both.number]
+        if fresh:
+            both.learn(fresh)
+        own = np.array([both.number[u] for u in used])[coded.indices.to_numpy()]
+        sound = both.known()[0][own, 3] > 0
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).tolist()
+        sizes = pc.binary_length(texts).to_pylist()
+        for key, n, size, lo, hi in zip(keys.to_pylist(), times.to_pylist(), sizes, edges, edges[1:], strict=False):
+            run.add(key, own[lo : hi if sound[lo:hi].all() else lo], n, size, len(both.number))
             if run.full():
-                yield from run.batches(number)
+                yield from run.batches(number, both)
                 run, number = Run(), number + 1
-    yield from run.batches(number)
+    yield from run.batches(number, both)
 
 
+@tidy
 def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of run and kind: the counts of a run's pairs (0), the pairs of its units (1), its texts (2); gives the measures of the texts."""
     counts: list[np.ndarray] = []

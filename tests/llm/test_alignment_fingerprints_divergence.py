@@ -222,3 +222,33 @@ def test_counts_and_documents_of_a_row_share_one_list():
     assert batch.to_pylist() == [{"lang": "en", "item": "a", "sources": ["x", "y"], "numbers": [5, 6, 100, 101]}, {"lang": "en", "item": "b", "sources": ["y"], "numbers": [7]}]
     row, sources, ns, doc_row, docs, full = s.flat(batch)
     assert (row.tolist(), sources.to_pylist(), ns.tolist(), doc_row.tolist(), docs.tolist(), full.tolist()) == ([0, 0, 1], ["x", "y", "y"], [5, 6, 7], [0, 0], [100, 101], [1])
+
+
+def test_new_units_are_encoded_in_rows():
+    """Also beside units that no tokens give back, and those after which a space doesn't start anew; units keep what is known of them when others are forgotten."""
+    both = token_alignment.Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    own, given = both.ids_a, []
+    both.ids_a = lambda texts: given.extend(texts) or own(texts)
+    units = [f"unit{i}," for i in range(3000)] + ["a▁b", "end ", "tab\t", "", " x", "déjà", "ｆull"]
+    both.learn(units)
+    assert len(given) < 300
+
+    def known(u):
+        measures, pairs, groups = both.known()
+        i = both.number[u]
+        at = measures[:i, 3].sum()
+        return measures[i].tolist(), pairs[at : at + measures[i, 3]].tolist(), groups[i].as_py()
+
+    want = {}
+    for u in units:
+        alone = token_alignment.Aligner.__new__(token_alignment.Aligner)
+        alone.__dict__ |= both.__dict__ | {"number": {}, "_measures": both._measures[0][:0], "ids_a": own}
+        alone._measures, alone._pairs, alone._groups = [both.known()[0][:0]], [both.known()[1][:0]], [both.known()[2][:0]]
+        alone.learn([u])
+        (measures,), pairs, (groups,) = alone.known()
+        want[u] = measures.tolist(), pairs.tolist(), groups.as_py()
+        assert known(u) == want[u]
+    assert want["a▁b"] == ([0, 0, 0, 0], [], "")
+    both.forget()
+    assert 0 < len(both.number) < len(units)
+    assert all(known(u) == want[u] for u in both.number)
