@@ -20,17 +20,18 @@ from struct import Struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import shuffle_partitions, table, work_dir
-from fieldwise.llm.text import keep_only, slices
+from fieldwise.llm.store import shuffle_partitions, small_batches, table, work_dir
+from fieldwise.llm.text import keep_only, slices, tidy
 
 #: Words, and parts of words, whose ids a worker remembers; the older half is forgotten when a memory is full.
 REMEMBERED, PARTS = 400_000, 700_000
-#: Rows of texts that are encoded together, and rows between the files' index entries.
-ROWS, STRIDE = 256, 1000
+#: Bytes of texts that are encoded together, and rows between the files' index entries.
+BYTES, STRIDE = 2 << 20, 1000
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
 
 
@@ -95,15 +96,26 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         known.update(zip(rest, (packed(x.ids) for x in found), strict=True))
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Texts, as lists of words, to little-endian ids. The words that are new in all of them are learnt together."""
-        known, used = self.known, set().union(*texts)
-        fresh = used.difference(known)
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all of them, each text's with ``end_id`` behind.
+
+        Each different word of the texts is looked up once, and those that are new in all of them are learnt together."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # an empty word stands beside white space at either end; it has no ids
+        words = lists.flatten().cast(pa.binary()).dictionary_encode()
+        known, used = self.known, words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in used if w not in known]
         if forget(known, len(fresh), REMEMBERED):
-            fresh = used.difference(known)
+            fresh = [w for w in used if w not in known]
         if fresh:
-            self.learn(list(fresh))
-        return [b"".join(map(known.__getitem__, words)) for words in texts]
+            self.learn(fresh)
+        own = list(map(known.__getitem__, used))
+        flat, size = np.frombuffer(b"".join(own), "<i4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        word = words.indices.to_numpy()
+        n = size[word]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat((np.cumsum(size) - size)[word] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = upto[lists.offsets.to_numpy()]
+        return np.diff(edges) + 1, np.insert(ids, edges[1:], end_id)
 
 
 _packers = [Struct(f"<{n}i").pack for n in range(16)]
@@ -130,17 +142,15 @@ def encoder(path: str) -> Encoder:
     return own[path]
 
 
+@tidy
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Sorted (doc_id, text) rows of one shard to rows of SCHEMA."""
-    enc, end, start = encoder(path), np.asarray([end_id], "<i4").tobytes(), 0
+    enc, start = encoder(path), 0
     shard = TaskContext.get().partitionId()
-    parts = (part.slice(at, ROWS) for batch in batches for part in slices(batch) for at in range(0, part.num_rows, ROWS))
-    for part in parts:
-        ids = [x + end for x in enc.encode([(t or b"").split() for t in part.column("text").cast(pa.binary()).to_pylist()])]
-        n = np.array([len(x) // 4 for x in ids], np.int64)
+    for part in (part for batch in batches for part in slices(batch, most=BYTES)):
+        n, ids = enc.encode(part.column("text"), end_id)
         ends = np.cumsum(n)
-        flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(n), shard, np.int32)), part.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists],
             names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
@@ -150,6 +160,7 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> It
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Write the ids of ``docs`` (doc_id, text) to ORC files under ``path``."""
+    small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     order = F.col("doc_id").asc_nulls_first(), F.col("tie")
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -176,6 +187,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "shard").select("shard", "doc_id", (F.col("shard_start") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids")
 
 
+@tidy
 def id_checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("ids")

@@ -757,3 +757,27 @@ def test_batches_to_workers_are_bounded_by_bytes(spark):
         assert spark.conf.get(store.BATCH_BYTES) == "9m"
     finally:
         spark.conf.set(store.BATCH_BYTES, own)
+
+
+def test_each_word_of_a_batch_is_looked_up_once():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        lookups = 0
+
+        def __getitem__(self, key):
+            Counted.lookups += 1
+            return super().__getitem__(key)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two one Two " * 500, None, "", " \t\x0b", " three,four\x1cfive six　 \n", "É é"]
+    enc = token_output.Encoder(path)
+    enc.known = Counted()
+    for _ in range(2):
+        n, ids = enc.encode(pa.array([*texts, "a row before"]).slice(0, len(texts)), 2)
+        want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+        assert n.tolist() == list(map(len, want))
+        assert ids.tolist() == [i for x in want for i in x]
+    assert Counted.lookups <= 2 * 10
