@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwise.llm.store import dropped, if_small, shuffle_partitions, small_batches, table, written
-from fieldwise.llm.text import U64, Words, keep_only, mix, shingle_sets, slices, tidy
+from fieldwise.llm.text import U64, Words, mix, shingle_sets, slices, tidy
 
 K = 5
 #: Documents of which the order of shingles is learnt, shingles that it may set apart, and the repeats that do so.
@@ -95,7 +95,6 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 @tidy
 def signatures(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, sid, n, prefix, bits); the prefix in global order."""
-    keep_only("ngram_join")
     for batch in batches:
         for part in slices(batch):
             values, at = shingle_sets(Words(part.column("text"), lower=True), K)
@@ -306,7 +305,6 @@ def may_link(e: Entry, o: Entry) -> bool:
 @tidy
 def tried(batches: Iterator[pa.RecordBatch], ranks: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """Rows in order of shingle and chunk, all of a chunk in one partition, to questions (sid, block): of two sets, the one of the smaller component asks the other's block."""
-    keep_only("ngram_join")
 
     def rows() -> Iterator[tuple]:
         for batch in batches:

@@ -41,10 +41,14 @@ def give_back() -> None:
 
 
 def tidy(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """A task over batches that gives its memory back when it has ended: idle workers stand beside the stages that follow, also those without Python."""
+    """A task over batches that drops what operators of other modules keep in its worker, and gives its memory back when it has ended: idle workers stand beside the stages that follow, also those without Python."""
+    operator = task.__module__.rsplit(".", 1)[-1]
 
     @functools.wraps(task)
     def run(*args, **kwargs) -> Iterator:
+        if any(other != operator for other in _kept):
+            keep_only(operator)
+            give_back()
         try:
             yield from task(*args, **kwargs)
         finally:

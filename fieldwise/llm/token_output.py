@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldwise.llm.store import shuffle_partitions, small_batches, table, work_dir
-from fieldwise.llm.text import keep_only, slices, tidy
+from fieldwise.llm.text import give_back, keep_only, slices, tidy
 
-#: Words, and parts of words, whose ids a worker remembers; the older half is forgotten when a memory is full.
-REMEMBERED, PARTS = 400_000, 700_000
+#: Words and parts of words whose ids a worker remembers; the older half is forgotten when they are more.
+REMEMBERED = 600_000
 #: Bytes of texts that are encoded together, and rows between the files' index entries.
 BYTES, STRIDE = 2 << 20, 1000
 SCHEMA = "shard int, doc_id long, start_in_shard long, n_tokens long, ids array<int>"
@@ -62,23 +62,21 @@ class Encoder:
         cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.cuts_letters = steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": LETTER_RUNS} and cuts[1]["type"] == "ByteLevel"
         self.cuts_letters &= not any(cuts[1][x] for x in ("add_prefix_space", "use_regex")) if self.cuts_letters else False
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # also parts of words, as a part has the ids that it has as a word
 
     def part(self, run: bytes) -> bytes:
         """Ids of one pre-token that is new, letters in lower case or signs."""
         found = self.model.tokenize(run.decode() if run.isascii() else "".join([SHOWN[x] for x in run]))
-        ids = self.parts[run] = packed([t.id for t in found])
+        ids = self.known[run] = packed([t.id for t in found])
         return ids
 
     def learn(self, fresh: list[bytes]) -> None:
         known, rest = self.known, fresh
         if self.cuts_letters:
-            forget(self.parts, len(fresh), PARTS)
-            parts, rest = self.parts, []
+            rest = []
             for w in fresh:
                 if w.isalpha():  # of bytes: ASCII letters only
-                    letters, signs = w.lower(), b""
+                    letters, signs = w if w.islower() else w.lower(), b""
                 elif (m := _plain.fullmatch(w)) is None:
                     rest.append(w)
                     continue
@@ -91,8 +89,8 @@ class Encoder:
                     else:
                         rest.append(w)
                         continue
-                ids = parts.get(letters) or self.part(letters)
-                known[w] = ids + (parts.get(signs) or self.part(signs)) if signs else ids
+                ids = known.get(letters) or self.part(letters)
+                known[w] = ids + (known.get(signs) or self.part(signs)) if signs else ids
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         known.update(zip(rest, (packed(x.ids) for x in found), strict=True))
 
@@ -147,15 +145,17 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> It
     """Sorted (doc_id, text) rows of one shard to rows of SCHEMA."""
     enc, start = encoder(path), 0
     shard = TaskContext.get().partitionId()
-    for part in (part for batch in batches for part in slices(batch, most=BYTES)):
-        n, ids = enc.encode(part.column("text"), end_id)
-        ends = np.cumsum(n)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(n), shard, np.int32)), part.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists],
-            names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
-        )
-        start += int(n.sum())
+    for batch in batches:
+        for part in slices(batch, most=BYTES):
+            n, ids = enc.encode(part.column("text"), end_id)
+            ends = np.cumsum(n)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), shard, np.int32)), part.column("doc_id"), pa.array(start + ends - n), pa.array(n), lists],
+                names=["shard", "doc_id", "start_in_shard", "n_tokens", "ids"],
+            )
+            start += int(n.sum())
+        give_back()  # columns of words take several times the batch
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:

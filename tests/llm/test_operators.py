@@ -781,3 +781,35 @@ def test_each_word_of_a_batch_is_looked_up_once():
         assert n.tolist() == list(map(len, want))
         assert ids.tolist() == [i for x in want for i in x]
     assert Counted.lookups <= 2 * 10
+
+
+def test_each_stage_drops_the_words_of_token_output():
+    import weakref
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = pa.record_batch({"doc_id": [1], "text": ["a b c d e f"]})
+    for task in (lambda: quality_rules.judged(iter([docs]), False, 30), lambda: ngram_join.sets_of(iter([])), lambda: ngram_join.answered(iter([]))):
+        left = weakref.ref(token_output.encoder(path))
+        assert left() is not None
+        list(task())
+        assert left() is None
+
+
+def test_words_and_their_parts_share_one_bounded_memory(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "REMEMBERED", 3000)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, whole, most = token_output.Encoder(path), Tokenizer.from_file(path), 0
+    for i in range(20):
+        words = ["".join(chr(97 + int(c)) for c in str(i * 200 + j)) for j in range(200)]
+        text = " ".join(x for w in words for x in (w, w.title(), w + ",", "é" + w.upper() + "!?"))
+        n, ids = enc.encode(pa.array([text + " ! , !? 's"]), 2)
+        assert ids.tolist() == whole.encode(text + " ! , !? 's", add_special_tokens=False).ids + [2]
+        most = max(most, sum(len(x) for x in vars(enc).values() if isinstance(x, dict)))
+    assert most <= 3000 + 200  # the lower-cased words with an accent are parts alone
