@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldwise.llm.store import dropped, if_small, shuffle_partitions, small_batches, table, written
+from fieldwise.llm.store import dropped, give_back_driver, if_small, shuffle_partitions, small_batches, table, written, written_and_counted
 from fieldwise.llm.text import U64, Words, mix, shingle_sets, slices, tidy
 
 K = 5
@@ -153,8 +153,8 @@ def only_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id on an edge (a, b); the root is the least id of its component. Alternates large and small stars."""
+def components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(id, root) for every id on an edge (a, b), and the number of edges between different ids; the root is the least id of its component. Alternates large and small stars."""
 
     def starred(e: DataFrame, small: bool) -> DataFrame:
         if small:
@@ -174,23 +174,23 @@ def components(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("b", F.lit(0), F.lit(1)))
         return ends.groupBy("id").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out > 1 or out > 0 and into > 0").count() == 0
 
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while not ended(edges):
+    edges, n = written_and_counted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while n > 1 and not ended(edges):
         edges = written(starred(starred(edges, small=False), small=True), "stars")
     roots = edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.union(roots.select("root", "root").distinct())
+    return roots.union(roots.select("root", "root").distinct()), n
 
 
 def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """(id, root) after more links (a, b): only the graph of the roots that the new links touch is searched, not all links so far."""
     if roots is None:
-        return written(components(links), "components")
+        return written(components(links)[0], "components")
     of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    moved = written(components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "moved")
-    n = moved.count()
-    if not n:
+    moved, edges = components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    if not edges:
         return roots
+    moved, n = written_and_counted(moved, "moved")
     changed = roots.join(if_small(moved.select(F.col("id").alias("root"), F.col("root").alias("new")), n), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
     # Roots point at themselves, so ids that are no one's yet are those without a row.
     return written(changed.union(moved.join(roots.select("id"), "id", "left_anti").select("id", "root")), "components")
@@ -429,6 +429,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     linkable = sig.where("n > 0 and doc_id is not null")
     sets = linkable.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first(F.element_at("prefix", -1)).alias("last"), F.first("bits").alias("bits"))
     sets = written(sets, "sets")
+    give_back_driver(spark)
     repeated = bool(linkable.groupBy("doc_id", "sid").count().where("count > 1").take(1))
     corpus = Corpus(texts, sets, repeated)
     several = sets.where("copies > 1").select("sid", "rep")
@@ -436,13 +437,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     postings = alone.select("sid", "n", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("n_place"))
     shared = postings.repartition(shuffle_partitions(spark), "shingle").sortWithinPartitions("shingle", "sid").mapInArrow(only_shared, postings.schema)
     shared = written(shared.select("shingle", "sid", F.shiftright("n_place", 32).cast("int").alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).cast("int").alias("place")), "shared")
-    hot = F.broadcast(written(hot_groups(shared), "hot"))
+    hot, n = written_and_counted(hot_groups(shared), "hot")
+    hot = F.broadcast(hot) if n else None
 
     roots = None
     for turn in range(TURNS):
-        asks = guesses(shared, hot, roots, turn)
-        asks = written(asks, "asks")
-        roots = joined(roots, links(corpus, asks, asks.select("block", F.col("block").alias("sid")).distinct()))
+        asks, n = written_and_counted(guesses(shared, hot, roots, turn), "asks")
+        roots = joined(roots, links(corpus, asks, Blocks(n)))
+        give_back_driver(spark)
 
     labelled = shared.join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = labelled.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
@@ -452,25 +454,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
     enough = F.floor((6 * F.col("n") + 6) / 7)
     own = open_.groupBy("sid").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("place", "shingle"))).alias("items"))
     own = written(own.join(sets.select("sid", "last"), "sid"), "own")
-    weights = written(own.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    weights, n = written_and_counted(own.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "weights")
     block = F.xxhash64("root", F.pmod(F.xxhash64("sid"), F.ceil(F.col("weight") / BLOCK)))
-    own = own.join(if_small(weights, weights.count()), "root").withColumn("block", block)
+    own = own.join(if_small(weights, n), "root").withColumn("block", block)
     entries = own.select("sid", "n", "root", "last", "weight", "block", (F.size("items") + beyond >= enough).alias("dense"), beyond.alias("beyond"), F.col("items")["shingle"].alias("keys"), F.col("items")["place"].alias("places"))
     entries = entries.select("*", F.posexplode("keys").alias("i", "shingle"))
     after = F.greatest(F.size("keys") - F.col("i") - AHEAD, F.lit(0)) + F.col("beyond")
     just_before = F.slice("keys", F.greatest(F.col("i") - AHEAD, F.lit(0)) + 1, F.least(F.col("i"), F.lit(AHEAD)))
     next_ = lambda c: F.slice(c, F.col("i") + 1, AHEAD).alias(c)
     entries = entries.select("shingle", "sid", "n", "root", "dense", next_("keys"), after.alias("after"), just_before.alias("before"), next_("places"), "last", "weight", "block")
-    sizes = open_.join(hot, "shingle").groupBy("shingle", "root", "chunks").count()
-    main = written(sizes.groupBy("shingle", "chunks").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
-    entries = entries.join(F.broadcast(main), "shingle", "left")
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    chunk = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))).otherwise(every)
-    entries = entries.withColumn("chunk", F.explode(chunk)).select("shingle", "chunk", "sid", "n", "root", "dense", "keys", "after", "before", "places", "last", "weight", "block")
+    if hot is None:
+        entries = entries.withColumn("chunk", F.lit(0))
+    else:
+        sizes = open_.join(hot, "shingle").groupBy("shingle", "root", "chunks").count()
+        main = written(sizes.groupBy("shingle", "chunks").agg(F.max_by("root", F.struct("count", "root")).alias("main")), "main")
+        entries = entries.join(F.broadcast(main), "shingle", "left")
+        every = F.sequence(F.lit(0), F.col("chunks") - 1)
+        chunk = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))).otherwise(every)
+        entries = entries.withColumn("chunk", F.explode(chunk))
+    entries = entries.select("shingle", "chunk", "sid", "n", "root", "dense", "keys", "after", "before", "places", "last", "weight", "block")
     ranks = dict(zip(frequent.view(np.int64).tolist(), (rank + 1).tolist(), strict=True))
     dealt = entries.repartition(shuffle_partitions(spark), "shingle", "chunk").sortWithinPartitions("shingle", "chunk")
-    asks = written(dealt.mapInArrow(lambda it: tried(it, ranks), "sid long, block long").distinct(), "asks")
-    roots = joined(roots, links(corpus, asks, own.select("sid", "block")))
+    asks, n = written_and_counted(dealt.mapInArrow(lambda it: tried(it, ranks), "sid long, block long").distinct(), "asks")
+    roots = joined(roots, links(corpus, asks, Blocks(n, own.select("sid", "block"))))
+    give_back_driver(spark)
 
     known = sets.select("sid", "rep").join(roots.withColumnRenamed("id", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = known.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -480,15 +487,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "sid", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def guesses(shared: DataFrame, hot: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+def guesses(shared: DataFrame, hot: DataFrame | None, roots: DataFrame | None, turn: int) -> DataFrame:
     """Questions (sid, block), a block being one set: each set asks at most one other, of another component, with which it shares most groups as a neighbour.
 
     Of large sets, only shingles of every second, fourth... hash count here, about ``VOTES`` a set; sets of about one size see the same ones. Neighbours are those next to it by size at first, then by a hash
     that changes with the turn; a hot shingle's group is searched in parts. The rows don't exceed the sets."""
     step = lambda n: F.greatest(F.lit(1.0), F.pow(2.0, F.floor(F.log2(n / (4 * VOTES))))).cast("long")
     some = shared.select("shingle", "sid", "n").where(F.pmod(F.xxhash64("shingle", F.lit("vote")), step(F.col("n"))) == 0)
-    part = F.coalesce(F.pmod(F.xxhash64("sid", F.lit(turn), F.lit("part")), F.col("chunks")), F.lit(0))
-    rows = some.join(hot, "shingle", "left").select("shingle", "sid", "n", part.alias("part"))
+    if hot is None:
+        rows = some.withColumn("part", F.lit(0).cast("long"))
+    else:
+        part = F.coalesce(F.pmod(F.xxhash64("sid", F.lit(turn), F.lit("part")), F.col("chunks")), F.lit(0))
+        rows = some.join(hot, "shingle", "left").select("shingle", "sid", "n", part.alias("part"))
     if roots is None:
         rows, order = rows.withColumn("root", F.col("sid")), Window.partitionBy("shingle", "part").orderBy("n", "sid")
     else:
@@ -510,38 +520,61 @@ class Corpus(NamedTuple):
     repeated: bool
 
 
-def of_blocks(rows: DataFrame, asks: DataFrame, members: DataFrame, n_parts: DataFrame, content: list[str]) -> DataFrame:
+class Blocks(NamedTuple):
+    """n_asks: how many questions there are; sets: (sid, block), or None where a block is the one set of its name."""
+
+    n_asks: int
+    sets: DataFrame | None = None
+
+
+def of_blocks(rows: DataFrame, asks: DataFrame, members: DataFrame, n_parts: DataFrame | None, content: list[str]) -> DataFrame:
     """Rows (sid, content...) of members and of those that ask, dealt by block and part, a block's members first. A block that many ask is copied, one copy for each ``ASKED`` of them."""
-    parts = F.coalesce("parts", F.lit(1))
-    part = F.explode(F.sequence(F.lit(0), parts - 1))
-    stored = rows.join(members.join(n_parts, "block", "left"), "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", *content)
-    own = F.pmod(F.xxhash64("sid"), parts).cast("int")
-    asking = rows.join(asks.join(n_parts, "block", "left"), "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", *content)
+    if n_parts is None:
+        part = own = F.lit(0)
+    else:
+        members, asks = members.join(n_parts, "block", "left"), asks.join(n_parts, "block", "left")
+        parts = F.coalesce("parts", F.lit(1))
+        part, own = F.explode(F.sequence(F.lit(0), parts - 1)), F.pmod(F.xxhash64("sid"), parts).cast("int")
+    stored = rows.join(members, "sid").select("block", part.alias("part"), F.lit(False).alias("asks"), "sid", *content)
+    asking = rows.join(asks, "sid").select("block", own.alias("part"), F.lit(True).alias("asks"), "sid", *content)
     return stored.union(asking).repartition(shuffle_partitions(rows.sparkSession), "block", "part").sortWithinPartitions("block", "part", "asks")
 
 
-def parts_of(asks: DataFrame) -> DataFrame:
-    """(block, parts) of the blocks that more than ``ASKED`` ask, so at most one row for each ``ASKED`` questions."""
+def parts_of(asks: DataFrame, n: int) -> DataFrame | None:
+    """(block, parts) of the blocks that more than ``ASKED`` of the n questions ask, so at most one row for each ``ASKED`` questions; None if there are no such blocks."""
+    if n <= ASKED:
+        return None
     many = asks.groupBy("block").count().where(F.col("count") > ASKED)
-    return F.broadcast(written(many.select("block", F.ceil(F.col("count") / ASKED).cast("int").alias("parts")), "parts"))
+    parts, n = written_and_counted(many.select("block", F.ceil(F.col("count") / ASKED).cast("int").alias("parts")), "parts")
+    return F.broadcast(parts) if n else None
+
+
+def links(corpus: Corpus, asks: DataFrame, blocks: Blocks) -> DataFrame:
+    """Links (a, b) of the sets that ask, (sid, block), with the sets of the blocks; both are tables.
 
+    Whole sets are only made for documents whose bitmaps leave a question open. Each query leaves its plan with the driver, so none is made for what nobody asks."""
+    spark = corpus.texts.sparkSession
 
-def links(corpus: Corpus, asks: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) of the sets that ask, (sid, block), with the sets of the blocks, (sid, block); both are tables.
+    def asked() -> DataFrame:
+        names = asks.select("block").distinct()
+        return names.select("block", F.col("block").alias("sid")) if blocks.sets is None else blocks.sets.join(names, "block", "left_semi")
 
-    Whole sets are only made for documents whose bitmaps leave a question open."""
-    asked = lambda: members.join(asks.select("block").distinct(), "block", "left_semi")
+    none = spark.createDataFrame([], "a long, b long")
+    if not blocks.n_asks:
+        return none
     prints = corpus.sets.select("sid", "n", "bits")
-    asks = written(of_blocks(prints, asks, asked(), parts_of(asks), ["n", "bits"]).mapInArrow(likely, "sid long, block long").distinct(), "asks")
+    asks, n = written_and_counted(of_blocks(prints, asks, asked(), parts_of(asks, blocks.n_asks), ["n", "bits"]).mapInArrow(likely, "sid long, block long").distinct(), "asks")
+    if not n:
+        return none
 
     members = asked()
     # The sets of either side, each with one document.
-    wanted = written(asks.select("sid").union(members.select("sid")).distinct().join(corpus.sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
-    texts = corpus.texts.join(if_small(wanted, wanted.count()), "doc_id").select("sid", "text")
+    wanted, m = written_and_counted(asks.select("sid").union(members.select("sid")).distinct().join(corpus.sets, "sid").select("sid", F.col("rep").alias("doc_id")), "wanted")
+    texts = corpus.texts.join(if_small(wanted, m), "doc_id").select("sid", "text")
     found = texts.mapInArrow(sets_of, "sid long, shingles array<long>")
     found = written(found.dropDuplicates(["sid"]) if corpus.repeated else found, "whole")
-    out = written(of_blocks(found, asks, members, parts_of(asks), ["shingles"]).mapInArrow(answered, "a long, b long"), "links")
-    dropped(corpus.texts.sparkSession, found)
+    out = written(of_blocks(found, asks, members, parts_of(asks, n), ["shingles"]).mapInArrow(answered, "a long, b long"), "links")
+    dropped(spark, found)
     return out
 
 
@@ -550,10 +583,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a doc_id and a text one stays; other texts of that id stay beside it."""
     found = written(near_copies(docs).select("doc_id", "component_id"), "components")
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(if_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if not (n := again.count()):
+    gone, n = written_and_counted(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(if_small(gone, n), "doc_id", "left_anti").select(docs.columns)
+    again, n = written_and_counted(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not n:
         return kept
     again = if_small(again, n)
     once = kept.join(again, "doc_id", "left_semi").withColumn("_op4_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_op4_text"]).select(docs.columns)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -697,6 +698,43 @@ def test_a_join_plans_few_jobs_and_sends_no_table_of_its_sets_to_the_driver_with
     assert queries.executionsCount() - before <= 70
 
 
+def test_small_groups_and_unasked_blocks_plan_no_queries_of_their_own(spark, tmp_path):
+    """Without a large group or a much-asked block there is nothing to deal out, and nothing is counted by a query of its own."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(30)]
+    rows = [(10 * i + k, " ".join(["x"] * k + t.split()[k:])) for i, t in enumerate(texts) for k in range(4)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    queries = spark._jsparkSession.sharedState().statusStore()
+    before = queries.executionsCount()
+    got = sorted(r["doc_id"] for r in ngram_join.drop_copies(spark.read.parquet(path)).collect())
+    assert got == [10 * i for i in range(30)]
+    assert queries.executionsCount() - before <= 46
+
+
+def test_a_write_counts_its_rows(spark):
+    assert [store.written_and_counted(spark.range(n), "rows")[1] for n in (0, 1, 1000)] == [0, 1, 1000]
+    none, n = store.written_and_counted(spark.range(10).where("id < 0").groupBy("id").count(), "rows")
+    assert n == none.count() == 0
+    assert store.written_and_counted(spark.createDataFrame([], "a long"), "rows")[1] == 0
+
+
+def test_the_driver_gives_back_what_its_heap_does_not_hold(spark):
+    pid = spark._jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getPid()
+    status = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    unsafe = spark._jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    unsafe.setAccessible(True)
+    unsafe, before = unsafe.get(None), status()
+    blocks = [unsafe.allocateMemory(65536) for _ in range(1600)]
+    for at in blocks:
+        unsafe.setMemory(at, 65536, 1)
+    for at in blocks[:-1]:
+        unsafe.freeMemory(at)
+    store.give_back_driver(spark)
+    assert status() - before < 60
+    unsafe.freeMemory(blocks[-1])
+
+
 def test_ids_are_packed_as_little_endian_integers():
     for n in (0, 1, 15, 16, 40):
         ids = list(range(2**31 - n, 2**31))
