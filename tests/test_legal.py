@@ -157,3 +157,25 @@ def test_small_catalog_helpers(spark):
     assert [r["there"] for r in catalogs.members(rows.orderBy("n"), rows.where("n > 2"), ["n"]).orderBy("n").collect()] == [False] * 3 + [True] * 2
     decisions, amounts = spark.createDataFrame([(1, "P", "ELIGIBLE"), (1, "Q", "REVIEW")], "parcel_id int, program_key string, status string"), spark.createDataFrame([(1, "P", 5)], "parcel_id int, program_key string, amount int")
     assert {(r["program_key"], r["amount"]) for r in catalogs.decision_details(decisions, amounts).collect()} == {("P", 5), ("Q", None)}
+
+
+def test_documents_with_one_text_are_all_listed(spark, tmp_path):
+    """Order 20937003 has the text of order 3; both are regulations of their own, as in the query's SQL."""
+    import duckdb
+
+    import fieldwise.plans.legal  # noqa: F401  (registers its queries)
+    from fieldwise.plans.registry import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame([(3, 1), (9, 1), (20937003, 6), (4, 1)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    got = QUERIES["legislation_listing"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(ORACLE_SQL["legislation_listing"]).fetchall()) and {r["doc_id"] for r in got} == {3, 9, 20937003}
+
+
+def test_dates_in_words_and_numbers(spark):
+    from fieldwise.functions.scalars import date_tr
+
+    dates = {"2026-01-02": D(2026, 1, 2), " 3.4.2026 ": D(2026, 4, 3), "5/12/2026": D(2026, 12, 5), "7 Şubat 2026": D(2026, 2, 7), "7  SUBAT 2026": D(2026, 2, 7), "7 foo 2026": None, "31.2.2026": None, "": None, None: None}
+    rows = spark.createDataFrame(list(enumerate(dates)), "n int, t string").select("n", date_tr(F.col("t")).alias("d"), date_tr(F.col("t"), 1).alias("j")).orderBy("n").collect()
+    assert [r["d"] for r in rows] == list(dates.values()) and rows[5]["j"] == D(2026, 1, 7)
