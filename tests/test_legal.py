@@ -179,3 +179,15 @@ def test_dates_in_words_and_numbers(spark):
     dates = {"2026-01-02": D(2026, 1, 2), " 3.4.2026 ": D(2026, 4, 3), "5/12/2026": D(2026, 12, 5), "7 Şubat 2026": D(2026, 2, 7), "7  SUBAT 2026": D(2026, 2, 7), "7 foo 2026": None, "31.2.2026": None, "": None, None: None}
     rows = spark.createDataFrame(list(enumerate(dates)), "n int, t string").select("n", date_tr(F.col("t")).alias("d"), date_tr(F.col("t"), 1).alias("j")).orderBy("n").collect()
     assert [r["d"] for r in rows] == list(dates.values()) and rows[5]["j"] == D(2026, 1, 7)
+
+
+def test_pages_are_never_broadcast_for_their_crops(spark, monkeypatch):
+    """Pages that look small before they are cut into words; names with as many, fewer and more words than a page, in both ways to join."""
+    pages = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Dane mısır, dane MISIR ve arpa!").when(F.col("id") % 3 == 1, "mısır dane").alias("text"))
+    crops = spark.createDataFrame([("M", "dane mısır"), ("A", "arpa"), ("A", "Arpa"), ("X", "mısır dane ve arpa"), ("Y", "arp"), ("Z", " ! "), ("Q", None)], "crop_code string, name string")
+    for most in (legislation.SMALL_ROWS, 0):
+        monkeypatch.setattr(legislation, "SMALL_ROWS", most)
+        found = legislation.planned_crops(pages, crops)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == bool(most)
+        assert sorted(tuple(r) for r in found.collect()) == sorted((i, c) for i in range(0, 300, 3) for c in "AM")
