@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import re
+
 import pytest
 from conftest import SF, rows
 
@@ -25,3 +27,11 @@ def test_entry(spark):
 def test_altered_chains_are_found(spark):
     found = {r["chain"] for r in QUERIES["chain_verify"](spark, SF).collect()}
     assert found and all(int(c[1:]) % 4 == 0 for c in found)
+
+
+@pytest.mark.parametrize("name", ["results_summary"])
+def test_decisions_meet_on_one_row(spark, name):
+    """Neither decisions nor cases are dealt out to meet each other; lines are dealt by order and by part, and by nothing else."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"Join \[.*?(parcel_id|case_id)#", plan)
+    assert re.findall(r"(?:ShuffledHashJoin|SortMergeJoin) \[(\w+)#", plan) == ["l_partkey", "l_orderkey", "farmer_id"]

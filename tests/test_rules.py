@@ -260,3 +260,24 @@ def test_batches_stay_small_as_stores_grow(spark, tmp_path):
         query.awaitTermination()
         seen.append(sum(p["numInputRows"] for p in query.recentProgress))
     assert seen == [10] + [20] * 19 and spark.read.parquet(str(tmp_path / "store")).count() == 200
+
+
+def test_parcels_as_their_view(spark):
+    from conftest import SF
+
+    from fieldwise.plans.views import parcels, view
+
+    own, wanted = parcels(spark, SF), view(spark, SF, "parcels")
+    assert dict(own.dtypes) == dict(wanted.dtypes) and own.count() == wanted.count() > 0
+    assert own.select(wanted.columns).exceptAll(wanted).count() == 0
+
+
+def test_outcomes_of_cases(spark):
+    from fieldwise.operators import retrieval
+
+    cases = spark.createDataFrame([("a", "X", 1.0), ("b", "X", 1.0), ("c", "Y", None), ("d", None, 2.0), ("e", "Y", 1.0)], "case_id string, expected_status string, expected_amount double")
+    results = spark.createDataFrame([("a", "X", 1.0), ("b", "X", None), ("c", "X", None), ("d", None, 2.0), ("f", "X", 1.0)], "case_id string, actual_status string, actual_amount double")
+    found = {r["case_id"]: r["outcome"] for r in retrieval.case_results(cases, results).collect()}
+    assert found == {"a": "PASSED", "b": "AMOUNT", "c": "STATUS", "d": "PASSED", "e": "MISSING"}
+    rows = cases.join(results, "case_id", "left")
+    assert {r["case_id"]: r["outcome"] for r in retrieval.outcomes(rows, F.col("case_id") != "e").collect()} == found
