@@ -191,3 +191,27 @@ def test_pages_are_never_broadcast_for_their_crops(spark, monkeypatch):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "BuildLeft" not in plan and ("BroadcastHashJoin" in plan) == bool(most)
         assert sorted(tuple(r) for r in found.collect()) == sorted((i, c) for i in range(0, 300, 3) for c in "AM")
+
+
+def test_amendments_in_blocks(spark, monkeypatch):
+    """Numbers with more documents than a block, documents that amend their own number, and documents without a number: all pairs, dealt over many tasks."""
+    rows = [(i, f"N{i % 3}" if i % 5 else None, f"N{i % 2}" if i % 4 == 0 else None) for i in range(120)]
+    flat = spark.createDataFrame(rows, "doc_id long, number string, base_no string")
+    catalog = flat.select("doc_id", F.struct("number").alias("identity"), F.when(F.col("base_no").isNotNull(), F.struct("base_no")).alias("amendment"))
+    monkeypatch.setattr(legislation, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(legislation, "BLOCKS_A_TASK", 1, raising=False)
+    found = legislation.amendments_of(catalog)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, b) for a, n, _ in rows for b, _, m in rows if n and n == m and a != b)
+    assert found.rdd.getNumPartitions() > 20 and "SortMergeJoin [number" not in found._jdf.queryExecution().sparkPlan().toString().split("REPARTITION")[0]
+    assert legislation.amendments_of(catalog.where("doc_id < 0")).count() == 0
+
+
+def test_numbers_alone_as_the_whole_analysis(spark):
+    from conftest import SF
+
+    from fieldwise.plans.views import view
+
+    pages = view(spark, SF, "acts").withColumn("page_no", F.lit(1)).union(spark.createDataFrame([(-1, None, 1), (-2, "Tebliğ", 2), (-2, "(Tebliğ No: 2024/5)", 1)], "doc_id long, text string, page_no int"))
+    numbers = lambda rows: rows.select("doc_id", "identity.number", "amendment.base_no")
+    own, wanted = numbers(legislation.numbered(pages)), numbers(legislation.analyse(pages))
+    assert own.count() == wanted.count() > 2 and own.exceptAll(wanted).count() == 0 and own.where("base_no is not null").count() > 0
