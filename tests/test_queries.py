@@ -29,7 +29,7 @@ def test_altered_chains_are_found(spark):
     assert found and all(int(c[1:]) % 4 == 0 for c in found)
 
 
-@pytest.mark.parametrize("name", ["results_summary", "decision_failures", "decision_report"])
+@pytest.mark.parametrize("name", ["results_summary", "decision_failures", "decision_report", "decision_metrics"])
 def test_decisions_meet_on_one_row(spark, name):
     """Neither decisions nor cases are dealt out to meet each other; lines are dealt by order and by part, and by nothing else."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
